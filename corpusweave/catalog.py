@@ -1,11 +1,417 @@
-"""All registered queries and their SQL."""
+"""All registered queries of the search and mining operators, and SQL for each.
+
+Every query reads whole tables; the corpus binding is in ``plans.binding``.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from .functions import scalars
+from .operators import chunking, context, corpus, graph, lexical, ranking
+from .operators.vectors import centroids, knn_join
+from .plans import binding, search
+from .plans.binding import AS_OF, SQL, table
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def register(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+_COS = "round(list_dot_product({0}.embedding, {1}.embedding) / (sqrt(list_dot_product({0}.embedding, {0}.embedding)) * sqrt(list_dot_product({1}.embedding, {1}.embedding))), 6)"
+_QC = _COS.format("q", "c")
+_NEAR = f"""
+near AS (
+    SELECT q.query_id, q.query_doc, c.vector_id, c.doc_id, c.section_type, c.embedded_at, {_QC} AS cos,
+        row_number() OVER (PARTITION BY q.query_id ORDER BY {_QC} DESC, c.vector_id) AS rank
+    FROM query_vectors q, chunks c)"""
+_IMPORTANCE = "CASE section_type " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in ranking.IMPORTANCE.items()) + " END"
+_RECENCY = f"coalesce(exp(-ln(2) * greatest(0, (epoch(TIMESTAMP '{AS_OF}') - epoch(embedded_at)) / 86400.0) / 180.0), 0.5)"
+_AS_OF = F.lit(AS_OF).cast("timestamp")
+_TOKENS = r"list_filter(string_split_regex(lower(coalesce({0}, '')), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')"
+
+
+@register(f"WITH {SQL}, {_NEAR} SELECT query_id, vector_id, cos, rank FROM near WHERE rank <= 10")
+def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near = knn_join(binding.query_vectors(spark, sf_dir), binding.chunks(spark, sf_dir), 10, "query_id", "vector_id")
+    return near.withColumn("rank", F.col("rank").cast("long"))
+
+
+@register(f"""WITH {SQL}, pairs AS (
+    SELECT q.vector_id AS x_id, c.vector_id AS y_id, {_QC} AS cos, row_number() OVER (PARTITION BY q.vector_id ORDER BY {_QC} DESC, c.vector_id) AS rank
+    FROM chunks q JOIN chunks c ON q.doc_id <> c.doc_id) SELECT x_id, y_id, cos, rank FROM pairs WHERE rank <= 6""")
+def knn_other_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _neighbours(spark, sf_dir).select("x_id", "y_id", "cos", F.col("rank").cast("long").alias("rank"))
+
+
+def _neighbours(spark: SparkSession, sf_dir: str, k: int = 6) -> DataFrame:
+    c = binding.chunks(spark, sf_dir).select("vector_id", "doc_id", "embedding")
+    left = c.select(F.col("vector_id").alias("x_id"), F.col("doc_id").alias("x_doc"), "embedding")
+    right = c.select(F.col("vector_id").alias("y_id"), F.col("doc_id").alias("y_doc"), "embedding")
+    return knn_join(left, right, k, "x_id", "y_id", "x_doc", "y_doc")
+
+
+@register(f"""WITH {SQL}, joined AS (SELECT c.vector_id, c.section_type, d.kind, d.project FROM chunks c LEFT JOIN docs d USING (doc_id))
+    SELECT vector_id, section_type, coalesce(kind, 'paper') AS kind FROM joined
+    WHERE section_type IN ('method', 'limitations', 'abstract') AND coalesce(kind, 'paper') = 'paper'""")
+def filtered_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = binding.chunks(spark, sf_dir).join(binding.documents(spark, sf_dir).select("doc_id", "kind", "project"), "doc_id", "left")
+    out = ranking.filter_chunks(rows, sections=["method", "limitations", "abstract"], kind="paper")
+    return out.select("vector_id", "section_type", F.coalesce("kind", F.lit("paper")).alias("kind"))
+
+
+@register(f"""WITH {SQL}, joined AS (SELECT c.vector_id, d.project FROM chunks c LEFT JOIN docs d USING (doc_id))
+    SELECT vector_id, project FROM joined WHERE project IN ('p1')""")
+def project_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = binding.chunks(spark, sf_dir).join(binding.documents(spark, sf_dir).select("doc_id", "kind", "project"), "doc_id", "left")
+    return ranking.filter_chunks(rows, projects=["p1"]).select("vector_id", "project")
+
+
+@register(f"WITH {SQL} SELECT vector_id, round({_RECENCY}, 9) AS recency, {_IMPORTANCE} AS importance FROM chunks")
+def recency_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = binding.chunks(spark, sf_dir)
+    return c.select(
+        "vector_id",
+        F.round(ranking.recency(F.col("embedded_at"), _AS_OF), 9).alias("recency"),
+        ranking.importance(F.col("section_type")).alias("importance"),
+    )
+
+
+_BLEND = f"""{_NEAR}, pool AS (SELECT *, round(0.85 * cos + 0.05 * {_RECENCY} + 0.10 * {_IMPORTANCE}, 6) AS score FROM near WHERE rank <= 40 AND cos >= 0.1),
+dense AS (SELECT * FROM (SELECT * EXCLUDE (rank), row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vector_id) AS rank FROM pool) WHERE rank <= 10)"""
+
+
+def _dense(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.dense_list(binding.query_vectors(spark, sf_dir), binding.chunks(spark, sf_dir), 10, 40, 0.1, _AS_OF)
+
+
+@register(f"WITH {SQL}, {_BLEND} SELECT query_id, vector_id, cos, score, rank FROM dense")
+def blended_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _dense(spark, sf_dir).select("query_id", "vector_id", "cos", "score", F.col("rank").cast("long").alias("rank"))
+
+
+_POSTED = f"""words AS (SELECT doc_id AS vector_id, {_TOKENS.format("text")} AS w FROM documents),
+posted AS (SELECT vector_id, term, count(*) AS tf, max(dl) AS dl FROM (SELECT vector_id, len(w) AS dl, unnest(w) AS term FROM words) GROUP BY ALL),
+size AS (SELECT count(*) AS n, avg(dl) AS mean FROM (SELECT DISTINCT vector_id, dl FROM posted)),
+terms AS (SELECT DISTINCT query_id, unnest({_TOKENS.format("query")}) AS term FROM query_texts),
+df AS (SELECT term, count(*) AS df FROM posted GROUP BY term),
+lexical AS (SELECT query_id, vector_id, round(sum(greatest(1e-6, ln((n - df + 0.5) / (df + 0.5))) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / mean))), 6) AS score
+    FROM terms JOIN posted USING (term) JOIN df USING (term), size GROUP BY query_id, vector_id),
+words_list AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vector_id) AS rank FROM lexical) WHERE rank <= 40)"""
+
+
+def _text_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vector_id"), "text")
+
+
+@register(f"WITH {SQL}, {_POSTED} SELECT query_id, vector_id, score, rank FROM words_list")
+def bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = search.lexical_list(binding.query_texts(spark, sf_dir), _text_chunks(spark, sf_dir), 40)
+    return out.select("query_id", "vector_id", "score", F.col("rank").cast("long").alias("rank"))
+
+
+@register(f"WITH {SQL}, {_POSTED} SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS tf FROM posted GROUP BY term")
+def postings_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    posted = lexical.postings(_text_chunks(spark, sf_dir))
+    return posted.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("tf"))
+
+
+_FUSED = f"""parts AS (SELECT query_id, vector_id, 1.0 / (60 + rank) AS part FROM dense UNION ALL SELECT query_id, vector_id, 1.0 / (60 + rank) FROM words_list),
+total AS (SELECT query_id, vector_id, round(sum(part), 9) AS score FROM parts GROUP BY query_id, vector_id),
+fused AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vector_id) AS rank FROM total) WHERE rank <= 20)"""
+
+
+@register(f"WITH {SQL}, {_BLEND}, {_POSTED}, {_FUSED} SELECT query_id, vector_id, score, rank FROM fused")
+def hybrid_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = search.lexical_list(binding.query_texts(spark, sf_dir), _text_chunks(spark, sf_dir), 40)
+    out = ranking.fuse([(_dense(spark, sf_dir), 1.0), (words, 1.0)], 20)
+    return out.select("query_id", "vector_id", "score", F.col("rank").cast("long").alias("rank"))
+
+
+@register(f"""WITH {SQL}, {_BLEND}, {_POSTED}, {_FUSED},
+    hits AS (SELECT f.*, doc_id, section_type FROM fused f JOIN chunks USING (vector_id)),
+    groups AS (SELECT query_id, doc_id, max(score) AS best_score, min(rank) AS first, list(vector_id ORDER BY rank) AS chunk_ids FROM hits GROUP BY ALL)
+    SELECT query_id, doc_id, best_score, array_to_string(chunk_ids, ',') AS chunks, row_number() OVER (PARTITION BY query_id ORDER BY best_score DESC, first) AS place FROM groups""")
+def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = search.lexical_list(binding.query_texts(spark, sf_dir), _text_chunks(spark, sf_dir), 40)
+    out = search.hybrid(_dense(spark, sf_dir), words, binding.chunks(spark, sf_dir), 20)
+    return out.select("query_id", "doc_id", "best_score", F.array_join(F.transform("chunk_ids", lambda x: x.cast("string")), ",").alias("chunks"), "place")
+
+
+_CENTROIDS = """means AS (SELECT doc_id, i, avg(x) AS x FROM (SELECT doc_id, unnest(embedding) AS x, unnest(range(len(embedding))) AS i FROM chunks) GROUP BY ALL),
+centres AS (SELECT doc_id, list(x ORDER BY i) AS embedding FROM means GROUP BY doc_id)"""
+_SIMILAR = f"""{_CENTROIDS}, pool AS (SELECT * FROM (SELECT q.doc_id AS src, c.doc_id AS dst, {_QC} AS cos,
+    row_number() OVER (PARTITION BY q.doc_id ORDER BY {_QC} DESC, c.vector_id) AS rank FROM centres q JOIN chunks c ON q.doc_id <> c.doc_id) WHERE rank <= 60),
+best AS (SELECT src, dst, max(cos) AS score FROM pool GROUP BY ALL),
+similar_docs AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY score DESC, dst) AS rank FROM best) WHERE rank <= 5)"""
+
+
+def _similar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = binding.chunks(spark, sf_dir)
+    centres = centroids(c, "doc_id").withColumnRenamed("doc_id", "src")
+    pool = knn_join(centres.withColumn("own", F.col("src")), c, 60, "src", "vector_id", "own", "doc_id")
+    hits = pool.drop("rank").join(c.select("vector_id", "doc_id"), "vector_id")
+    return graph.best_per_document(hits, "src", 5)
+
+
+@register(f"WITH {SQL}, {_SIMILAR} SELECT src, dst, score, rank FROM similar_docs")
+def similar_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _similar(spark, sf_dir).select("src", F.col("doc_id").alias("dst"), "score", "rank")
+
+
+_EDGES = """raw AS (
+    SELECT doc_id AS src, unnest(links) AS dst, 1.0 AS weight, 1 AS is_link FROM docs
+    UNION ALL SELECT src, dst, score, 0 FROM similar_docs),
+graph_edges AS (SELECT least(src, dst) AS a, greatest(src, dst) AS b, max(is_link) AS is_link, max(weight) FILTER (WHERE is_link = 0) AS similar_weight
+    FROM raw WHERE src <> dst AND dst IN (SELECT doc_id FROM docs) GROUP BY ALL)"""
+
+
+def _graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = binding.documents(spark, sf_dir)
+    links = docs.select(F.col("doc_id").alias("src"), F.explode("links").alias("dst"))
+    links = links.join(docs.select(F.col("doc_id").alias("dst")), "dst", "left_semi")
+    return graph.undirected(links, _similar(spark, sf_dir).select("src", F.col("doc_id").alias("dst"), F.col("score").alias("weight")))
+
+
+@register(f"WITH {SQL}, {_SIMILAR}, {_EDGES} SELECT a, b, CASE is_link WHEN 1 THEN 'link' ELSE 'similar' END AS kind, CASE is_link WHEN 1 THEN 1.0 ELSE similar_weight END AS weight FROM graph_edges")
+def corpus_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _graph(spark, sf_dir)
+
+
+@register(f"""WITH {SQL}, {_SIMILAR}, {_EDGES}, deg AS (SELECT node, count(*) AS degree FROM (SELECT a AS node FROM graph_edges UNION ALL SELECT b FROM graph_edges) GROUP BY node),
+    placed AS (SELECT *, row_number() OVER (ORDER BY degree, node) - 1 AS i, count(*) OVER () AS n FROM deg),
+    floor AS (SELECT greatest(3, max(degree)) AS least FROM placed WHERE i = CAST(floor(0.7 * (n - 1)) AS BIGINT))
+    SELECT node, degree, degree >= least AS hub FROM deg, floor""")
+def hub_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    degree = graph.degrees(_graph(spark, sf_dir))
+    # Degrees are few, so their histogram gives the value at a place of the sorted list without sorting nodes.
+    counts = degree.groupBy("degree").agg(F.count(F.lit(1)).alias("n")).withColumn("upto", F.sum("n").over(Window.orderBy("degree")))
+    total = counts.agg(F.max("upto").alias("total"))
+    at = F.floor(0.7 * (F.col("total") - 1))
+    least = counts.join(F.broadcast(total), F.col("upto") > at).agg(F.greatest(F.lit(3), F.min("degree")).alias("least"))  # one row
+    return degree.join(F.broadcast(least), F.lit(True)).select("node", "degree", (F.col("degree") >= F.col("least")).alias("hub"))
+
+
+_PAIRS = f"""pairs AS (
+    SELECT * FROM (SELECT x.vector_id AS x_id, x.doc_id AS x_doc, x.section_type AS x_section, dx.categories AS x_categories,
+        y.vector_id AS y_id, y.doc_id AS y_doc, y.section_type AS y_section, dy.categories AS y_categories, {_COS.format("x", "y")} AS cos,
+        row_number() OVER (PARTITION BY x.vector_id ORDER BY {_COS.format("x", "y")} DESC, y.vector_id) AS rank
+    FROM chunks x JOIN chunks y ON x.doc_id <> y.doc_id JOIN docs dx ON dx.doc_id = x.doc_id JOIN docs dy ON dy.doc_id = y.doc_id)
+    WHERE rank <= 6 AND cos >= 0.3),
+edges AS (
+    SELECT x_id AS src_chunk, y_id AS dst_chunk, 'need_solution' AS kind, cos AS similarity, cos AS surprise FROM pairs
+    WHERE x_section IN ('future_work', 'limitations') AND y_section IN ('method', 'experiments', 'applications')
+    UNION SELECT y_id, x_id, 'need_solution', cos, cos FROM pairs
+    WHERE y_section IN ('future_work', 'limitations') AND x_section IN ('method', 'experiments', 'applications')
+    UNION SELECT least(x_id, y_id), greatest(x_id, y_id), 'cross_domain', cos, cos FROM pairs WHERE len(list_intersect(x_categories, y_categories)) = 0)"""
+
+
+def _surprises(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = binding.chunks(spark, sf_dir).select("vector_id", "doc_id", "section_type").join(
+        binding.documents(spark, sf_dir).select("doc_id", "categories"), "doc_id"
+    )
+    side = lambda p: c.select(F.col("vector_id").alias(f"{p}_id"), F.col("doc_id").alias(f"{p}_doc"), F.col("section_type").alias(f"{p}_section"), F.col("categories").alias(f"{p}_categories"))
+    return graph.surprise_edges(_neighbours(spark, sf_dir).join(side("x"), "x_id").join(side("y"), "y_id"), 0.3)
+
+
+@register(f"WITH {SQL}, {_PAIRS} SELECT * FROM edges")
+def surprise_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _surprises(spark, sf_dir).select("src_chunk", "dst_chunk", "kind", "similarity", "surprise")
+
+
+@register(f"WITH {SQL}, {_PAIRS} SELECT src_chunk, dst_chunk, kind, surprise FROM edges ORDER BY surprise DESC, src_chunk, dst_chunk, kind LIMIT 50")
+def top_sparks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _surprises(spark, sf_dir).select("src_chunk", "dst_chunk", "kind", "surprise")
+    return rows.orderBy(F.desc("surprise"), "src_chunk", "dst_chunk", "kind").limit(50)
+
+
+@register(f"""WITH {SQL}, found AS (
+    SELECT q.vector_id AS problem, c.vector_id AS solution, c.doc_id, {_QC} AS cos FROM chunks q JOIN chunks c ON q.doc_id <> c.doc_id
+    WHERE q.section_type IN ('limitations', 'future_work') AND c.section_type IN ('method', 'applications')),
+    pool AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY problem ORDER BY cos DESC, solution) AS r FROM found) WHERE r <= 48 AND cos >= 0.3),
+    one AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY problem, doc_id ORDER BY r) AS in_doc FROM pool) WHERE in_doc = 1),
+    five AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY problem ORDER BY r) AS place FROM one) WHERE place <= 5)
+    SELECT c.vector_id AS problem, solution, cos, place, CASE WHEN solution IS NULL THEN 'greenfield' ELSE 'synthesis_opportunity' END AS kind
+    FROM chunks c LEFT JOIN five ON problem = c.vector_id WHERE c.section_type IN ('limitations', 'future_work')""")
+def problem_hunt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = binding.chunks(spark, sf_dir)
+    problems = c.filter(F.col("section_type").isin("limitations", "future_work")).select(F.col("vector_id").alias("problem"), F.col("doc_id").alias("own"), "embedding")
+    solutions = c.filter(F.col("section_type").isin("method", "applications")).select(F.col("vector_id").alias("solution"), "doc_id", "embedding")
+    pool = knn_join(problems, solutions, 48, "problem", "solution", "own", "doc_id").filter("cos >= 0.3")
+    pool = pool.join(solutions.select("solution", "doc_id"), "solution")
+    one = pool.withColumn("in_doc", F.row_number().over(Window.partitionBy("problem", "doc_id").orderBy("rank"))).filter("in_doc = 1")
+    place = F.row_number().over(Window.partitionBy("problem").orderBy("rank"))
+    five = one.withColumn("place", place.cast("long")).filter("place <= 5").select("problem", "solution", "cos", "place")
+    kind = F.when(F.col("solution").isNull(), "greenfield").otherwise("synthesis_opportunity")
+    return problems.select("problem").join(five, "problem", "left").withColumn("kind", kind)
+
+
+_CONNECTIONS = f"""hits AS (
+    SELECT * FROM (SELECT q.vector_id AS query_id, c.doc_id, c.section_type, {_QC} AS cos, row_number() OVER (PARTITION BY q.vector_id ORDER BY {_QC} DESC, c.vector_id) AS rank
+    FROM chunks q JOIN chunks c ON q.vector_id >= 400 AND c.vector_id < 400) WHERE rank <= 32),
+first AS (SELECT query_id, doc_id, min(rank) AS first FROM hits GROUP BY ALL),
+placed AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY first) AS place FROM first),
+stop AS (SELECT query_id, max(first) AS stop FROM placed WHERE place <= 8 GROUP BY query_id),
+connections AS (SELECT h.query_id, h.doc_id, max(cos) AS score, max(place) AS place FROM hits h JOIN placed USING (query_id, doc_id) JOIN stop USING (query_id)
+    WHERE place <= 8 AND rank <= stop GROUP BY ALL)"""
+
+
+def _connections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = binding.chunks(spark, sf_dir)
+    incoming = c.filter("vector_id >= 400").select(F.col("vector_id").alias("query_id"), "embedding")
+    known = c.filter("vector_id < 400")
+    pool = knn_join(incoming, known, 32, "query_id", "vector_id")
+    return ranking.connection_strength(pool.join(known.select("vector_id", "doc_id", "section_type"), "vector_id"), 8)
+
+
+@register(f"WITH {SQL}, {_CONNECTIONS} SELECT query_id, doc_id, score, place FROM connections")
+def connection_strength(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _connections(spark, sf_dir).select("query_id", "doc_id", "score", "place")
+
+
+@register(f"""WITH {SQL}, {_CONNECTIONS} SELECT query_id, round(least(1, greatest(0, 0.7 * max(score) FILTER (WHERE place = 1) + 0.3 * avg(score) FILTER (WHERE place <= 3)
+    + max(CASE WHEN place <= 5 AND kind IN ('note', 'reflection') THEN 0.05 ELSE 0.0 END))), 8) AS score FROM connections JOIN docs USING (doc_id) GROUP BY query_id""")
+def candidate_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.relevance(_connections(spark, sf_dir).join(binding.documents(spark, sf_dir).select("doc_id", "kind"), "doc_id"))
+
+
+@register(f"WITH {SQL} SELECT section_type, count(*) AS n, count(DISTINCT doc_id) AS docs, avg(CASE WHEN section_type = 'other' THEN 1.0 ELSE 0.0 END) AS other FROM chunks GROUP BY section_type")
+def section_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    other = F.avg(F.when(F.col("section_type") == "other", 1.0).otherwise(0.0))
+    return binding.chunks(spark, sf_dir).groupBy("section_type").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id").alias("docs"), other.alias("other"))
+
+
+@register("SELECT source AS tag, count(*) AS n FROM documents GROUP BY source ORDER BY n DESC, tag LIMIT 10")
+def tag_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").groupBy(F.col("source").alias("tag")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "tag").limit(10)
+
+
+@register("SELECT doc_id, sha256(text) AS content_hash, strlen(text) // 4 AS tokens, CASE WHEN length(text) <= 240 THEN text ELSE text[1:240] || '…' END AS snippet FROM documents")
+def text_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = F.col("text")
+    return table(spark, sf_dir, "documents").select("doc_id", scalars.content_hash(t).alias("content_hash"), scalars.approx_tokens(t).alias("tokens"), scalars.char_snippet(t, 240).alias("snippet"))
+
+
+@register(r"""WITH p AS (SELECT page_id, trim(url) AS u, regexp_replace(regexp_replace(trim(url), '(?i)^https?://', ''), '[?#].*$', '') AS place FROM pages),
+    s AS (SELECT *, lower(regexp_replace(regexp_replace(place, '[^A-Za-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')) AS slug FROM p)
+    SELECT page_id, regexp_replace(slug[1:60], '-+$', '') || '-' || sha256(u)[1:6] AS url_id, regexp_matches(u, '(?i)^https?://[^/?#\s:]+') AS valid FROM s""")
+def url_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", scalars.url_id(F.col("url")).alias("url_id"), scalars.valid_url(F.col("url")).alias("valid"))
+
+
+@register("""WITH g AS (SELECT user_id, ts, CASE WHEN lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w > INTERVAL 6 HOUR THEN 1 ELSE 0 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+    s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g)
+    SELECT user_id, CAST(floor(epoch(min(ts))) AS BIGINT) AS started, count(*) AS n_events FROM s GROUP BY user_id, k""")
+def debounce_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .streaming.changes import debounce
+
+    events = table(spark, sf_dir, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("op"))
+    out = debounce(events, "6 hours", "user_id")
+    return out.select("user_id", F.unix_timestamp("started").alias("started"), "n_events")
+
+
+@register(f"""WITH {SQL}, cached AS (SELECT DISTINCT sha256(text) AS h FROM documents WHERE doc_id % 3 = 0)
+    SELECT DISTINCT sha256(text) AS content_hash FROM documents WHERE sha256(text) NOT IN (SELECT h FROM cached)""")
+def cache_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.sha2("text", 256).alias("content_hash"))
+    cache = docs.filter("doc_id % 3 = 0").select("content_hash", F.lit("m").alias("model"), F.lit(1).alias("version"), F.array(F.lit(0.0)).alias("embedding")).dropDuplicates(["content_hash"])
+    return corpus.split_cache(docs, cache, "m", 1)[1].select("content_hash")
+
+
+@register(f"""WITH {SQL}, old AS (SELECT vector_id, 0.1 AS score, CASE vector_id % 3 WHEN 0 THEN 'new' WHEN 1 THEN 'dismissed' ELSE 'ingested' END AS status FROM chunks WHERE vector_id % 2 = 0),
+    fresh AS (SELECT vector_id, label / 10.0 AS score FROM chunks WHERE vector_id % 3 <> 2)
+    SELECT coalesce(o.vector_id, f.vector_id) AS cand_id, CASE WHEN o.vector_id IS NULL THEN 'new' ELSE status END AS status,
+        CASE WHEN o.vector_id IS NULL OR (status = 'new' AND f.vector_id IS NOT NULL) THEN f.score ELSE o.score END AS score, o.vector_id IS NULL AS inserted
+    FROM old o FULL OUTER JOIN fresh f USING (vector_id)""")
+def upsert_guarded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = binding.chunks(spark, sf_dir)
+    status = F.when(F.col("vector_id") % 3 == 0, "new").when(F.col("vector_id") % 3 == 1, "dismissed").otherwise("ingested")
+    old = c.filter("vector_id % 2 = 0").select(F.col("vector_id").alias("cand_id"), F.lit(0.1).alias("score"), status.alias("status"))
+    new = c.filter("vector_id % 3 <> 2").select(F.col("vector_id").alias("cand_id"), (F.col("label") / 10.0).alias("score"))
+    return corpus.upsert_candidates(old, new).select("cand_id", "status", "score", "inserted")
+
+
+@register(f"""WITH {SQL}, {_PAIRS} SELECT 'src_chunk without chunk' AS problem, count(*) AS n FROM edges WHERE src_chunk % 7 = 0 HAVING count(*) > 0
+    UNION ALL SELECT 'dst_chunk without chunk', count(*) FROM edges WHERE dst_chunk % 7 = 0 HAVING count(*) > 0""")
+def consistency_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = binding.chunks(spark, sf_dir).filter("vector_id % 7 <> 0")
+    return corpus.consistency(c, _surprises(spark, sf_dir), 64)
+
+
+@register("""WITH RECURSIVE p AS (SELECT conv_id * 1000 + turn AS id, conv_id * 1000 + turn - 1 AS parent FROM conversations WHERE turn > (SELECT min(turn) FROM conversations)),
+    n AS (SELECT conv_id * 1000 + turn AS id FROM conversations), e AS (SELECT p.* FROM p JOIN n ON n.id = p.parent),
+    up AS (SELECT id, parent AS ancestor FROM e UNION SELECT up.id, e.parent FROM up JOIN e ON e.id = up.ancestor) SELECT id, ancestor FROM up""")
+def ancestor_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "conv_id", "turn")
+    parent = turns.select(F.col("id").alias("parent"))
+    nodes = turns.join(parent, F.col("parent") == F.col("id") - 1, "left").select("id", F.array_compact(F.array("parent")).alias("parents"))
+    from .plans.lineage import cut
+
+    return context.ancestors(nodes, cut)
+
+
+@register(f"""WITH {SQL}, {_BLEND} , blocks AS (SELECT query_id, vector_id, score, 'From "' || d.source || '": ' || d.text AS block FROM dense JOIN documents d ON d.doc_id = vector_id),
+    used AS (SELECT *, coalesce(sum(strlen(block)) OVER (PARTITION BY query_id ORDER BY score DESC, vector_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM blocks)
+    SELECT query_id, vector_id, CAST(used AS BIGINT) AS used FROM used WHERE used <= 3000""")
+def draft_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vector_id"), "text", F.col("source").alias("title"))
+    hits = _dense(spark, sf_dir).select("query_id", "vector_id", "score").join(texts, "vector_id")
+    return context.draft_context(hits).select("query_id", "vector_id", "used")
+
+
+@register(r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)
+    SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE regexp_matches(line, '^#{1,3}\s+\S')) AS n_headings FROM l GROUP BY doc_id""")
+def line_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = chunking.lines_of(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text")
+    heading = ~F.col("fenced") & F.col("line").rlike(r"^#{1,3}\s+\S")
+    return lines.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_lines"), F.sum(heading.cast("long")).alias("n_headings"))
+
+
+@register()
+def chunk_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("sections_md"), F.lit(None).cast("string").alias("abstract"), F.lit(None).cast("string").alias("notes_md"), F.lit(None).cast("string").alias("reflection_md")
+    )
+    return chunking.build_chunks(docs, 256).drop("place")
+
+
+@register()
+def article_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sources.files import extract_articles
+
+    return extract_articles(table(spark, sf_dir, "pages"))[0].select("page_id", "title", "markdown")
+
+
+@register()
+def ppr_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents ranked from the document of each query, over the whole corpus graph."""
+    seeds = binding.query_vectors(spark, sf_dir).select("query_id", F.col("query_doc").alias("node"), F.lit(1.0).alias("weight"))
+    edges = _graph(spark, sf_dir).select(F.col("a").alias("src"), F.col("b").alias("dst"), "weight")
+    # A stated set of ten queries, each with its own mass on the one graph.
+    per_query = edges.join(F.broadcast(seeds.select("query_id").distinct()), F.lit(True))
+    from .plans.lineage import cut
+
+    mass = graph.pagerank(per_query, seeds, cut=cut)
+    return ranking.ranked(mass.withColumn("score", F.round("rank_mass", 9)), "query_id", "score", "node").select("query_id", "node", "score", "rank")
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(QUERIES)
+
 
-def queries() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return dict(ORACLES)
 
 
-def oracle_sql() -> dict:
-    return {}
