@@ -38,8 +38,7 @@ near AS (
         row_number() OVER (PARTITION BY q.query_id ORDER BY {_QC} DESC, c.vector_id) AS rank
     FROM query_vectors q, chunks c)"""
 _IMPORTANCE = "CASE section_type " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in ranking.IMPORTANCE.items()) + " END"
-_RECENCY = f"coalesce(exp(-ln(2) * greatest(0, (epoch(TIMESTAMP '{AS_OF}') - epoch(embedded_at)) / 86400.0) / 180.0), 0.5)"
-_AS_OF = F.lit(AS_OF).cast("timestamp")
+_RECENCY = f"CASE WHEN embedded_at IS NULL THEN 0.5 ELSE exp(-ln(2) * greatest(0, (epoch(TIMESTAMP '{AS_OF}') - epoch(embedded_at)) / 86400.0) / 180.0) END"
 _TOKENS = r"list_filter(string_split_regex(lower(coalesce({0}, '')), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')"
 
 
@@ -84,7 +83,7 @@ def recency_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = binding.chunks(spark, sf_dir)
     return c.select(
         "vector_id",
-        F.round(ranking.recency(F.col("embedded_at"), _AS_OF), 9).alias("recency"),
+        F.round(ranking.recency(F.col("embedded_at"), F.lit(AS_OF).cast("timestamp")), 9).alias("recency"),
         ranking.importance(F.col("section_type")).alias("importance"),
     )
 
@@ -94,7 +93,7 @@ dense AS (SELECT * FROM (SELECT * EXCLUDE (rank), row_number() OVER (PARTITION B
 
 
 def _dense(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.dense_list(binding.query_vectors(spark, sf_dir), binding.chunks(spark, sf_dir), 10, 40, 0.1, _AS_OF)
+    return search.dense_list(binding.query_vectors(spark, sf_dir), binding.chunks(spark, sf_dir), 10, 40, 0.1, F.lit(AS_OF).cast("timestamp"))
 
 
 @register(f"WITH {SQL}, {_BLEND} SELECT query_id, vector_id, cos, score, rank FROM dense")

@@ -49,7 +49,7 @@ def split_at_headings(docs: DataFrame, key: str = "doc_id", text: str = "text",
     is_heading = ~F.col("fenced") & F.col("line").rlike(rf"^#{{1,{deepest}}}\s+\S")
     so_far = Window.partitionBy(key).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     marked = lines.withColumn("is_heading", is_heading).withColumn("segment", F.sum(is_heading.cast("int")).over(so_far))
-    named = F.regexp_replace(F.regexp_replace(F.regexp_replace("line", r"^#+\s+", ""), r"\s*\{[^}]*\}\s*$", ""), r"\s*#*\s*$", "")
+    named = F.regexp_replace(F.regexp_replace("line", r"^#+\s+", ""), r"\s*#*\s*(\{[^}]*\}\s*)?#*\s*$", "")
     listed = F.array_sort(F.collect_list(F.when(~F.col("is_heading"), F.struct("line_no", "line"))))
     out = marked.groupBy(key, "segment").agg(
         F.max(F.when(F.col("is_heading"), named)).alias("heading"), F.array_join(F.transform(listed, lambda x: x["line"]), "\n").alias("body")

@@ -39,7 +39,7 @@ def filter_chunks(
 def recency(at: Column, as_of: Column, half_life_days: float = 180.0) -> Column:
     """Halves every half-life; 1 for the future, 0.5 where the time is unknown."""
     age = F.greatest(F.lit(0.0), (F.unix_timestamp(as_of) - F.unix_timestamp(at)) / 86400.0)
-    return F.coalesce(F.exp(-F.log(F.lit(2.0)) * age / max(half_life_days, 1.0)), F.lit(0.5))
+    return F.when(at.isNull(), 0.5).otherwise(F.exp(-F.log(F.lit(2.0)) * age / max(half_life_days, 1.0)))
 
 
 def importance(section: Column) -> Column:
