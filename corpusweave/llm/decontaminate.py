@@ -3,10 +3,11 @@
 DataFrame functions only. Every window of the items is reached by an anchor, its longest word (long words are
 rare; of equal ones the smallest). A text can hold a window only where it holds the anchor, so the scan explodes
 a text's words against the hash set of anchors, and compares the full window of words at the places that match.
-The explode and the look-up run in one generated loop: the words never leave it, only matches do.
+The explode and the look-up run in one generated loop: the words never leave it, only matches do. Long texts are
+cut into stretches first, so what a match carries is bounded.
 
-The anchors are broadcast while the items have at most ``broadcast_windows`` windows; beyond that the same join
-is left to shuffle. A text's matches are reduced to start positions per item before they meet by document.
+The anchors are broadcast while the items have at most ``broadcast_windows`` windows; beyond that
+stretches which hold an anchor are found by a shuffled join of distinct words, and only those are joined again. A text's matches are reduced to start positions per item before they meet by document.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ from pyspark.sql import functions as F
 from .common import ascii_lower
 
 WINDOW = 13
+#: Words that are scanned together; each stretch also holds the words around it that a window can reach.
+STRETCH = 512
 #: Item windows that may be broadcast: at some 150 bytes each, about 75 MB.
 BROADCAST_WINDOWS = 500_000
 # Fixed value: everything but ASCII letters, digits and non-ASCII characters separates words.
@@ -67,26 +70,51 @@ def find_hits(
     every document one row whose ``item`` and ``start`` are null (``start`` counts words from 0)."""
     grams = item_windows(items, item_col, item_text_col, window)
     few = grams.limit(broadcast_windows + 1).count() <= broadcast_windows
-    mark = docs.sparkSession.range(1).select(
-        F.lit(None).cast(grams.schema["item"].dataType).alias("item"),
-        F.lit(_MARK).alias("anchor"),
-        F.lit(0).alias("offset"),
-        F.lit(0).alias("size"),
-        F.lit(None).cast("array<string>").alias("gram"),
+    words = docs.select(F.col(id_col).alias("id"), normal_words(F.col(text_col)).alias("w"))
+    last = F.floor(F.greatest(F.size("w") - 1, F.lit(0)) / STRETCH).cast("int")
+    cut = words.select(
+        "id", F.size("w").alias("n_words"), "w", F.explode(F.sequence(F.lit(0), last)).alias("stretch")
     )
-    table = grams.unionByName(mark)
-    words = docs.select(F.col(id_col).alias("id"), normal_words(F.col(text_col)).alias("w")).select(
-        "id", (F.size("w")).alias("n_words"), F.concat("w", F.array(F.lit(_MARK))).alias("w")
+    first = F.col("stretch") * STRETCH
+    before = F.greatest(first - (window - 1), F.lit(0))  # words of the context before its first one
+    parts = cut.select(
+        "id",
+        "n_words",
+        "stretch",
+        first.alias("first"),
+        before.alias("before"),
+        F.slice("w", first + 1, F.lit(STRETCH)).alias("core"),
+        F.slice("w", before + 1, first - before + STRETCH + window - 1).alias("context"),
     )
-    placed = words.select("id", "n_words", "w", F.posexplode("w").alias("pos", "anchor"))
-    joined = placed.join(F.broadcast(table) if few else table, "anchor")
-    start = F.col("pos") - F.col("offset")
+    if few:
+        mark = docs.sparkSession.range(1).select(
+            F.lit(None).cast(grams.schema["item"].dataType).alias("item"),
+            F.lit(_MARK).alias("anchor"),
+            F.lit(0).alias("offset"),
+            F.lit(0).alias("size"),
+            F.lit(None).cast("array<string>").alias("gram"),
+        )
+        marked = F.when(F.col("stretch") == 0, F.concat("core", F.array(F.lit(_MARK)))).otherwise(F.col("core"))
+        placed = parts.select("*", F.posexplode(marked).alias("at", "anchor"))
+        joined = placed.join(F.broadcast(grams.unionByName(mark)), "anchor")
+        every = None
+    else:
+        # Which stretches hold an anchor, by a join of their distinct words; only those are read further.
+        anchors = grams.select("anchor").distinct()
+        held = parts.select("id", "stretch", F.explode(F.array_distinct("core")).alias("anchor")).join(anchors, "anchor")
+        held = held.select(F.col("id").alias("h_id"), F.col("stretch").alias("h_stretch")).distinct()
+        parts = parts.join(held, F.col("id").eqNullSafe(F.col("h_id")) & (F.col("stretch") == F.col("h_stretch")), "left_semi")
+        joined = parts.select("*", F.posexplode("core").alias("at", "anchor")).join(grams, "anchor")
+        every = words.select("id", F.size("w").alias("n_words"), F.lit(None).cast(grams.schema["item"].dataType).alias("item"), F.lit(None).cast("int").alias("start"), F.lit(0).alias("size"))
+    start = F.col("first") + F.col("at") - F.col("offset")
+    place = start - F.col("before") + 1
     same = F.col("gram").isNull() | (
-        (start >= 0) & (F.slice("w", F.greatest(start + 1, F.lit(1)), F.greatest("size", F.lit(1))) == F.col("gram"))
+        (start >= 0) & (place >= 1) & (F.slice("context", F.greatest(place, F.lit(1)), F.greatest("size", F.lit(1))) == F.col("gram"))
     )
-    return joined.filter(same).select(
+    found = joined.filter(same).select(
         "id", "n_words", "item", F.when(F.col("gram").isNotNull(), start).alias("start"), "size"
     )
+    return found if every is None else found.unionByName(every)
 
 
 def decontaminate(
