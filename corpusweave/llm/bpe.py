@@ -107,16 +107,34 @@ def list_parts(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return column.values.slice(off[0], off[-1] - off[0]), off - off[0]
 
 
-def _pack(**columns) -> bytes:
-    batch = pa.record_batch(columns)
+def _ipc(batch: pa.RecordBatch) -> bytes:
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
         w.write_batch(batch)
     return sink.getvalue().to_pybytes()
 
 
-def _unpack(raw: bytes) -> pa.Table:
-    return pa.ipc.open_stream(raw).read_all()
+def _pack(**arrays: np.ndarray) -> bytes:
+    """Arrays of any lengths, each compressed by itself."""
+    one = {k: pa.LargeListArray.from_arrays(pa.array([0, len(v)], pa.int64()), pa.array(v)) for k, v in arrays.items()}
+    return _ipc(pa.record_batch(one))
+
+
+def _unpack(raw: bytes) -> dict[str, np.ndarray]:
+    table = pa.ipc.open_stream(raw).read_all()
+    return {k: np.asarray(table[k].combine_chunks().flatten()) for k in table.column_names}
+
+
+def _narrow(values: np.ndarray) -> np.ndarray:
+    """Unsigned integers in the smallest width that holds them."""
+    most = int(values.max(initial=0))
+    return values.astype(np.uint8 if most < 1 << 8 else np.uint16 if most < 1 << 16 else np.uint32)
+
+
+def _bounds(sizes: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(sizes) + 1, np.int64)
+    np.cumsum(sizes, out=out[1:])
+    return out
 
 
 def _binary(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
@@ -127,6 +145,11 @@ def _binary(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
     )
 
 
+def _strings(data: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    buffers = [None, pa.py_buffer(_bounds(sizes)), pa.py_buffer(np.ascontiguousarray(data))]
+    return pa.Array.from_buffers(pa.large_string(), len(sizes), buffers)
+
+
 def _cut_blocks(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
     part, count = TaskContext.get().partitionId(), 0
     for whole in batches:
@@ -140,55 +163,60 @@ def _cut_blocks(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.
             coded = pc.dictionary_encode(flat.cast(pa.large_string()))
             index = np.asarray(coded.indices, np.int64)
             raw, off = utf8_parts(coded.dictionary)
+            # A word's number is its rank by frequency in the block, so most positions have small numbers.
+            order = np.argsort(-np.bincount(index, minlength=len(off) - 1), kind="stable")
+            rank = np.empty(len(order), np.int64)
+            rank[order] = np.arange(len(order))
             bucket = (span_hashes(raw, off[:-1], off[1:], fold_case=False) % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            # Words are numbered by bucket, so a bucket's part of the list is one range.
-            number = np.empty(len(order), np.int32)
-            number[order] = np.arange(len(order), dtype=np.int32)
-            listed = coded.dictionary.take(pa.array(order))
-            edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            order = np.lexsort((rank, bucket))
+            data, cut = gather(raw, off, order)
+            rank_of, edges = rank[order], np.searchsorted(bucket[order], np.arange(buckets + 1))
             used = np.flatnonzero(edges[1:] > edges[:-1])
-            rows = [_pack(word=listed.slice(edges[b], edges[b + 1] - edges[b])) for b in used]
-            low = number[index] if len(index) else np.zeros(0, np.int32)
-            docs = _pack(
-                id=batch.column("id"), at=pa.LargeListArray.from_arrays(pa.array(bounds), pa.array(low))
-            )
+            rows = []
+            for b in used:
+                x, y = edges[b], edges[b + 1]
+                step = np.diff(rank_of[x:y], prepend=0)
+                rows.append(_pack(data=data[cut[x] : cut[y]], size=_narrow(np.diff(cut[x : y + 1])), step=_narrow(step)))
+            numbers = rank[index] if len(index) else index
+            planes = {f"byte{k}": ((numbers >> (8 * k)) & 255).astype(np.uint8) for k in range(4)}
             block = (part << 32) + count
             count += 1
+            n = len(rows)
             yield pa.record_batch(
                 {
-                    "block": pa.array([block] * (len(rows) + 1), pa.int64()),
+                    "block": pa.array([block] * (n + 1), pa.int64()),
                     "bucket": pa.array([-1, *used.tolist()], pa.int32()),
-                    "first": pa.array([0, *edges[used].tolist()], pa.int32()),
-                    "pack": pa.array([docs, *rows], pa.binary()),
+                    "pack": pa.array([_pack(size=_narrow(np.diff(bounds)), **planes), *rows], pa.binary()),
+                    "ids": pa.array([_ipc(pa.record_batch({"id": batch.column("id")}))] + [None] * n, pa.binary()),
                 }
             )
 
 
 def _encode_bucket(path: str, group: pa.Table) -> pa.Table:
-    words = [_unpack(x.as_py())["word"].combine_chunks() for x in group["pack"]]
-    coded = pc.dictionary_encode(pa.concat_arrays(words))
+    packs = [_unpack(x.as_py()) for x in group["pack"]]
+    coded = pc.dictionary_encode(pa.concat_arrays([_strings(p["data"], p["size"]) for p in packs]))
     values, bounds = encode_words(path, coded.dictionary.to_pylist())
     index = np.asarray(coded.indices, np.int64)
     out, at = [], 0
-    for w in words:
-        ids, cut = gather(values, bounds, index[at : at + len(w)])
-        at += len(w)
-        out.append(_pack(ids=pa.LargeListArray.from_arrays(pa.array(cut), pa.array(ids))))
-    return pa.table({"block": group["block"], "first": group["first"], "pack": pa.array(out, pa.binary())})
+    for p in packs:
+        ids, cut = gather(values, bounds, index[at : at + len(p["size"])])
+        at += len(p["size"])
+        out.append(_pack(ids=_narrow(ids), size=_narrow(np.diff(cut)), step=p["step"]))
+    return pa.table({"block": group["block"], "pack": pa.array(out, pa.binary())})
 
 
 def _assemble(path: str, id_type: pa.DataType, docs: pa.Table, packs: pa.Table) -> Iterator[pa.RecordBatch]:
-    first = np.asarray(packs["first"])
-    parts = [list_parts(_unpack(packs["pack"][int(k)].as_py())["ids"].combine_chunks()) for k in np.argsort(first)]
-    values = np.concatenate([np.asarray(v) for v, _ in parts]) if parts else np.zeros(0, np.uint32)
-    lens = np.concatenate([np.diff(b) for _, b in parts]) if parts else np.zeros(0, np.int64)
-    bounds = np.zeros(len(lens) + 1, np.int64)
-    np.cumsum(lens, out=bounds[1:])
+    parts = [_unpack(x.as_py()) for x in packs["pack"]]
+    none = np.zeros(0, np.int64)
+    values = np.concatenate([p["ids"].astype(np.uint32) for p in parts] or [none])
+    bounds = _bounds(np.concatenate([p["size"] for p in parts] or [none]))
+    rank = np.concatenate([np.cumsum(p["step"], dtype=np.int64) for p in parts] or [none])
+    values, bounds = gather(values, bounds, np.argsort(rank))
     text, edges = pieces(path)
     table = _unpack(docs["pack"][0].as_py())
-    where, rows = list_parts(table["at"].combine_chunks())
-    where, ids = np.asarray(where), table["id"].combine_chunks()
+    where = sum(table[f"byte{k}"].astype(np.int64) << (8 * k) for k in range(4))
+    rows = _bounds(table["size"])
+    ids = pa.ipc.open_stream(docs["ids"][0].as_py()).read_all()["id"].combine_chunks()
     at = 0
     while at < len(ids):
         to = max(at + 1, int(np.searchsorted(rows, rows[at] + 300_000, side="right")) - 1)
@@ -232,14 +260,15 @@ def encode_documents(
     )
     blocks = stage(
         words.mapInArrow(
-            lambda batches: _cut_blocks(batches, buckets), "block long, bucket int, first int, pack binary"
+            lambda batches: _cut_blocks(batches, buckets), "block long, bucket int, pack binary, ids binary"
         ),
         "word-blocks",
     )
     coded = (
         blocks.filter("bucket >= 0")
+        .select("block", "bucket", "pack")
         .groupBy("bucket")
-        .applyInArrow(lambda group: _encode_bucket(tokenizer_path, group), "block long, first int, pack binary")
+        .applyInArrow(lambda group: _encode_bucket(tokenizer_path, group), "block long, pack binary")
     )
     arrow_id = arrow_type(id_type)
 
@@ -255,7 +284,7 @@ def encode_documents(
         ]
     )
     out = (
-        blocks.filter("bucket < 0").groupBy("block").cogroup(coded.groupBy("block")).applyInArrow(assemble, schema)
+        blocks.filter("bucket < 0").select("block", "pack", "ids").groupBy("block").cogroup(coded.groupBy("block")).applyInArrow(assemble, schema)
     )
     return out.withColumnRenamed("id", id_col)
 
