@@ -26,7 +26,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stage
 from .textnum import gather, span_hashes, utf8_parts
 
 # The white space of Unicode, and the word pattern of byte-level BPE vocabularies.
@@ -185,7 +184,7 @@ def _cut_blocks(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.
             yield pa.record_batch(
                 {
                     "block": pa.array([block] * (n + 1), pa.int64()),
-                    "bucket": pa.array([-1, *used.tolist()], pa.int32()),
+                    "key": pa.array([-1 - block, *used.tolist()], pa.int64()),
                     "pack": pa.array([_pack(size=_narrow(np.diff(bounds)), **planes), *rows], pa.binary()),
                     "ids": pa.array([_ipc(pa.record_batch({"id": batch.column("id")}))] + [None] * n, pa.binary()),
                 }
@@ -193,6 +192,9 @@ def _cut_blocks(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.
 
 
 def _encode_bucket(path: str, group: pa.Table) -> pa.Table:
+    """Ids for the words of a bucket, pack by pack; the documents of a block pass through."""
+    if group["key"][0].as_py() < 0:
+        return group.select(["block", "pack", "ids"])
     packs = [_unpack(x.as_py()) for x in group["pack"]]
     coded = pc.dictionary_encode(pa.concat_arrays([_strings(p["data"], p["size"]) for p in packs]))
     values, bounds = encode_words(path, coded.dictionary.to_pylist())
@@ -202,10 +204,12 @@ def _encode_bucket(path: str, group: pa.Table) -> pa.Table:
         ids, cut = gather(values, bounds, index[at : at + len(p["size"])])
         at += len(p["size"])
         out.append(_pack(ids=_narrow(ids), size=_narrow(np.diff(cut)), step=p["step"]))
-    return pa.table({"block": group["block"], "pack": pa.array(out, pa.binary())})
+    return pa.table({"block": group["block"], "pack": pa.array(out, pa.binary()), "ids": pa.nulls(len(out), pa.binary())})
 
 
-def _assemble(path: str, id_type: pa.DataType, docs: pa.Table, packs: pa.Table) -> Iterator[pa.RecordBatch]:
+def _assemble(path: str, id_type: pa.DataType, group: pa.Table) -> Iterator[pa.RecordBatch]:
+    is_docs = pc.is_valid(group["ids"])
+    docs, packs = group.filter(is_docs), group.filter(pc.invert(is_docs))
     parts = [_unpack(x.as_py()) for x in packs["pack"]]
     none = np.zeros(0, np.int64)
     values = np.concatenate([p["ids"].astype(np.uint32) for p in parts] or [none])
@@ -258,22 +262,17 @@ def encode_documents(
     words = docs.select(
         F.col(id_col).alias("id"), words_column(F.col(text_col), special_tokens(tokenizer_path)).alias("words")
     )
-    blocks = stage(
-        words.mapInArrow(
-            lambda batches: _cut_blocks(batches, buckets), "block long, bucket int, pack binary, ids binary"
-        ),
-        "word-blocks",
+    # One chain without a second reader, so blocks and their packs always come from one run of a task.
+    blocks = words.mapInArrow(
+        lambda batches: _cut_blocks(batches, buckets), "block long, key long, pack binary, ids binary"
     )
-    coded = (
-        blocks.filter("bucket >= 0")
-        .select("block", "bucket", "pack")
-        .groupBy("bucket")
-        .applyInArrow(lambda group: _encode_bucket(tokenizer_path, group), "block long, pack binary")
+    coded = blocks.groupBy("key").applyInArrow(
+        lambda group: _encode_bucket(tokenizer_path, group), "block long, pack binary, ids binary"
     )
     arrow_id = arrow_type(id_type)
 
-    def assemble(docs_of: pa.Table, packs: pa.Table) -> pa.Table:
-        return pa.Table.from_batches(list(_assemble(tokenizer_path, arrow_id, docs_of, packs)))
+    def assemble(group: pa.Table) -> pa.Table:
+        return pa.Table.from_batches(list(_assemble(tokenizer_path, arrow_id, group)))
 
     schema = T.StructType(
         [
@@ -283,9 +282,7 @@ def encode_documents(
             T.StructField("text", T.StringType()),
         ]
     )
-    out = (
-        blocks.filter("bucket < 0").select("block", "pack", "ids").groupBy("block").cogroup(coded.groupBy("block")).applyInArrow(assemble, schema)
-    )
+    out = coded.groupBy("block").applyInArrow(assemble, schema)
     return out.withColumnRenamed("id", id_col)
 
 
