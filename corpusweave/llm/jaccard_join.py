@@ -159,7 +159,10 @@ def _describe(docs: DataFrame, id_col: str, text_col: str, k: int, num: int, den
 
 
 def _open_groups(num: int, den: int, left: pa.Table, right: pa.Table) -> pa.Table:
-    """Links between queries (left) and members of one group (right) in other components, as component pairs."""
+    """Links between queries (left) and members of one group (right) in other components, as component pairs.
+
+    Of the links found here, those that close a circle are left out: they join nothing new.
+    """
     member_keys = right["member_keys"].combine_chunks()
     bounds = np.asarray(member_keys.offsets, np.int64)
     flat = np.asarray(member_keys.values)[bounds[0] : bounds[-1]]
@@ -167,7 +170,15 @@ def _open_groups(num: int, den: int, left: pa.Table, right: pa.Table) -> pa.Tabl
     order = np.argsort(flat, kind="stable")
     listed, owner = flat[order], np.repeat(np.arange(len(right)), np.diff(bounds))[order]
     size, component = np.diff(bounds), np.asarray(right["member_component"])
-    out: set[tuple[int, int]] = set()
+    out: list[tuple[int, int]] = []
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := root.setdefault(x, x)) != x:
+            root[x] = root[up]
+            x = up
+        return x
+
     for keys, mine in zip(left["keys"], left["component"].to_pylist(), strict=True):
         keys = np.asarray(keys.values)
         at, to = np.searchsorted(listed, keys, "left"), np.searchsorted(listed, keys, "right")
@@ -178,7 +189,11 @@ def _open_groups(num: int, den: int, left: pa.Table, right: pa.Table) -> pa.Tabl
         where = np.repeat(at[hit] - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
         both = np.bincount(owner[where], minlength=len(size))
         linked = (den * both >= num * (size + len(keys) - both)) & (component != mine)
-        out.update((mine, int(c)) for c in component[linked])
+        for other in np.unique(component[linked]).tolist():
+            a, b = find(mine), find(other)
+            if a != b:
+                root[b] = a
+                out.append((mine, other))
     return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([x for _, x in out], pa.int64())})
 
 
