@@ -17,6 +17,7 @@ import json
 import os
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -97,7 +98,7 @@ def encode_words(path: str, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     found = [x.ids for x in tokenizer(path).encode_batch_fast(words, add_special_tokens=False)]
     bounds = np.zeros(len(found) + 1, np.int64)
     np.cumsum([len(x) for x in found], out=bounds[1:])
-    return np.fromiter((i for x in found for i in x), np.uint32, int(bounds[-1])), bounds
+    return np.fromiter(chain.from_iterable(found), np.uint32, int(bounds[-1])), bounds
 
 
 def list_parts(column: pa.Array) -> tuple[pa.Array, np.ndarray]:

@@ -27,11 +27,11 @@ def scratch_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back, which cuts its lineage."""
+def stage(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder and read it back, which cuts its lineage. ``options`` are the writer's."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

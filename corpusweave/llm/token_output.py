@@ -1,7 +1,7 @@
 """Token-id files with canonical, length-limited Huffman codes.
 
-Writing: texts become ids (words split in the JVM, ids of words cached per worker), documents are sorted by
-id over range partitions, and each partition is cut into segments of a bounded number of tokens. Token counts
+Writing: documents are sorted by id over range partitions, texts become ids (words split in the JVM, ids of words
+cached per worker), and each partition is cut into segments of a bounded number of tokens. Token counts
 are summed over all segments; their table is no larger than the vocabulary, and package-merge turns it into
 code lengths of at most ``MAX_BITS``. Each segment is then coded on its own.
 
@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -34,28 +35,41 @@ from .textnum import gather
 
 MAX_BITS = 18
 BLOCK_TOKENS = 128
-SEGMENT_TOKENS = 1 << 20
-#: Words whose ids a Python worker keeps.
-CACHED_WORDS = 400_000
-
-_KNOWN: dict[tuple[str, str], np.ndarray] = {}
-
-
-def _ids_of_words(path: str, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of distinct words: known ones from the worker's cache, the others from the tokenizer."""
-    if len(_KNOWN) > CACHED_WORDS:
-        _KNOWN.clear()
-    found = [_KNOWN.get((path, w)) for w in words]
-    missing = [k for k, x in enumerate(found) if x is None]
-    if missing:
-        values, bounds = encode_words(path, [words[k] for k in missing])
-        for at, k in enumerate(missing):
-            found[k] = ids = values[bounds[at] : bounds[at + 1]].copy()
-            if len(words[k]) < 40:
-                _KNOWN[path, words[k]] = ids
-    out = np.zeros(len(found) + 1, np.int64)
-    np.cumsum([len(x) for x in found], out=out[1:])
-    return (np.concatenate(found) if found else np.zeros(0, np.uint32)), out
+SEGMENT_TOKENS = 1 << 18
+#: Words whose ids a Python worker keeps, and ids at most.
+CACHED_WORDS = 300_000
+CACHED_IDS = 4_000_000
+
+
+class _KnownWords:
+    """Words that a Python worker has met, numbered, and the ids of each."""
+
+    def __init__(self, path: str):
+        self.path, self.number = path, {}
+        self.values, self.bounds = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+
+    def numbers(self, words: list[str]) -> np.ndarray:
+        """Numbers of distinct words; new ones are encoded."""
+        out = np.fromiter(map(self.number.get, words, repeat(-1)), np.int64, len(words))
+        new = np.flatnonzero(out < 0)
+        if len(new):
+            missing = [words[k] for k in new]
+            values, bounds = encode_words(self.path, missing)
+            out[new] = np.arange(len(self.number), len(self.number) + len(new))
+            self.number.update(zip(missing, out[new].tolist()))
+            self.bounds = np.concatenate([self.bounds, bounds[1:] + self.bounds[-1]])
+            self.values = np.concatenate([self.values, values])
+        return out
+
+
+_KNOWN: dict[str, _KnownWords] = {}
+
+
+def _known_words(path: str) -> _KnownWords:
+    known = _KNOWN.get(path)
+    if known is None or len(known.number) > CACHED_WORDS or len(known.values) > CACHED_IDS:
+        known = _KNOWN[path] = _KnownWords(path)
+    return known
 
 
 def _tokenize(path: str, end_id: int | None, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -68,8 +82,9 @@ def _tokenize(path: str, end_id: int | None, batches: Iterator[pa.RecordBatch])
             at = to
             flat, bounds = list_parts(batch.column("words"))
             coded = pc.dictionary_encode(flat.cast(pa.large_string()))
-            values, cut = _ids_of_words(path, coded.dictionary.to_pylist())
-            ids, word_cut = gather(values, cut, np.asarray(coded.indices, np.int64))
+            known = _known_words(path)
+            numbers = known.numbers(coded.dictionary.to_pylist())
+            ids, word_cut = gather(known.values, known.bounds, numbers[np.asarray(coded.indices, np.int64)])
             of_doc = word_cut[bounds]
             if end_id is not None:
                 ids = np.insert(ids, of_doc[1:], np.uint32(end_id))
@@ -258,12 +273,10 @@ def write_token_files(
     spark = docs.sparkSession
     id_type = docs.schema[id_col].dataType
     size = max(tokenizer(tokenizer_path).get_vocab_size(with_added_tokens=True), (end_id or 0) + 1)
-    dealt = (
-        token_ids(docs, tokenizer_path, id_col, text_col, end_id)
-        .repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "id")
-        .sortWithinPartitions("id")
-        .withColumn("part", F.spark_partition_id())
-    )
+    # Texts are dealt out before they become ids: finding the ranges reads the input twice, but encodes nothing.
+    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = docs.select(id_col, text_col).repartitionByRange(ranges, id_col).sortWithinPartitions(id_col)
+    dealt = token_ids(dealt, tokenizer_path, id_col, text_col, end_id).withColumn("part", F.spark_partition_id())
     head = [
         T.StructField("part", T.IntegerType()),
         T.StructField("segment", T.IntegerType()),
@@ -272,7 +285,9 @@ def write_token_files(
         T.StructField("doc_ids", T.ArrayType(id_type)),
         T.StructField("doc_tokens", T.ArrayType(T.LongType())),
     ]
-    raw = stage(dealt.mapInArrow(_segments, T.StructType([*head, T.StructField("ids", T.BinaryType())])), "segments")
+    raw = stage(
+        dealt.mapInArrow(_segments, T.StructType([*head, T.StructField("ids", T.BinaryType())])), "segments", compression="zstd"
+    )
     counted = raw.select("ids").mapInArrow(lambda b: _counts(size, b), "id int, n long").groupBy("id").agg(F.sum("n"))
     counts = np.zeros(size, np.int64)
     for number, n in counted.collect():  # a row per id of the vocabulary at most
