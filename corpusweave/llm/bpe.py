@@ -38,6 +38,8 @@ WORD_PATTERN = (
 
 #: Words of a block at most, unless a single document has more.
 BLOCK_WORDS = 4_000_000
+#: Words per call of the tokenizer, whose results are large objects.
+ENCODED_TOGETHER = 20_000
 
 
 @lru_cache(maxsize=2)
@@ -95,10 +97,14 @@ def words_column(text: Column, specials: list[str]) -> Column:
 
 def encode_words(path: str, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Ids of words that each stand alone: all ids, and their bounds."""
-    found = [x.ids for x in tokenizer(path).encode_batch_fast(words, add_special_tokens=False)]
-    bounds = np.zeros(len(found) + 1, np.int64)
-    np.cumsum([len(x) for x in found], out=bounds[1:])
-    return np.fromiter(chain.from_iterable(found), np.uint32, int(bounds[-1])), bounds
+    sizes, values = [], [np.zeros(0, np.uint32)]
+    for k in range(0, len(words), ENCODED_TOGETHER):
+        found = [x.ids for x in tokenizer(path).encode_batch_fast(words[k : k + ENCODED_TOGETHER], add_special_tokens=False)]
+        sizes.extend(map(len, found))
+        values.append(np.fromiter(chain.from_iterable(found), np.uint32))
+    bounds = np.zeros(len(words) + 1, np.int64)
+    np.cumsum(sizes, out=bounds[1:])
+    return np.concatenate(values), bounds
 
 
 def list_parts(column: pa.Array) -> tuple[pa.Array, np.ndarray]:

@@ -36,6 +36,8 @@ from .textnum import gather
 MAX_BITS = 18
 BLOCK_TOKENS = 128
 SEGMENT_TOKENS = 1 << 18
+#: Words that a task encodes at a time, unless a single document has more.
+CHUNK_WORDS = 500_000
 #: Words whose ids a Python worker keeps, and ids at most.
 CACHED_WORDS = 300_000
 CACHED_IDS = 4_000_000
@@ -77,7 +79,7 @@ def _tokenize(path: str, end_id: int | None, batches: Iterator[pa.RecordBatch])
         _, sizes = list_parts(whole.column("words"))
         at = 0
         while at < whole.num_rows:
-            to = max(at + 1, int(np.searchsorted(sizes, sizes[at] + 2_000_000, side="right")) - 1)
+            to = max(at + 1, int(np.searchsorted(sizes, sizes[at] + CHUNK_WORDS, side="right")) - 1)
             batch = whole.slice(at, to - at)
             at = to
             flat, bounds = list_parts(batch.column("words"))
