@@ -72,19 +72,21 @@ def histograms(raw: np.ndarray, off: np.ndarray) -> np.ndarray:
     return np.sqrt(out / np.maximum(out.sum(1, keepdims=True), 1)).astype(np.float32)
 
 
-def _svm(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 1500) -> tuple[np.ndarray, float]:
-    """A linear support vector machine (labels -1 and 1): averaged stochastic subgradients of the hinge loss."""
+def _svm(x: np.ndarray, own: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 1500) -> tuple[np.ndarray, float]:
+    """A linear support vector machine over the rows ``own`` of ``x`` (labels ``y``, -1 and 1): averaged stochastic
+    subgradients of the hinge loss."""
     draw = np.random.default_rng(11)
     sides = [np.flatnonzero(y < 0), np.flatnonzero(y > 0)]
     w, b, mean_w, mean_b, kept = np.zeros(x.shape[1]), 0.0, np.zeros(x.shape[1]), 0.0, 0
     for t in range(1, steps + 1):
         rows = np.concatenate([draw.choice(s, 32) for s in sides])
         rate = 1.0 / (ridge * (t + 1000))
-        wrong = rows[y[rows] * (x[rows] @ w + b) < 1]
+        taken = x[own[rows]].astype(np.float32)
+        miss = y[rows] * (taken @ w.astype(np.float32) + b) < 1
         w *= 1 - rate * ridge
-        if len(wrong):
-            w += rate / 64 * (y[wrong] @ x[wrong])
-            b += rate / 64 * y[wrong].sum() * 0.1
+        if miss.any():
+            w += rate / 64 * (y[rows[miss]] @ taken[miss])
+            b += rate / 64 * y[rows[miss]].sum() * 0.1
         if t > steps // 2:
             mean_w += w
             mean_b += b
@@ -92,14 +94,14 @@ def _svm(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 1500) -
     return mean_w / kept, mean_b / kept
 
 
-def _pairs(x: np.ndarray, y: list[str]) -> dict:
-    """Machines of all pairs of names, and a slope that turns margins into probabilities."""
+def _pairs(x: np.ndarray, own: np.ndarray, y: list[str]) -> dict:
+    """Machines of all pairs of names; ``y`` names the rows ``own`` of ``x``."""
     names, y = sorted(set(y)), np.array(y)
     out = {}
     for a, b in combinations(names, 2):
         rows = np.flatnonzero((y == a) | (y == b))
         sign = np.where(y[rows] == b, 1.0, -1.0)
-        out[a, b] = _svm(x[rows], sign)
+        out[a, b] = _svm(x, own[rows], sign)
     return {"names": names, "machines": out}
 
 
@@ -109,15 +111,16 @@ def train(docs: DataFrame, usable: Column, lang_col: str = "lang", per_class: in
     rows = [r for r in rows if any(c.isalpha() for c in r.text)]
     if not rows:
         return {}
-    x = np.concatenate(
-        [histograms(*utf8_parts(pa.array([r.text for r in rows[k : k + 500]], pa.large_string()))) for k in range(0, len(rows), 500)]
-    )
+    # Half precision and rows taken by number: the driver holds one copy of the sample, 16 kB a row.
+    x = np.empty((len(rows), BUCKETS), np.float16)
+    for k in range(0, len(rows), 200):
+        x[k : k + 200] = histograms(*utf8_parts(pa.array([r.text for r in rows[k : k + 200]], pa.large_string())))
     langs = [r.y for r in rows]
     families = [family_of(v) for v in langs]
-    model = {"family": _pairs(x, families), "within": {}}
+    model = {"family": _pairs(x, np.arange(len(rows)), families), "within": {}}
     for f in sorted(set(families)):
-        own = [k for k, v in enumerate(families) if v == f]
-        model["within"][f] = _pairs(x[own], [langs[k] for k in own])
+        own = np.array([k for k, v in enumerate(families) if v == f])
+        model["within"][f] = _pairs(x, own, [langs[k] for k in own])
     return model
 
 

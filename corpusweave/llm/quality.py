@@ -154,13 +154,34 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "qual
     y = np.array([r.y for r in rows], float)
     if not len(y) or min(y.sum(), (1 - y).sum()) < 4:
         return {"prior": prior}
-    raw, off = utf8_parts(pa.array([r.text for r in rows], pa.large_string()))
-    parts = features(raw, off, np.array([r["__stated"] for r in rows], float))
+    parts = _features_in_chunks(rows)
     # Rows weigh as their class does among all labelled rows.
     share = np.where(y == 1, prior / y.mean(), (1 - prior) / (1 - y.mean()))
     return {"prior": prior} | fit(*parts, y, share)
 
 
+def _features_in_chunks(rows: list, chunk_rows: int = 500) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``features`` of the sample, worked out slice by slice so that the driver holds few arrays of the bytes at a time.
+
+    Takes the rows' texts out of ``rows`` as it goes.
+    """
+    parts, done = [], 0
+    while rows:
+        batch = pa.record_batch(
+            {
+                "text": pa.array([r.text for r in rows[:chunk_rows]], pa.large_string()),
+                "stated": pa.array([r["__stated"] for r in rows[:chunk_rows]], pa.float64()),
+            }
+        )
+        del rows[:chunk_rows]
+        for part in slices(iter([batch]), "text", limit=500_000, rows=chunk_rows):
+            raw, off = utf8_parts(part.column("text"))
+            stats, text, bucket, value = features(raw, off, np.asarray(part.column("stated")))
+            parts.append((stats, (text + done).astype(np.int32), bucket.astype(np.int32), value.astype(np.float32)))
+            done += part.num_rows
+    return tuple(np.concatenate(column) for column in zip(*parts, strict=True))
+
+
 def _stated(docs: DataFrame) -> Column:
     """The stated length of a text, or its length where none is stated."""
     length = F.char_length(F.coalesce(F.col("text"), F.lit("")))

@@ -61,9 +61,10 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers 0..n-1 of the multiplier and of its inverse, modulo 2**64."""
     if not _POWERS or len(_POWERS[0]) < n:
         inverse = pow(_MULTIPLIER, -1, 2**64)
+        size = 1 << max(n - 1, CHUNK_BYTES // 4).bit_length()
         _POWERS[:] = []
         for base in (_MULTIPLIER, inverse):
-            out = np.full(max(n, CHUNK_BYTES + 1), base, np.uint64)
+            out = np.full(size, base, np.uint64)
             out[0] = 1
             _POWERS.append(np.multiply.accumulate(out))
     return _POWERS[0][:n], _POWERS[1][:n]

@@ -32,6 +32,8 @@ PER_CLASS = 3000
 WINDOW = 64
 LEVEL = 6
 ORDINARY_BYTES, TOXIC_BYTES = 8192, 1024
+#: Windows of clean texts that the ordinary dictionary is trained on at most.
+ORDINARY_WINDOWS = 40_000
 
 # Letters (lower-cased) and bytes of other scripts stand for themselves, all else for a space.
 _FOLD = np.full(256, 32, np.uint8)
@@ -102,28 +104,34 @@ def _grams(words: set[bytes]) -> set[bytes]:
     return out
 
 
+def _words(text: str) -> list[bytes]:
+    return _FOLD[np.frombuffer(text.encode(), np.uint8)].tobytes().split()
+
+
 def _parts(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return utf8_parts(pa.array(texts, pa.large_string()))
 
 
 def train_dictionaries(toxic: list[str], clean: list[str]) -> tuple[bytes, bytes]:
     """Contents of the ordinary and of the toxic dictionary."""
-    split = lambda t: _FOLD[np.frombuffer(t.encode(), np.uint8)].tobytes().split()
-    toxic_words, clean_words = [split(t) for t in toxic], [split(t) for t in clean]
     in_toxic, in_clean = Counter(), Counter()
-    for words, counter in ((toxic_words, in_toxic), (clean_words, in_clean)):
-        for w in words:
-            counter.update(_grams(set(w)))
+    for texts, counter in ((toxic, in_toxic), (clean, in_clean)):
+        for t in texts:
+            counter.update(_grams(set(_words(t))))
     least = max(3, len(toxic) // 100)
     marks = {
         g
         for g, n in in_toxic.items()
         if n >= least and math.log((n + 0.5) / len(toxic) * len(clean) / (in_clean[g] + 0.5)) > 3.0
     }
-    passages = [b" " + b" ".join(w for w in words if _grams({w}) & marks) + b" " for words in toxic_words]
+    passages = [b" " + b" ".join(w for w in _words(t) if _grams({w}) & marks) + b" " for t in toxic]
     passages = [p for p in passages if len(p) > 8]
-    windows, _ = _windows(*_parts(clean))
-    return _trained(windows[:40_000], ORDINARY_BYTES, 32), _trained(passages, TOXIC_BYTES, 24)
+    windows: list[bytes] = []
+    for at in range(0, len(clean), 200):
+        windows += _windows(*_parts(clean[at : at + 200]))[0]
+        if len(windows) >= ORDINARY_WINDOWS:
+            break
+    return _trained(windows[:ORDINARY_WINDOWS], ORDINARY_BYTES, 32), _trained(passages, TOXIC_BYTES, 24)
 
 
 def _trained(samples: list[bytes], size: int, segment: int) -> bytes:
@@ -146,7 +154,7 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "toxi
     ordinary, toxic = train_dictionaries(*([x for i, x in enumerate(sides[k]) if i % 3] for k in (1, 0)))
     tools = _compressors(ordinary, toxic)
     held = [(t, k) for k in (0, 1) for t in sides[k][::3]]
-    x = _figures(*_parts([t for t, _ in held]), *tools)
+    x = np.concatenate([_figures(*_parts([t for t, _ in held[at : at + 200]]), *tools) for at in range(0, len(held), 200)])
     y = np.array([k for _, k in held], float)
     share = np.where(y == 1, prior / y.mean(), (1 - prior) / (1 - y.mean()))
     return {"prior": prior, "ordinary": ordinary, "toxic": toxic, "beta": fit_logistic(x, y, share, 0.02)}
