@@ -22,16 +22,23 @@ def labelled_sample(
 ) -> tuple[list, dict]:
     """At most ``per_class`` labelled rows of each class, and the number of labelled rows of each class.
 
-    Rows are taken in the order of a hash of their id, so the sample is the same in every run. Rows with a
-    null label, or which ``usable`` (over ``labels``) excludes, are out. The classes must be few: the bound
+    Rows are taken in the order of a hash of their id, so the sample is the same in every run. Only as small a
+    share of a class as surely holds enough rows (ten standard deviations more than ``per_class``) is sorted, so
+    no task gets a whole class. Rows with a null label, or which ``usable`` (over ``labels``) excludes, are out. The classes must be few: the bound
     holds for each of them.
     """
     from pyspark.sql import Window
 
     rows = labels.filter(usable & F.col(label).isNotNull()).select(F.col(id_col).alias("__id"), F.col(label).alias("y"))
     counts = {r.y: r["count"] for r in rows.groupBy("y").count().collect()}
-    order = Window.partitionBy("y").orderBy(F.xxhash64("__id"), "__id")
-    chosen = rows.withColumn("__n", F.row_number().over(order)).filter(F.col("__n") <= per_class)
+    # Hashes are even over the range of a long, so the lowest ones of a class are a share of its rows.
+    low = F.lit(False)
+    for y, n in counts.items():
+        share = min(1.0, (per_class + 10 * per_class**0.5 + 10) / n)
+        low = low | ((F.col("y") == F.lit(y)) & (F.col("__h") <= int((share - 0.5) * 2**64) - (share == 1.0)))
+    order = Window.partitionBy("y").orderBy("__h", "__id")
+    hashed = rows.withColumn("__h", F.xxhash64("__id")).filter(low)
+    chosen = hashed.withColumn("__n", F.row_number().over(order)).filter(F.col("__n") <= per_class).drop("__h")
     # As many rows as the bound allows, so they may be broadcast.
     texts = docs.join(F.broadcast(chosen), docs[id_col] == F.col("__id")).select(
         F.col("__id").alias("id"), "y", F.substring(F.coalesce(F.col(text_col), F.lit("")), 1, TRAIN_CHARS).alias("text"), *(extra or [])
