@@ -4,8 +4,10 @@ Each page is read into a tree of elements. Every element has the characters and
 of links in it; its composite density is characters per tag, lowered by a logarithm that grows with the links.
 The element whose children have the largest sum of densities is the core of the article. The lowest density on
 the path from the body to it is the threshold that text outside it must reach to belong to the article as well.
-Elements that by their name, role or class are no article (menus, headers, footers, sidebars, notices,
-adverts, forms, scripts, comments of readers) are left out before densities are computed.
+Elements that by their name or role are no article (menus, headers, footers, forms, scripts), and hidden ones, are
+left out before densities are computed. Words of a class or an id (sidebars, notices, adverts, comments of readers)
+only mark a candidate: it is left out if links hold half of its text or more, or if it is short or less dense than
+the article's text, and never if it holds the core or most of the page's text.
 
 Pages are independent, so Spark deals them out and nothing is shuffled; the parser below sees one page at a time.
 """
@@ -30,7 +32,8 @@ _TOKEN = re.compile(
     r"|(?P<text>[^<]+|<)",
     re.S | re.I,
 )
-_ATTR = re.compile(r"(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+# Every attribute with its value, so that a name within another name or a value is none.
+_ATTR = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _SPACE = re.compile(r"\s+")
 
 # Elements without content, with no article text, and those that start a new block of text.
@@ -47,23 +50,42 @@ BLOCKS = frozenset(
     "address article blockquote body center dd details div dl dt fieldset figcaption figure h1 h2 h3 h4 h5 h6 header hgroup hr html li"
     " main ol p pre section summary table tbody td tfoot th thead tr ul caption".split()
 )
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+# Blocks of running text: inline elements inside one are judged by it.
+_LINES = HEADINGS | frozenset("p li dt dd td th caption figcaption pre summary".split())
+#: An element that is named as noise is taken as prose only from so many characters outside links on.
+SHORT = 80
 # An element that ends an open one of the same row, where it starts.
 _ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}
 _LISTS = frozenset("ul ol dl table".split())
 
 
-def _is_noise(tag: str, attrs: str, in_article: bool) -> bool:
+def _is_noise(tag: str, attrs: dict[str, str], in_article: bool) -> bool:
     if tag in NOISE_TAGS or tag == "header" and not in_article:
         return True
-    if not attrs or tag in ("html", "body", "article", "main"):
+    if tag in ("html", "body", "article", "main"):
         return False
-    for name, a, b, c in _ATTR.findall(attrs):
-        name, value = name.lower(), (a or b or c).lower()
-        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value in NOISE_ROLES:
-            return True
-        if name in ("class", "id") and not NOISE_WORDS.isdisjoint(re.split(r"[^a-z]+", value)):
-            return True
-    return False
+    return "hidden" in attrs or attrs.get("aria-hidden") == "true" or attrs.get("role") in NOISE_ROLES
+
+
+def _mark(tag: str, attrs: dict[str, str], in_article: bool) -> int:
+    """2: a name of the class or the id consists of noise words; 1: one holds such a word; 0: none does."""
+    if tag in ("html", "body", "article", "main") or tag in HEADINGS:
+        return 0
+    mark = 0
+    for name in (attrs.get("class", "") + " " + attrs.get("id", "")).split():
+        words = [w for w in re.split(r"[^a-z]+", name) if w]
+        noise = [w in NOISE_WORDS and not (in_article and w in ("header", "masthead")) for w in words]
+        mark = max(mark, 2 if words and all(noise) else int(any(noise)))
+    return mark
+
+
+def _attributes(source: str) -> dict[str, str]:
+    """Of a name given twice the first counts."""
+    found: dict[str, str] = {}
+    for name, a, b, c in _ATTR.findall(source):
+        found.setdefault(name.lower(), (a or b or c).lower())
+    return found
 
 
 class _Page:
@@ -72,6 +94,7 @@ class _Page:
     def __init__(self, source: str):
         self.tag, self.parent, self.link = ["#page"], [0], [False]
         self.noisy, self.quiet = [False], [False]
+        self.mark, self.in_article = [0], [False]
         self.pieces: list[tuple[int, str, bool]] = []
         stack, noise, articles, fresh = [0], 0, 0, True
         for m in _TOKEN.finditer(source):
@@ -116,12 +139,16 @@ class _Page:
                 if not noise:
                     self._add(tag, stack[-1], False)
                 continue
-            bad = _is_noise(tag, m["attrs"] or "", articles > 0)
+            attrs = _attributes(m["attrs"]) if m["attrs"] else {}
+            bad = _is_noise(tag, attrs, articles > 0)
             if noise and not bad:
                 # Inside of noise only the nesting matters.
                 stack.append(self._add(tag, stack[-1], False, quiet=True))
             else:
                 stack.append(self._add(tag, stack[-1], bad, quiet=noise > 0))
+                if not bad and attrs:
+                    self.mark[-1] = _mark(tag, attrs, articles > 0)
+            self.in_article[-1] = articles > 0
             noise += bad
             articles += tag in ("article", "main")
 
@@ -131,18 +158,28 @@ class _Page:
         self.link.append(tag == "a" or self.link[parent])
         self.noisy.append(bad)
         self.quiet.append(quiet or bad)
+        self.mark.append(0)
+        self.in_article.append(False)
         return len(self.tag) - 1
 
-    def densities(self) -> tuple[list[float], list[float], int]:
-        """Composite densities, sums over children, and the body."""
+    def leave_out(self, roots: set[int], quiet: list[bool]) -> list[bool]:
+        """``quiet`` with the elements of these subtrees."""
+        under = [False] * len(quiet)
+        for k in range(1, len(quiet)):
+            under[k] = k in roots or under[self.parent[k]]
+        return [q or u for q, u in zip(quiet, under)]
+
+    def measure(self, quiet: list[bool]) -> tuple[list[float], list[float], int, list[int], list[int]]:
+        """Composite densities, sums over children, the body, characters and those of links; without ``quiet``."""
         n = len(self.tag)
         chars, tags, link_chars, link_tags = [0] * n, [0] * n, [0] * n, [0] * n
         for node, text, _ in self.pieces:
+            if quiet[node]:
+                continue
             size = len(_SPACE.sub("", text))
             chars[node] += size
             if self.link[node]:
                 link_chars[node] += size
-        quiet = self.quiet
         for k in range(n - 1, 0, -1):
             p = self.parent[k]
             chars[p] += chars[k]
@@ -160,7 +197,61 @@ class _Page:
         total = [0.0] * n
         for k in range(1, n):
             total[self.parent[k]] += density[k]
-        return density, total, body
+        return density, total, body, chars, link_chars
+
+    def core(self, density: list[float], total: list[float], body: int) -> list[int]:
+        """The path from the element whose children have the largest sum of densities up to the body."""
+        n = len(self.tag)
+        inside = [False] * n  # of the body
+        for k in range(n):
+            inside[k] = k == body or k > 0 and inside[self.parent[k]]
+        path = [max((k for k in range(n) if inside[k]), key=lambda k: (total[k], density[k], -k))]
+        while path[-1] != body:
+            path.append(self.parent[path[-1]])
+        return path
+
+    def without_noise(self) -> tuple[list[bool], list[int] | None]:
+        """``quiet`` with the marked elements that their text confirms as no part of an article; the path of the core
+        where candidates don't bear on it."""
+        n = len(self.tag)
+        marked = [k for k in range(n) if self.mark[k] and not self.quiet[k]]
+        if not marked:
+            return self.quiet, None
+        density, total, body, chars, link_chars = self.measure(self.quiet)
+        prose = [c - lc for c, lc in zip(chars, link_chars)]
+        path = self.core(density, total, body)
+        most = {k for k in marked if 2 * prose[k] > prose[body]}
+        # Where an article stands outside of the named candidates, its text is the measure, not that of long comments.
+        # A candidate that holds most of the text and the title or the main element is none of them.
+        titled = [self.tag[k] in ("h1", "main") and not self.quiet[k] for k in range(n)]
+        for k in range(n - 1, 0, -1):
+            titled[self.parent[k]] |= titled[k]
+        named = {k for k in marked if self.mark[k] == 2 and not (k in most and titled[k])}
+        trial = self.leave_out(named, self.quiet)
+        outside = any(self.tag[k] in ("article", "main") and prose[k] and not trial[k] for k in range(n))
+        if outside:
+            density_, total_, *_ = self.measure(trial)
+            path = self.core(density_, total_, body)
+            most -= named
+        core, spared = path[0], set(path)
+        lines = [density[k] for k in range(1, n) if self.parent[k] == core and density[k] > 0]
+        usual, least = sum(lines) / max(1, len(lines)), min(density[k] for k in path)
+        within, line, gone = [False] * n, [0] * n, set()
+        for k in range(1, n):
+            within[k] = k == core or within[self.parent[k]]
+            line[k] = k if self.tag[k] in _LINES else 0 if self.tag[k] in BLOCKS else line[self.parent[k]]
+        for k in marked:
+            of = line[k] or k  # the length of a piece of a line says nothing, only what share of the line is links
+            if k in spared or k in most or self.tag[of] in HEADINGS:
+                continue
+            if 2 * link_chars[of] >= chars[of]:
+                gone.add(k)
+            elif self.mark[k] == 2:
+                if of == k and (prose[k] < SHORT or 2 * density[k] < usual):
+                    gone.add(k)
+            elif of == k and not self.in_article[k] and not within[k] and density[k] < least:
+                gone.add(k)
+        return self.leave_out(gone, self.quiet), path if outside else None
 
 
 def main_text(source: str) -> str:
@@ -168,15 +259,11 @@ def main_text(source: str) -> str:
     page = _Page(source)
     if not page.pieces:
         return ""
-    density, total, body = page.densities()
+    quiet, path = page.without_noise()
+    density, total, body, *_ = page.measure(quiet)
     n = len(page.tag)
-    inside = [False] * n  # of the body
-    for k in range(n):
-        inside[k] = k == body or k > 0 and inside[page.parent[k]]
-    core = max((k for k in range(n) if inside[k]), key=lambda k: (total[k], density[k], -k))
-    path = [core]
-    while path[-1] != body:
-        path.append(page.parent[path[-1]])
+    path = path or page.core(density, total, body)
+    core = path[0]
     threshold = min((density[k] for k in path), default=0.0)
     # The article is the outermost element on the path that is named so; else what reaches the threshold.
     named = [k for k in path if page.tag[k] in ("article", "main")]
@@ -186,13 +273,13 @@ def main_text(source: str) -> str:
         within[k] = k == core or k > 0 and within[page.parent[k]]
         if k == top:
             taken[k] = True
-        elif k and taken[page.parent[k]]:
+        elif k and taken[page.parent[k]] and not quiet[k]:
             taken[k] = bool(named) or k in above or within[k] or density[k] >= threshold
     blocks: list[list[str]] = []
     for node, text, fresh in page.pieces:
         if fresh or not blocks:
             blocks.append([])
-        if taken[node]:
+        if taken[node] and not quiet[node]:
             blocks[-1].append(text)
     clean = (_SPACE.sub(" ", html.unescape("".join(b))).strip() for b in blocks)
     return " ".join(x for x in clean if x)

@@ -218,6 +218,25 @@ def test_html(spark):
     assert extract_pages(pages.filter("false")).count() == 0
 
 
+def test_html_keeps_what_only_looks_like_noise():
+    prose = "Some long and telling prose stands here, in many words, for readers who like it."
+    p = f"<p>{prose}</p>"
+    for attrs in ('style="overflow:hidden"', 'title="The hidden coast"', 'data-hidden="false"', 'data-class="ad"', "title='a class=\"ad\"'"):
+        assert main_text(f"<body><article><div {attrs}>A {p}</div><p {attrs}>B</p></article></body>") == f"A {prose} B", attrs
+    assert main_text(f'<body><article>{p}<p>The <a href="/hidden-gems">gems</a>.</p></article></body>') == f"{prose} The gems."
+    assert main_text(f"<body><article>{p}<p hidden>no</p><p id=x HIDDEN=''>no</p><p aria-hidden=true>no</p></article></body>") == prose
+    bar = '<div class="sidebar"><a href=1>one</a><a href=2>two</a></div>'
+    assert main_text(f'<body><div class="wrap has-sidebar"><div><h1>H</h1>{p}{p}</div>{bar}</div></body>') == f"H {prose} {prose}"
+    assert main_text(f'<body><div class="sidebar"><h1>H</h1>{p}{p}</div></body>') == f"H {prose} {prose}"
+    page = f'<article><h2 class="section-header">H</h2>{p}<div class="related-work"><h3>R</h3>{p}</div><pre>x <span class="comment"># y</span></pre></article>'
+    assert main_text(f"<body>{page}</body>") == f"H {prose} R {prose} x # y"
+    # Confirmed: short, mostly links, or of less density than the article's text.
+    talk = "<div><b>A</b><i>now</i><p>I like that text a lot.</p></div>" * 30
+    rest = '<div class="ad">Buy this now.</div><div class="related-posts"><a href=1>One more page</a> <a href=2>and two</a></div>'
+    assert main_text(f'<body><article>{p}{p}{rest}</article><div id="comments">{talk}</div></body>') == f"{prose} {prose}"
+    assert main_text(f'<body><div><h1>H</h1>{p}{rest}{p}<div class="comments"><p>Nice!</p><p>So true</p></div></div></body>') == f"H {prose} {prose}"
+
+
 def test_licenses(spark):
     rows = [
         ("a/LICENSE", "Released under the MIT License."), ("a/x/f.txt", "code\n# Licensed under the Apache License, Version 2.0.\nmore"), ("a/x/g.txt", "nothing"),
