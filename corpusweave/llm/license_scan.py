@@ -1,11 +1,13 @@
 """License scans: sparse TF-IDF cosine of notices and licence files to templates, then directory inheritance.
 
 DataFrame functions only. The templates' terms and their inverse document frequencies make sparse template
-vectors of unit length. A text is scored line by line, and whole as well if it is short enough to be a licence
-file. A line can reach the threshold only if it holds one of the template's heavy terms: the terms outside that
-set are together shorter than the threshold. More sharply, a cosine is at most the length of the template's
-vector on the terms that both share. Parts for which that is below the threshold with every template are left out
-before their terms are exploded, which changes no result. The rest is one join of terms with template entries
+vectors of unit length. A text is scored line by line, by runs of adjacent lines, as notices are wrapped, and whole.
+A run is as long as the longest template at most, but for the rest of its last line; comment signs are no terms, and
+lines without terms don't end a run. A line can reach the threshold only if it holds one of the template's heavy
+terms: the terms outside that set are together shorter than the threshold. More sharply, a cosine is at most the length of the template's
+vector on the terms that both share, and terms of no template only add to the part's length. Parts for which that is below the threshold with every template are left out
+before their terms are exploded, which changes no result; so are runs whose first or last line has no term of any
+template, as they score less without it. The rest is one join of terms with template entries
 and two sums.
 
 A file without a licence of its own takes that of the nearest directory above it which has a licence file:
@@ -14,12 +16,14 @@ directories are joined with the licence directories along their ancestor paths,
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 THRESHOLD = 0.7
 
-# Notices by which licences are commonly named.
+# Notices by which licences are commonly named, and titles of their files.
 TEMPLATES = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -40,12 +44,22 @@ TEMPLATES = [
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related rights to this work: CC0 1.0 Universal."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004"),
+    ("BSD-2-Clause", "BSD 2-Clause License"),
+    ("BSD-3-Clause", "BSD 3-Clause License"),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("LGPL-2.1", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"),
+    ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
+    ("CC-BY-4.0", "Creative Commons Attribution 4.0 International Public License"),
+    ("CC-BY-NC-4.0", "Creative Commons Attribution-NonCommercial 4.0 International Public License"),
+    ("CC-BY-SA-4.0", "Creative Commons Attribution-ShareAlike 4.0 International Public License"),
 ]
 
 # Fixed value: a term is a run of letters and digits, with dots inside numbers.
 TERM = r"[0-9]+(?:\.[0-9]+)*|[a-z]+"
-#: Texts of so many characters at most are also scored whole, as licence files are.
-WHOLE_CHARS = 20_000
 
 
 def terms(text: Column) -> Column:
@@ -89,6 +103,28 @@ def _reaches(found: Column, table: list, threshold: float) -> Column:
     return F.exists(F.array(found), lambda d: F.exists(F.array(*rows), lambda t: long_enough(d, t)))
 
 
+def _close(w: Column, known: Column, table: list, unknown: float, threshold: float) -> Column:
+    """Whether some cosine of the terms ``w`` can reach the threshold: exact, but that no unknown term is repeated."""
+    by: dict[int, list] = {}
+    for r in table:
+        by.setdefault(r.template, []).append(r)
+    rows = [F.struct(F.array(*[F.lit(r.term) for r in of]).alias("terms"), F.array(*[F.lit(r.weight) for r in of]).alias("weights")) for of in by.values()]
+    idf = F.create_map(*[F.lit(x) for pair in sorted({r.term: r.idf for r in table}.items()) for x in pair])
+    add = lambda a, x: a + x
+    size = lambda d: F.transform(d, lambda t: (F.size(w) - F.size(F.array_remove(w, t))) * F.element_at(idf, t))
+    least = lambda m: F.sqrt(
+        F.aggregate(F.map_values(m), F.lit(0.0), lambda a, x: a + x * x) + F.size(F.array_except(w, known)) * F.lit(unknown * unknown)
+    )
+    dot = lambda m, t: F.aggregate(
+        F.zip_with(t["terms"], t["weights"], lambda term, x: x * F.coalesce(F.element_at(m, term), F.lit(0.0))), F.lit(0.0), add
+    )
+    # Exists over one element makes a variable, which is worked out once.
+    reached = lambda m: F.exists(
+        F.array(least(m)), lambda n: F.exists(F.array(*rows), lambda t: dot(m, t) >= n * F.lit(threshold * 0.999))
+    )
+    return F.exists(F.array(F.array_intersect(w, known)), lambda d: F.exists(F.array(F.map_from_arrays(d, size(d))), reached))
+
+
 def scan(
     files: DataFrame,
     path_col: str = "path",
@@ -96,7 +132,7 @@ def scan(
     templates=TEMPLATES,
     threshold: float = THRESHOLD,
 ) -> DataFrame:
-    """The best licence per path: ``path``, ``license``, ``score``, ``line`` (from 1; 0: the whole text).
+    """The best licence per path: ``path``, ``license``, ``score``, ``line`` (from 1; of a run the first; 0: the whole text).
 
     Paths without a notice of at least ``threshold`` are absent. Ties go to the earliest line, then to the name.
     """
@@ -109,20 +145,47 @@ def scan(
     any_heavy = "(?<![0-9a-z])(?:" + "|".join(t.replace(".", "\\.") for t in heavy) + ")(?![0-9a-z])"
     text = F.lower(F.coalesce(F.col(text_col), F.lit("")))
     some = files.select(F.col(path_col).alias("path"), text.alias("t")).filter(F.col("t").rlike(any_heavy))
+    known, heavy = F.array(*[F.lit(t) for t in sorted({r.term for r in table})]), F.array(*[F.lit(t) for t in heavy])
+    longest = max(len(re.findall(TERM, body.lower())) for _, body in templates)
+    reaches = lambda w: _reaches(F.array_intersect(w, known), table, threshold)
+    # Explodes of one element, so that terms are worked out once. No part reaches what the text doesn't.
+    some = some.select("path", "t", F.explode(F.array(terms(F.col("t")))).alias("all")).filter(reaches(F.col("all")))
     lines = F.filter(
-        F.transform(F.split("t", "\n", -1), lambda x, i: F.struct((i + 1).alias("line"), x.alias("x"))),
-        lambda s: s["x"].rlike(any_heavy),
+        F.transform(F.split("t", "\n", -1), lambda x, i: F.struct((i + 1).alias("line"), terms(x).alias("w"))),
+        lambda s: F.size(s["w"]) > 0,
+    )
+    some = some.select("path", "all", F.explode(F.array(lines)).alias("lines"))
+    part = lambda line, upto, w: F.struct(line.alias("line"), upto.alias("upto"), w.alias("w"))
+    singles = F.transform(F.filter("lines", lambda s: F.arrays_overlap(s["w"], heavy)), lambda s: part(s["line"], F.size(s["w"]), s["w"]))
+    # From each line on: the terms of the longest run, and where its lines end, each as a run's end.
+    longer = lambda a, s: F.when(F.size(a["w"]) >= longest, a).otherwise(
+        F.struct(
+            F.concat(a["w"], s["w"]).alias("w"),
+            F.when(F.arrays_overlap(s["w"], known), F.concat(a["ends"], F.array(F.size(a["w"]) + F.size(s["w"])))).otherwise(a["ends"]).alias("ends"),
+        )
     )
-    whole = F.when(
-        F.char_length("t") <= WHOLE_CHARS, F.array(F.struct(F.lit(0).alias("line"), F.col("t").alias("x")))
-    ).otherwise(F.array().cast("array<struct<line:int,x:string>>"))
-    known = F.array(*[F.lit(t) for t in sorted({r.term for r in table})])
-    near = (
-        some.select("path", F.inline(F.concat(lines, whole)))
-        .filter(_reaches(F.array_intersect(terms(F.col("x")), known), table, threshold))
+    start = F.struct(F.array().cast("array<string>").alias("w"), F.array().cast("array<int>").alias("ends"))
+    windows = F.transform(
+        F.filter(F.transform("lines", lambda s, i: F.struct(i.alias("i"), s["line"].alias("line"), s["w"].alias("w"))), lambda s: F.arrays_overlap(s["w"], known)),
+        lambda s: F.struct(s["line"].alias("line"), F.aggregate(F.slice("lines", s["i"] + 1, F.lit(longest)), start, longer).alias("run")),
+    )
+    windows = F.filter(windows, lambda x: (F.size(x["run"]["ends"]) > 1) & F.arrays_overlap(x["run"]["w"], heavy))
+    windows = F.filter(windows, lambda x: reaches(x["run"]["w"]))
+    runs = F.flatten(
+        F.transform(
+            windows,
+            lambda x: F.transform(
+                F.slice(x["run"]["ends"], F.lit(2), F.size(x["run"]["ends"])),
+                lambda e: part(x["line"], e, F.slice(x["run"]["w"], F.lit(1), e)),
+            ),
+        )
     )
-    parts = near.select("path", "line", F.explode(terms(F.col("x"))).alias("term"))
-    tf = parts.groupBy("path", "line", "term").agg(F.count(F.lit(1)).alias("tf"))
+    whole = F.array(part(F.lit(0), F.lit(0), F.col("all")))
+    near = some.select("path", F.inline(F.concat(whole, singles, runs))).filter(reaches(F.col("w")))
+    near = near.filter(_close(F.col("w"), known, table, unknown, threshold))
+    of = ["path", "line", "upto"]
+    parts = near.select(*of, F.explode("w").alias("term"))
+    tf = parts.groupBy(*of, "term").agg(F.count(F.lit(1)).alias("tf"))
     idf = spark.createDataFrame(
         [(t, {r.term: r.idf for r in table}[t], [(r.template, r.license, r.weight) for r in table if r.term == t]) for t in sorted({r.term for r in table})],
         "term string, idf double, entries array<struct<template:int,license:string,weight:double>>",
@@ -131,13 +194,13 @@ def scan(
     # One pass for the norm and all dot products: a part has one row per template that it shares a term with.
     none = F.array(F.struct(F.lit(-1).alias("template"), F.lit(None).cast("string").alias("license"), F.lit(0.0).alias("weight")))
     dots = weighed.select(
-        "path", "line", "w", F.explode(F.when(F.col("entries").isNull(), none).otherwise(F.concat("entries", none))).alias("e")
+        *of, "w", F.explode(F.when(F.col("entries").isNull(), none).otherwise(F.concat("entries", none))).alias("e")
     )
-    dots = dots.groupBy("path", "line", "e.template", "e.license").agg(
+    dots = dots.groupBy(*of, "e.template", "e.license").agg(
         F.sum(F.col("w") * F.col("e.weight")).alias("dot"),
         F.sum(F.when(F.col("e.template") == -1, F.col("w") * F.col("w"))).alias("square"),
     )
-    per_line = dots.groupBy("path", "line").agg(
+    per_line = dots.groupBy(*of).agg(
         F.max("square").alias("square"),
         F.min(F.when(F.col("template") >= 0, F.struct((-F.col("dot")).alias("d"), "license"))).alias("best"),
     )

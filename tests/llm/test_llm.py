@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -261,6 +262,21 @@ def sentences(rng, words, n=40):
     return " ".join(rng.choice(words) for _ in range(n))
 
 
+def test_wrapped_licenses(spark):
+    def wrapped(license, sign, width):
+        body = next(t for n, t in license_scan.TEMPLATES if n == license and len(t) > 100)
+        return "".join(f"{sign} {x}\n" for x in textwrap.wrap(body, width))
+
+    code = "def f(x):\n    return x + 1\n\n" * 40
+    gpl = "  GNU GENERAL PUBLIC LICENSE\n   Version 3, 29 June 2007\n\n" + "Every other line of the terms says more words about copies.\n" * 600
+    rows = [
+        ("a/f.py", "# Copyright 2020 A B\n#\n" + wrapped("LGPL-3.0", "#", 60) + code), ("a/g.py", code + wrapped("MIT", "//", 60) + code),
+        ("a/h.py", wrapped("GPL-3.0", " *", 70) + code * 30), ("a/i.py", wrapped("MIT", ";;", 24) + code), ("b/COPYING", gpl), ("c/k.py", code),
+    ]
+    got = {r.path: (r.license, r.line) for r in license_scan.scan(spark.createDataFrame(rows, "path string, text string")).collect()}
+    assert got == {"a/f.py": ("LGPL-3.0", 3), "a/g.py": ("MIT", 121), "a/h.py": ("GPL-3.0", 1), "a/i.py": ("MIT", 1), "b/COPYING": ("GPL-3.0", 1)}
+
+
 def test_classifiers(spark, empty):
     rng = random.Random(2)
     en = ["the", "and", "which", "thing", "with", "ought", "house", "over"]
