@@ -396,10 +396,11 @@ def article_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register()
 def ppr_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents ranked from the document of each query, over the whole corpus graph."""
-    seeds = binding.query_vectors(spark, sf_dir).select("query_id", F.col("query_doc").alias("node"), F.lit(1.0).alias("weight"))
+    asking = binding.chunks(spark, sf_dir).filter("vector_id % 100 = 0")
+    seeds = asking.select(F.col("vector_id").alias("query_id"), F.col("doc_id").alias("node"), F.lit(1.0).alias("weight"))
     edges = _graph(spark, sf_dir).select(F.col("a").alias("src"), F.col("b").alias("dst"), "weight")
-    # A stated set of ten queries, each with its own mass on the one graph.
-    per_query = edges.join(F.broadcast(seeds.select("query_id").distinct()), F.lit(True))
+    # Every hundredth vector is a query, each with its own mass on the one graph.
+    per_query = edges.crossJoin(seeds.select("query_id").distinct())
     from .plans.lineage import cut
 
     mass = graph.pagerank(per_query, seeds, cut=cut)
