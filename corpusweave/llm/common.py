@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,22 +13,47 @@ from pyspark.sql import functions as F
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_LOWER = "abcdefghijklmnopqrstuvwxyz"
 
+_AREAS: list[str] = []
+
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster (``spark.checkpoint.dir``).
+    """The shared folder of the cluster (``spark.checkpoint.dir``), or the innermost :func:`scratch_area` in it.
 
-    Only where the setting is absent, as in tests, a new local folder is made and set.
+    Only a session with a local master, as in tests, may lack the setting: it gets a new local folder. On a
+    cluster that would be another folder on every machine, so there it is an error.
     """
+    if _AREAS:
+        return _AREAS[-1]
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         java = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = java.get() if java.isDefined() else None
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="corpusweave-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove a folder of the shared storage, if it is there."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextmanager
+def scratch_area(spark: SparkSession) -> Iterator[str]:
+    """A folder of its own for what is staged inside; deleted at the end, so results must be written before."""
+    area = f"{scratch_dir(spark)}/area-{uuid.uuid4().hex}"
+    _AREAS.append(area)
+    try:
+        yield area
+    finally:
+        _AREAS.remove(area)
+        delete(spark, area)
+
+
 def stage(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back, which cuts its lineage. ``options`` are the writer's."""
     spark = df.sparkSession

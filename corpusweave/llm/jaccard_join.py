@@ -1,20 +1,23 @@
 """Exact n-gram Jaccard self-join and its components, with a token-group matrix.
 
-Texts become sets of hashed word shingles; equal sets are one class. The shingles are dealt to parts by a hash,
-into so many parts that linked sets differ in fewer: at least ``SPARE`` parts of two linked sets must be
-identical. A part's shingles, hashed together, are one token of the matrix. The number of parts depends on the
-size of a set; sizes fall into intervals of ratio 1/threshold, and a set has tokens for its own interval and for
-the one below, so that linked sets always share an interval.
-
-1. A class whose tokens occur nowhere else is linked with nothing. Each other class is compared with the
-   least class that it shares a token with; the links found this way give first components.
-2. Similar classes (those with the same least class) form groups of a bounded size, and the token-group matrix
-   has the union of the tokens of each group, as far as these occur in several components.
-3. A class queries the groups of other components. The number of its tokens in a group's union bounds its
-   overlap with every member; only groups that reach the bound are opened. Opened groups are checked again
-   with the union of the shingles themselves, then member by member, exactly.
-4. The links between components join them. Pairs inside a component are never made: copies of one text cost
-   one comparison each, whatever their number.
+Texts become sets of hashed word shingles; equal sets are one class. Two linked sets of sizes a <= b share at least
+ceil(b * threshold) shingles, so each lacks at most a known number of the other's. Hence both *windows* (the smallest
+hashes of a set, as many as it may lack and ``MARGIN`` more) hold the first ``MARGIN`` common shingles, and of these at
+least the rarest is still there when each side leaves out its ``MARGIN - 1`` most frequent ones. What is left are a
+class's *tokens*: classes without a common token aren't linked.
+
+1. Partition: classes with the same least neighbour over their tokens form groups of a bounded size. Each group is
+   compared within itself, which gives first components.
+2. Token-group matrix: for each token the groups that hold it, with the components there. First every class asks one
+   group of another component, the one that holds most of its tokens among those with the least component. Such rounds
+   are linear in the number of tokens, and repeat with new components until one finds nothing.
+3. Classes that still have tokens in common with other components get sharper tokens from their whole sets. Then each
+   asks every group of the matrix that may hold a linked set by tokens and sizes.
+4. A group that is asked is opened if its union of shingles holds enough of the query's (a bound for every member),
+   and the query is compared with its members, exactly.
+
+All links between groups are found in opened groups. Pairs inside a component are never made: what joins nothing new
+is left out, so large groups of copies cost no more than their number.
 
 64-bit hashes stand for shingles, 128-bit hashes for sets.
 """
@@ -25,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,10 +36,10 @@ from .common import stage
 from .components import connected_components
 from .textnum import mix, slices, span_hashes, utf8_parts, word_spans
 
-#: Parts beyond the largest difference of linked sets.
-SPARE = 3
-#: Classes of a group, and queries that meet a group in one task, about.
-GROUP, QUERIES = 64, 2000
+#: Common shingles that two windows surely hold, if the sets have as many.
+MARGIN = 32
+#: Classes of a group, and queries that meet a group in one task, about; and shingles of either.
+GROUP, QUERIES, SHINGLES = 64, 500, 250_000
 
 _WORD = np.ones(256, bool)
 _WORD[[9, 10, 11, 12, 13, 32]] = False
@@ -78,50 +81,14 @@ def shingle_sets(raw: np.ndarray, off: np.ndarray, k: int) -> tuple[np.ndarray,
     return keys, np.searchsorted(owner, np.arange(n + 1))
 
 
-def _intervals(largest: int, num: int, den: int) -> np.ndarray:
-    """First sizes of the intervals; the next one starts above the last size divided by the threshold."""
-    out = [1]
-    while out[-1] <= largest:
-        out.append(out[-1] * den // num + 1)
-    return np.array(out, np.int64)
-
-
-def _tokens(keys: np.ndarray, bounds: np.ndarray, num: int, den: int):
-    """Matrix tokens of all sets: values, bounds, and how many of its tokens each set shares with a linked one
-    at least."""
-    n = len(bounds) - 1
+def _window(keys: np.ndarray, bounds: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """The windows of all sets (sorted hashes) and their bounds."""
     size = np.diff(bounds)
-    edges = _intervals(int(size.max(initial=1)) + 1, num, den)
-    last = np.append(edges[1:] - 1, 2 * edges[-1])
-    level = np.searchsorted(edges, size, side="right") - 1
-    owner = np.repeat(np.arange(n), size)
-    values, owners, need = [], [], np.full(n, SPARE)
-    mixed = mix(keys + np.uint64(0x1234567))
-    for down in (0, 1):
-        of = level - down
-        used = (size > 0) & (of >= 0)
-        most = last[np.maximum(of, 0)] * (den - num) // num
-        used &= most > 0  # different sets of such sizes are never linked
-        parts = np.where(used, most + SPARE, 0)
-        base = np.concatenate([[0], np.cumsum(parts)])
-        mine = used[owner]
-        at = base[owner[mine]] + (mixed[mine] >> np.uint64(20)).astype(np.int64) % np.maximum(parts[owner[mine]], 1)
-        total = np.zeros(base[-1], np.uint64)
-        np.add.at(total, at, keys[mine])
-        filled = np.bincount(at, minlength=base[-1]) > 0
-        text = np.repeat(np.arange(n), parts)
-        empty = parts - np.bincount(text[filled], minlength=n)
-        # Parts may also be identical because both are empty. Such parts only become tokens in sets with many.
-        rich = used & (empty >= SPARE)
-        emit = filled | rich[text]
-        need = np.where(used, np.minimum(need, np.where(rich, 1, SPARE - np.minimum(empty, SPARE - 1))), need)
-        number = np.arange(base[-1]) - base[text]
-        scheme = (of[text].astype(np.uint64) << np.uint64(32)) + number.astype(np.uint64)
-        values.append(mix(total + mix(scheme + np.uint64(0x51ED270B)))[emit])
-        owners.append(text[emit])
-    value, text = np.concatenate(values), np.concatenate(owners)
-    order = np.argsort(text, kind="stable")
-    return value[order], np.searchsorted(text[order], np.arange(n + 1)), need
+    common = -(-size * num // den)
+    take = np.minimum(size, size - common + np.minimum(common, MARGIN))
+    owner = np.repeat(np.arange(len(size)), size)
+    inside = np.arange(len(keys)) - bounds[owner] < take[owner]
+    return keys[inside], np.concatenate([[0], np.cumsum(take)]).astype(np.int64)
 
 
 def _list(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
@@ -139,23 +106,70 @@ def _prints(keys: np.ndarray, bounds: np.ndarray) -> pa.Array:
 
 
 def _describe(docs: DataFrame, id_col: str, text_col: str, k: int, num: int, den: int, sets: bool) -> DataFrame:
-    """Per row: ``id``, ``n``, ``print`` and either ``tokens`` with ``need``, or the set itself (``keys``)."""
+    """Per row: ``id``, ``n``, ``print`` and either the window (``tokens``) or the set itself (``keys``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             keys, bounds = shingle_sets(*utf8_parts(batch.column("text")), k)
             out = {"id": batch.column("id"), "n": pa.array(np.diff(bounds)), "print": _prints(keys, bounds)}
-            if sets:
-                out["keys"] = _list(keys, bounds)
-            else:
-                values, edges, need = _tokens(keys, bounds, num, den)
-                out |= {"tokens": _list(values, edges), "need": pa.array(need.astype(np.int32))}
+            out["keys" if sets else "tokens"] = _list(keys, bounds) if sets else _list(*_window(keys, bounds, num, den))
             yield pa.record_batch(out)
 
     head = [T.StructField("id", docs.schema[id_col].dataType), T.StructField("n", T.LongType()), T.StructField("print", T.BinaryType())]
     longs = T.ArrayType(T.LongType())
-    more = [T.StructField("keys", longs)] if sets else [T.StructField("tokens", longs), T.StructField("need", T.IntegerType())]
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, T.StructType(head + more))
+    more = T.StructField("keys" if sets else "tokens", longs)
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, T.StructType([*head, more]))
+
+
+class _Members:
+    """The members of one group with their shingles listed in order, to be compared with queries."""
+
+    def __init__(self, keys: pa.ChunkedArray, num: int, den: int):
+        column = keys.combine_chunks()
+        bounds = np.asarray(column.offsets, np.int64)
+        flat = np.asarray(column.values)[bounds[0] : bounds[-1]]
+        order = np.argsort(flat, kind="stable")
+        self.num, self.den, self.size = num, den, np.diff(bounds)
+        self.listed, self.owner = flat[order], np.repeat(np.arange(len(self.size)), self.size)[order]
+
+    def linked(self, keys: np.ndarray) -> np.ndarray:
+        """Which members are linked with a set."""
+        at, to = np.searchsorted(self.listed, keys, "left"), np.searchsorted(self.listed, keys, "right")
+        hit = to > at
+        if self.den * int(hit.sum()) < self.num * len(keys):  # the union holds too few of its shingles
+            return np.zeros(len(self.size), bool)
+        count = (to - at)[hit]
+        where = np.repeat(at[hit] - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
+        both = np.bincount(self.owner[where], minlength=len(self.size))
+        return self.den * both >= self.num * (self.size + len(keys) - both)
+
+
+class _Forest:
+    """Union-find over numbers as they come; the smaller root stays."""
+
+    def __init__(self):
+        self.up: dict[int, int] = {}
+
+    def find(self, x: int) -> int:
+        while (up := self.up.setdefault(x, x)) != x:
+            self.up[x] = self.up[up]
+            x = up
+        return x
+
+    def join(self, a: int, b: int) -> bool:
+        a, b = sorted((self.find(a), self.find(b)))
+        self.up[b] = a
+        return a != b
+
+
+def _within(num: int, den: int, group: pa.Table) -> pa.Table:
+    """Components inside one group, named by their least member."""
+    members, v, forest = _Members(group["keys"], num, den), group["v"].to_pylist(), _Forest()
+    for mine, keys in zip(v, group["keys"], strict=True):
+        for k in np.flatnonzero(members.linked(np.asarray(keys.values))).tolist():
+            forest.join(mine, v[k])
+    roots = [forest.find(x) for x in v]
+    return pa.table({"v": group["v"], "n": group["n"], "g": group["g"], "component": pa.array(roots, pa.int64())})
 
 
 def _open_groups(num: int, den: int, left: pa.Table, right: pa.Table) -> pa.Table:
@@ -163,40 +177,119 @@ def _open_groups(num: int, den: int, left: pa.Table, right: pa.Table) -> pa.Tabl
 
     Of the links found here, those that close a circle are left out: they join nothing new.
     """
-    member_keys = right["member_keys"].combine_chunks()
-    bounds = np.asarray(member_keys.offsets, np.int64)
-    flat = np.asarray(member_keys.values)[bounds[0] : bounds[-1]]
-    bounds = bounds - bounds[0]
-    order = np.argsort(flat, kind="stable")
-    listed, owner = flat[order], np.repeat(np.arange(len(right)), np.diff(bounds))[order]
-    size, component = np.diff(bounds), np.asarray(right["member_component"])
+    members, component = _Members(right["member_keys"], num, den), np.asarray(right["member_component"])
     out: list[tuple[int, int]] = []
-    root: dict[int, int] = {}
-
-    def find(x: int) -> int:
-        while (up := root.setdefault(x, x)) != x:
-            root[x] = root[up]
-            x = up
-        return x
-
+    forest = _Forest()
     for keys, mine in zip(left["keys"], left["component"].to_pylist(), strict=True):
-        keys = np.asarray(keys.values)
-        at, to = np.searchsorted(listed, keys, "left"), np.searchsorted(listed, keys, "right")
-        hit = to > at
-        if den * int(hit.sum()) < num * len(keys):  # the union holds too few of the query's shingles
-            continue
-        count = (to - at)[hit]
-        where = np.repeat(at[hit] - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
-        both = np.bincount(owner[where], minlength=len(size))
-        linked = (den * both >= num * (size + len(keys) - both)) & (component != mine)
-        for other in np.unique(component[linked]).tolist():
-            a, b = find(mine), find(other)
-            if a != b:
-                root[b] = a
-                out.append((mine, other))
+        found = members.linked(np.asarray(keys.values)) & (component != mine)
+        out += [(mine, other) for other in np.unique(component[found]).tolist() if forest.join(mine, other)]
     return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([x for _, x in out], pa.int64())})
 
 
+def _common(n: str, num: int, den: int) -> str:
+    """Shingles that a set of ``n`` shares with a linked set at least: ceil(n * num / den), as SQL."""
+    return f"(({n}) * {num} + {den - 1}) div {den}"
+
+
+def _rarest(cells: DataFrame, sizes: DataFrame, spare: Column) -> DataFrame:
+    """Of the cells (``v``, ``token``), those whose token occurs twice or more, but for the ``spare`` (over ``sizes``:
+    ``v``, ``n``) most frequent ones of each ``v``."""
+    shared = cells.groupBy("token").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
+    # One row per class, with as many entries as its own set has at most.
+    per = cells.join(shared, "token").groupBy("v").agg(F.sort_array(F.collect_list(F.struct("c", "token")), asc=False).alias("x"))
+    left = per.join(sizes.select("v", spare.cast("int").alias("spare")), "v").filter(F.size("x") > F.col("spare"))
+    return left.select("v", F.explode(F.slice("x", F.col("spare") + 1, F.size("x"))).alias("x")).select("v", "x.token")
+
+
+def _class_sets(docs: DataFrame, wanted: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """``v`` and ``keys`` of classes (``v``, ``least``, ``print``), made again from their texts (``id``, ``text``).
+    Classes without an id are looked for in all rows without one."""
+    named = docs.join(wanted.filter("least is not null").select(F.col("least").alias("id")).distinct(), "id", "left_semi")
+    found = _describe(named.unionByName(docs.filter("id is null")), "id", "text", k, num, den, sets=True)
+    return found.join(wanted.select("v", "print"), "print").groupBy("v").agg(F.first("keys").alias("keys"))
+
+
+def _bins(rows: DataFrame, key: str, many: int) -> DataFrame:
+    """Per ``key``, the number of shares of about ``many`` rows and ``SHINGLES`` shingles (``n``) each."""
+    shares = F.ceil(F.greatest(F.count(F.lit(1)) / F.lit(many), F.sum("n") / F.lit(SHINGLES)))
+    return rows.groupBy(key).agg(shares.cast("long").alias("shares"))
+
+
+def _partition(classes: DataFrame, cells: DataFrame) -> DataFrame:
+    """Classes with a common token, with the group of each: ``v``, ``n``, ``least``, ``print``, ``g``."""
+    lead = cells.groupBy("token").agg(F.min("v").alias("lead"), F.max("v").alias("last")).filter("lead != last")
+    near = stage(cells.join(lead, "token").groupBy("v").agg(F.min("lead").alias("near")).join(classes, "v"), "near")
+    share = F.pmod(F.xxhash64("v"), F.col("shares"))
+    return near.join(_bins(near, "near", GROUP), "near").select("v", "n", "least", "print", F.xxhash64("near", share).alias("g"))
+
+
+def _links(asked: DataFrame, member: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs of components (``a``, ``b``) linked by queries (``asked``: ``v``, ``n``, ``component``, ``g``) and members of
+    the groups that they ask."""
+    bins = stage(_bins(asked, "g", QUERIES), "query-bins")
+    queries = (
+        asked.join(bins, "g")
+        .join(sets, "v")
+        .select("g", F.pmod(F.xxhash64("v", F.lit(1)), F.col("shares")).alias("bin"), "component", "keys")
+    )
+    members = (
+        member.join(bins, "g")
+        .join(sets, "v")
+        .select("g", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)).alias("bin"), "component", "keys")
+    )
+    # New names, as both sides come from one table.
+    members = members.select(*(F.col(c).alias(f"member_{c}") for c in members.columns))
+    found = (
+        queries.groupBy("g", "bin")
+        .cogroup(members.groupBy("member_g", "member_bin"))
+        .applyInArrow(lambda left, right: _open_groups(num, den, left, right), "a long, b long")
+    )
+    return stage(found.distinct(), "links")
+
+
+def _joined(member: DataFrame, links: DataFrame) -> DataFrame:
+    """``member`` with components joined along ``links``."""
+    merged = connected_components(links).select(F.col("v").alias("component"), "root")
+    return stage(
+        member.join(merged, "component", "left").select("v", "n", "g", F.coalesce("root", "component").alias("component")), "members"
+    )
+
+
+def _crossing(cells: DataFrame, member: DataFrame) -> DataFrame:
+    """Cells whose token occurs in several components: ``v``, ``token``, ``n``, ``g``, ``component`` and ``lead``, a group
+    of the least of them."""
+    placed = cells.join(member, "v")
+    spread = placed.groupBy("token").agg(F.min(F.struct("component", "g")).alias("lead"), F.max("component").alias("hi"))
+    return placed.join(spread.filter("lead.component != hi").drop("hi"), "token")
+
+
+def _components(member: DataFrame, cells: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """``member`` (``v``, ``n``, ``g``, ``component``) with all links between groups."""
+    while True:
+        cross = stage(_crossing(cells, member), "crossing")
+        asked = (
+            cross.filter("lead.component != component and lead.g != g")
+            .groupBy("v", "n", "component", "lead.g")
+            .agg(F.count(F.lit(1)).alias("held"))
+            .groupBy("v", "n", "component")
+            .agg(F.max(F.struct("held", "g")).alias("most"))
+        )
+        links = _links(stage(asked.select("v", "n", "component", "most.g"), "asked"), member, sets, num, den)
+        if links.isEmpty():
+            break
+        member, cells = _joined(member, links), cross.select("v", "token")
+    # Whole sets of the classes that are left, with tokens counted among these.
+    left = member.join(cross.select("v").distinct(), "v")
+    whole = sets.join(left.select("v"), "v").select("v", F.explode("keys").alias("token"))
+    cross = stage(_crossing(_rarest(whole, left, F.expr(_common("n", num, den)) - 1), member), "crossing-whole")
+    matrix = cross.groupBy("token", "g").agg(F.max("component").alias("hi"), F.min("n").alias("least"), F.max("n").alias("most"))
+    # A query looks for larger components only; each link between two components has such a side.
+    may = f"hi > component and g != own and n * {num} <= most * {den} and least * {num} <= n * {den}"
+    asked = cross.select("token", "v", "n", "component", F.col("g").alias("own")).join(matrix, "token").filter(may)
+    asked = stage(asked.select("v", "n", "component", "g").distinct(), "asked-whole")
+    return _joined(member, _links(asked, member, sets, num, den))
+
+
 def jaccard_components(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, num: int = 90, den: int = 100
 ) -> DataFrame:
@@ -210,72 +303,26 @@ def jaccard_components(
     * Repeated rows are equal sets, so they share a component. An empty table gives an empty result.
     * Further columns are ignored. Texts of any length are read whole.
     """
-    found = stage(_describe(docs, id_col, text_col, k, num, den, sets=False), "sets")
+    described = _describe(docs, id_col, text_col, k, num, den, sets=False)
+    found = stage(described.withColumn("v", F.monotonically_increasing_id()), "windows")
     classes = stage(
-        found.filter("n > 0")
-        .groupBy("print")
-        .agg(F.min("id").alias("least"), F.first("n").alias("n"), F.first("need").alias("need"), F.first("tokens").alias("tokens"))
-        .withColumn("v", F.monotonically_increasing_id()),
-        "classes",
-    )
-    placed = classes.select("v", F.explode("tokens").alias("token"))
-    shared = stage(
-        placed.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.min("v").alias("lead")).filter("c > 1").drop("c"), "shared-tokens"
-    )
-    cells = stage(placed.join(shared, "token"), "shared-cells")
-    lead = stage(cells.groupBy("v").agg(F.min("lead").alias("lead")), "leads")
-
-    # Shingle sets of the classes that share a token, made again from their texts.
-    wanted = stage(lead.select("v").join(classes.select("v", "least", "print"), "v"), "wanted")
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(
-        wanted.select(F.col("least").alias("id")).distinct(), "id", "left_semi"
-    )
-    sets = _describe(texts, "id", "text", k, num, den, sets=True).groupBy("print").agg(F.first("keys").alias("keys"))
-    sets = stage(sets.join(wanted.select("v", "print"), "print").select("v", "keys"), "opened-sets")
-
-    pairs = lead.filter("lead != v").join(sets, "v").select("v", "lead", F.col("keys").alias("x"))
-    other = sets.select(F.col("v").alias("lead"), F.col("keys").alias("y"))
-    both = F.size(F.array_intersect("x", "y"))
-    links = pairs.join(other, "lead").filter(den * both >= num * (F.size("x") + F.size("y") - both))
-    first = connected_components(links.select(F.col("v").alias("a"), F.col("lead").alias("b")))
-    member = stage(
-        lead.join(first, "v", "left").select("v", F.col("lead").alias("near"), F.coalesce("root", "v").alias("component")), "members"
-    )
-
-    # Groups of similar classes: those with one lead, dealt into shares of about GROUP.
-    shares = stage(member.groupBy("near").agg(F.ceil(F.count(F.lit(1)) / F.lit(GROUP)).alias("shares")), "shares")
-    grouped = stage(
-        member.join(shares, "near").select("v", "component", F.xxhash64("near", F.pmod(F.xxhash64("v"), F.col("shares"))).alias("g")), "groups"
+        found.filter("n > 0").groupBy("print").agg(F.min("v").alias("v"), F.min("id").alias("least"), F.first("n").alias("n")), "classes"
     )
-    tokens = cells.select("v", "token").join(grouped, "v")
-    open_tokens = stage(
-        tokens.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo != hi").select("token"),
-        "crossing-tokens",
-    )
-    crossing = stage(tokens.join(open_tokens, "token"), "crossing-cells")
-    # The matrix: a group's tokens, with the range of components that hold them there.
-    matrix = stage(
-        crossing.groupBy("token", "g").agg(F.min("component").alias("lo"), F.max("component").alias("hi")), "token-group-matrix"
-    )
-    # A query looks for larger components only; each link between two components has such a side.
-    asked = crossing.select("token", "v", "component").join(matrix, "token").filter("hi > component")
-    opened = (
-        asked.groupBy("v", "component", "g")
-        .agg(F.count(F.lit(1)).alias("held"))
-        .join(classes.select("v", "need"), "v")
-        .filter("held >= need")
-        .select("v", "component", "g")
-    )
-    opened = stage(opened, "opened-groups")
-    links = _links(opened, grouped, sets, num, den)
-    merged = connected_components(links)
-    roots = member.join(merged.select(F.col("v").alias("component"), "root"), "component", "left").select(
-        "v", F.coalesce("root", "component").alias("root")
-    )
-    named = stage(roots.join(classes.select("v", "print", "least"), "v"), "named")
-    smallest = stage(named.groupBy("root").agg(F.min("least").alias("component_id")), "component-ids")
-    of_print = named.join(smallest, "root").select("print", "component_id")
-    alone = classes.join(lead, "v", "left_anti").select("print", F.col("least").alias("component_id"))
+    windows = found.join(classes.select("v"), "v", "left_semi").select("v", F.explode("tokens").alias("token"))
+    certain = f"least({_common(_common('n', num, den), num, den)}, {MARGIN})"
+    cells = stage(_rarest(windows, classes, F.expr(certain) - 1), "tokens")
+
+    grouped = stage(_partition(classes, cells), "groups")
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    sets = stage(_class_sets(texts, grouped, k, num, den), "sets")
+    within = grouped.select("v", "n", "g").join(sets, "v").groupBy("g")
+    member = within.applyInArrow(lambda group: _within(num, den, group), "v long, n long, g long, component long")
+    member = _components(stage(member, "members"), cells, sets, num, den)
+
+    named = stage(member.select("v", "component").join(classes.select("v", "print", "least"), "v"), "named")
+    smallest = stage(named.groupBy("component").agg(F.min("least").alias("component_id")), "component-ids")
+    of_print = named.join(smallest, "component").select("print", "component_id")
+    alone = classes.join(member.select("v"), "v", "left_anti").select("print", F.col("least").alias("component_id"))
     of_print = stage(of_print.unionByName(alone), "components")
     return found.select("id", "n", "print").join(of_print, "print", "left").select(
         F.col("id").alias(id_col),
@@ -284,29 +331,6 @@ def jaccard_components(
     )
 
 
-def _links(opened: DataFrame, grouped: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Distinct pairs of components (``a``, ``b``) that opened groups link."""
-    bins = stage(opened.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / F.lit(QUERIES)).cast("int").alias("bins")), "query-bins")
-    queries = (
-        opened.join(bins, "g")
-        .join(sets, "v")
-        .select("g", F.pmod(F.xxhash64("v", F.lit(1)), F.col("bins")).alias("bin"), "component", "keys")
-    )
-    members = (
-        grouped.join(bins, "g")
-        .join(sets, "v")
-        .select("g", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bins").cast("long") - 1)).alias("bin"), "component", "keys")
-    )
-    # New names, as both sides come from one table.
-    members = members.select(*(F.col(c).alias(f"member_{c}") for c in members.columns))
-    found = (
-        queries.groupBy("g", "bin")
-        .cogroup(members.groupBy("member_g", "member_bin"))
-        .applyInArrow(lambda left, right: _open_groups(num, den, left, right), "a long, b long")
-    )
-    return found.distinct()
-
-
 def keep_one(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100
 ) -> DataFrame:

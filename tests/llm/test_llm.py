@@ -83,28 +83,40 @@ def test_dedup_filter(spark, docs):
 
 @pytest.mark.parametrize("k, num, den", [(3, 90, 100), (5, 80, 100)])
 def test_jaccard(docs, empty, k, num, den):
-    sets = {}
-    for r in docs.filter("doc_id is not null").collect():
-        w = re.findall("[^\x20\x09-\x0d]+", low(r.text))
-        sets[r.doc_id] = frozenset(tuple(w[i : i + k]) for i in range(len(w) - k + 1)) if len(w) >= k else frozenset([tuple(w)] if w else [])
-    root = {i: i for i in sets}
+    rows = [(n, r.doc_id, r.text) for n, r in enumerate(docs.collect())]
+    sets = []
+    for _, _, text in rows:
+        w = re.findall("[^\x20\x09-\x0d]+", low(text))
+        sets.append(frozenset(tuple(w[i : i + k]) for i in range(len(w) - k + 1)) if len(w) >= k else frozenset([tuple(w)] if w else []))
+    root = list(range(len(rows)))
 
     def find(x):
         while root[x] != x:
             x = root[x]
         return x
 
-    ids = sorted(sets)
-    for a in ids:
-        for b in ids:
-            if b < a and sets[a] and den * len(sets[a] & sets[b]) >= num * len(sets[a] | sets[b]):
-                x, y = sorted((find(a), find(b)))
-                root[y] = x
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(docs, k=k, num=num, den=den).collect() if r.doc_id is not None}
-    assert got == {i: (len(sets[i]), find(i)) for i in ids}
+    for a in range(len(rows)):
+        for b in range(a):
+            if sets[a] and den * len(sets[a] & sets[b]) >= num * len(sets[a] | sets[b]):
+                root[find(a)] = find(b)
+    least = {}
+    for n, i, _ in rows:
+        known = [x for x in (least.get(find(n)), i) if x is not None]
+        least[find(n)] = min(known, default=None)
+    want = collections.Counter((i, len(sets[n]), least[find(n)] if sets[n] else i) for n, i, _ in rows)
+    got = jaccard_join.jaccard_components(docs, k=k, num=num, den=den)
+    assert collections.Counter(map(tuple, got.collect())) == want
     assert jaccard_join.jaccard_components(empty).count() == 0
 
 
+def test_jaccard_joins_through_rows_without_id(spark):
+    words = [f"w{i}" for i in range(100)]
+    a, b, c = " ".join(words), " ".join(["x", *words[1:]]), " ".join(["x", *words[1:-1], "y"])
+    rows = [(1, a), (None, b), (2, c), (None, "one two three four five")]
+    found = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert collections.Counter(r.component_id for r in found.collect()) == {1: 3, None: 1}
+
+
 def test_keep_one(docs):
     kept = jaccard_join.keep_one(docs)
     assert kept.columns == docs.columns and 0 < kept.count() < docs.count() and kept.filter("doc_id is null").count() == 1
