@@ -59,7 +59,14 @@ def stage(df: DataFrame, name: str, **options: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def discard(staged: DataFrame) -> None:
+    """Delete a table of :func:`stage`. All that was made from it must have been written."""
+    delete(staged.sparkSession, staged.staged_at)
 
 
 def ascii_lower(text: Column) -> Column:

@@ -11,8 +11,8 @@ class's *tokens*: classes without a common token aren't linked.
 2. Token-group matrix: for each token the groups that hold it, with the components there. First every class asks one
    group of another component, the one that holds most of its tokens among those with the least component. Such rounds
    are linear in the number of tokens, and repeat with new components until one finds nothing.
-3. Classes that still have tokens in common with other components get sharper tokens from their whole sets. Then each
-   asks every group of the matrix that may hold a linked set by tokens and sizes.
+3. Then a class asks every group of the matrix that may hold a linked set by tokens and sizes. Classes with a frequent
+   token in common with other components first get sharper tokens from their whole sets, in place of such ones.
 4. A group that is asked is opened if its union of shingles holds enough of the query's (a bound for every member),
    and the query is compared with its members, exactly.
 
@@ -32,14 +32,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stage
+from .common import discard, stage
 from .components import connected_components
 from .textnum import mix, slices, span_hashes, utf8_parts, word_spans
 
 #: Common shingles that two windows surely hold, if the sets have as many.
 MARGIN = 32
 #: Classes of a group, and queries that meet a group in one task, about; and shingles of either.
-GROUP, QUERIES, SHINGLES = 64, 500, 250_000
+GROUP, QUERIES, SHINGLES = 256, 500, 250_000
+#: A token of more classes than this is frequent.
+FREQUENT = 64
 
 _WORD = np.ones(256, bool)
 _WORD[[9, 10, 11, 12, 13, 32]] = False
@@ -256,13 +258,24 @@ def _joined(member: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _crossing(cells: DataFrame, member: DataFrame) -> DataFrame:
-    """Cells whose token occurs in several components: ``v``, ``token``, ``n``, ``g``, ``component`` and ``lead``, a group
-    of the least of them."""
+    """Cells whose token occurs in several components: ``v``, ``token``, ``n``, ``g``, ``component``, ``lead`` (a group of
+    the least of them) and ``c``, the number of the token's cells."""
     placed = cells.join(member, "v")
-    spread = placed.groupBy("token").agg(F.min(F.struct("component", "g")).alias("lead"), F.max("component").alias("hi"))
+    spread = placed.groupBy("token").agg(
+        F.min(F.struct("component", "g")).alias("lead"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("c")
+    )
     return placed.join(spread.filter("lead.component != hi").drop("hi"), "token")
 
 
+def _ask_all(cross: DataFrame, num: int, den: int) -> DataFrame:
+    """Queries with all groups that hold one of their tokens in a larger component: each link between two components
+    has one side that asks."""
+    matrix = cross.groupBy("token", "g").agg(F.max("component").alias("hi"), F.min("n").alias("least"), F.max("n").alias("most"))
+    may = f"hi > component and g != own and n * {num} <= most * {den} and least * {num} <= n * {den}"
+    asked = cross.select("token", "v", "n", "component", F.col("g").alias("own")).join(matrix, "token").filter(may)
+    return asked.select("v", "n", "component", "g")
+
+
 def _components(member: DataFrame, cells: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """``member`` (``v``, ``n``, ``g``, ``component``) with all links between groups."""
     while True:
@@ -278,16 +291,11 @@ def _components(member: DataFrame, cells: DataFrame, sets: DataFrame, num: int,
         if links.isEmpty():
             break
         member, cells = _joined(member, links), cross.select("v", "token")
-    # Whole sets of the classes that are left, with tokens counted among these.
-    left = member.join(cross.select("v").distinct(), "v")
-    whole = sets.join(left.select("v"), "v").select("v", F.explode("keys").alias("token"))
-    cross = stage(_crossing(_rarest(whole, left, F.expr(_common("n", num, den)) - 1), member), "crossing-whole")
-    matrix = cross.groupBy("token", "g").agg(F.max("component").alias("hi"), F.min("n").alias("least"), F.max("n").alias("most"))
-    # A query looks for larger components only; each link between two components has such a side.
-    may = f"hi > component and g != own and n * {num} <= most * {den} and least * {num} <= n * {den}"
-    asked = cross.select("token", "v", "n", "component", F.col("g").alias("own")).join(matrix, "token").filter(may)
-    asked = stage(asked.select("v", "n", "component", "g").distinct(), "asked-whole")
-    return _joined(member, _links(asked, member, sets, num, den))
+    hot = member.join(cross.filter(F.col("c") > FREQUENT).select("v").distinct(), "v")
+    whole = sets.join(hot.select("v"), "v").select("v", F.explode("keys").alias("token"))
+    sharp = stage(_crossing(_rarest(whole, hot, F.expr(_common("n", num, den)) - 1), member), "crossing-whole")
+    asked = _ask_all(cross.filter(F.col("c") <= FREQUENT), num, den).unionByName(_ask_all(sharp, num, den))
+    return _joined(member, _links(stage(asked.distinct(), "asked-all"), member, sets, num, den))
 
 
 def jaccard_components(
@@ -305,12 +313,14 @@ def jaccard_components(
     """
     described = _describe(docs, id_col, text_col, k, num, den, sets=False)
     found = stage(described.withColumn("v", F.monotonically_increasing_id()), "windows")
+    rows = stage(found.select("v", "id", "n", "print"), "rows")
     classes = stage(
-        found.filter("n > 0").groupBy("print").agg(F.min("v").alias("v"), F.min("id").alias("least"), F.first("n").alias("n")), "classes"
+        rows.filter("n > 0").groupBy("print").agg(F.min("v").alias("v"), F.min("id").alias("least"), F.first("n").alias("n")), "classes"
     )
     windows = found.join(classes.select("v"), "v", "left_semi").select("v", F.explode("tokens").alias("token"))
     certain = f"least({_common(_common('n', num, den), num, den)}, {MARGIN})"
     cells = stage(_rarest(windows, classes, F.expr(certain) - 1), "tokens")
+    discard(found)
 
     grouped = stage(_partition(classes, cells), "groups")
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -324,7 +334,7 @@ def jaccard_components(
     of_print = named.join(smallest, "component").select("print", "component_id")
     alone = classes.join(member.select("v"), "v", "left_anti").select("print", F.col("least").alias("component_id"))
     of_print = stage(of_print.unionByName(alone), "components")
-    return found.select("id", "n", "print").join(of_print, "print", "left").select(
+    return rows.select("id", "n", "print").join(of_print, "print", "left").select(
         F.col("id").alias(id_col),
         F.col("n").alias("n_shingles"),
         F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id")).alias("component_id"),
