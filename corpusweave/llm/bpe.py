@@ -31,8 +31,9 @@ from .textnum import gather, span_hashes, utf8_parts
 
 # The white space of Unicode, and the word pattern of byte-level BPE vocabularies.
 WHITE_SPACE = "\t-\r \u0085   -     　"
+# Letters and numbers come first, as they can't begin where a contraction does.
 WORD_PATTERN = (
-    r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^" + WHITE_SPACE + r"\p{L}\p{N}]+"
+    r" ?\p{L}+| ?\p{N}+|'(?:s|t|re|ve|m|ll|d)| ?[^" + WHITE_SPACE + r"\p{L}\p{N}]+"
     r"|[" + WHITE_SPACE + r"]+(?![^" + WHITE_SPACE + r"])|[" + WHITE_SPACE + r"]+"
 )
 
@@ -40,6 +41,8 @@ WORD_PATTERN = (
 BLOCK_WORDS = 4_000_000
 #: Words per call of the tokenizer, whose results are large objects.
 ENCODED_TOGETHER = 20_000
+#: Bytes of text per bucket of words, about, and most buckets: every block has a pack for each.
+BUCKET_BYTES, MOST_BUCKETS = 16_000_000, 4096
 
 
 @lru_cache(maxsize=2)
@@ -95,16 +98,53 @@ def words_column(text: Column, specials: list[str]) -> Column:
     return out
 
 
-def encode_words(path: str, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of words that each stand alone: all ids, and their bounds."""
+def _encode_each(path: str, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     sizes, values = [], [np.zeros(0, np.uint32)]
     for k in range(0, len(words), ENCODED_TOGETHER):
         found = [x.ids for x in tokenizer(path).encode_batch_fast(words[k : k + ENCODED_TOGETHER], add_special_tokens=False)]
         sizes.extend(map(len, found))
         values.append(np.fromiter(chain.from_iterable(found), np.uint32))
-    bounds = np.zeros(len(words) + 1, np.int64)
-    np.cumsum(sizes, out=bounds[1:])
-    return np.concatenate(values), bounds
+    return np.concatenate(values), _bounds(np.asarray(sizes, np.int64))
+
+
+def _encode_in_a_row(path: str, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """As :func:`_encode_each`, for words that each begin with a space and have no other. Set in a row they are one
+    text, which the tokenizer splits into the same words, and a piece that begins with a space begins a word."""
+    text, edges = pieces(path)
+    filled = np.flatnonzero(np.diff(edges))
+    spaced = np.zeros(len(edges) - 1, bool)
+    spaced[filled] = text[edges[filled]] == 32
+    values, sizes = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+    for k in range(0, len(words), ENCODED_TOGETHER):
+        some = words[k : k + ENCODED_TOGETHER]
+        ids = np.array(tokenizer(path).encode_batch_fast(["".join(some)], add_special_tokens=False)[0].ids, np.uint32)
+        begins = np.flatnonzero(spaced[ids])
+        if len(begins) == len(some):
+            values.append(ids)
+            sizes.append(np.diff(begins, append=len(ids)))
+        else:  # a pre-tokenizer that splits otherwise
+            ids, cut = _encode_each(path, some)
+            values.append(ids)
+            sizes.append(np.diff(cut))
+    return np.concatenate(values), _bounds(np.concatenate(sizes))
+
+
+def encode_words(path: str, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of words that each stand alone: all ids, and their bounds."""
+    plain = np.fromiter((len(w) > 1 and w[0] == " " and not w[1].isspace() for w in words), bool, len(words))
+    plain &= "add_prefix_space\":false" in _settings(path)
+    first, rest = np.flatnonzero(plain), np.flatnonzero(~plain)
+    a, cut_a = _encode_in_a_row(path, [words[k] for k in first])
+    b, cut_b = _encode_each(path, [words[k] for k in rest])
+    place = np.empty(len(words), np.int64)
+    place[np.concatenate([first, rest])] = np.arange(len(words))
+    return gather(np.concatenate([a, b]), np.concatenate([cut_a, cut_b[1:] + cut_a[-1]]), place)
+
+
+@lru_cache(maxsize=2)
+def _settings(path: str) -> str:
+    """The pre-tokenizer's settings, without spaces."""
+    return json.dumps(json.loads(tokenizer(path).to_str())["pre_tokenizer"], separators=(",", ":"))
 
 
 def list_parts(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -214,7 +254,7 @@ def _encode_bucket(path: str, group: pa.Table) -> pa.Table:
     return pa.table({"block": group["block"], "pack": pa.array(out, pa.binary()), "ids": pa.nulls(len(out), pa.binary())})
 
 
-def _assemble(path: str, id_type: pa.DataType, group: pa.Table) -> Iterator[pa.RecordBatch]:
+def _assemble(path: str, id_type: pa.DataType, decode: bool, group: pa.Table) -> Iterator[pa.RecordBatch]:
     is_docs = pc.is_valid(group["ids"])
     docs, packs = group.filter(is_docs), group.filter(pc.invert(is_docs))
     parts = [_unpack(x.as_py()) for x in packs["pack"]]
@@ -233,30 +273,40 @@ def _assemble(path: str, id_type: pa.DataType, group: pa.Table) -> Iterator[pa.R
         to = max(at + 1, int(np.searchsorted(rows, rows[at] + 300_000, side="right")) - 1)
         got, cut = gather(values, bounds, where[rows[at] : rows[to]])
         of_doc = cut[rows[at : to + 1] - rows[at]]
-        raw, piece_cut = gather(text, edges, got)
-        back = [
-            raw[a:b].tobytes().decode("utf-8", "replace")
-            for a, b in zip(piece_cut[of_doc[:-1]], piece_cut[of_doc[1:]], strict=True)
-        ]
-        yield pa.record_batch(
-            {
-                "id": ids.slice(at, to - at).cast(id_type),
-                "n_tokens": pa.array(np.diff(of_doc)),
-                "ids": _binary(got.astype("<u4"), of_doc).cast(pa.binary()),
-                "text": pa.array(back, pa.string()),
-            }
-        )
+        out = {
+            "id": ids.slice(at, to - at).cast(id_type),
+            "n_tokens": pa.array(np.diff(of_doc)),
+            "ids": _binary(got.astype("<u4"), of_doc).cast(pa.binary()),
+        }
+        if decode:
+            raw, piece_cut = gather(text, edges, got)
+            back = [
+                raw[a:b].tobytes().decode("utf-8", "replace")
+                for a, b in zip(piece_cut[of_doc[:-1]], piece_cut[of_doc[1:]], strict=True)
+            ]
+            out["text"] = pa.array(back, pa.string())
+        yield pa.record_batch(out)
         at = to
 
 
+def text_bytes(docs: DataFrame, text_col: str = "text") -> int:
+    """Bytes of all texts, from one scan of their column."""
+    return docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+
+
 def encode_documents(
-    docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None
+    docs: DataFrame,
+    tokenizer_path: str,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    buckets: int | None = None,
+    decode: bool = True,
 ) -> DataFrame:
     """Encode every text, and decode the ids again.
 
     Returns one row per input row: ``id_col``, ``n_tokens``, ``ids`` (little-endian unsigned 32-bit integers)
-    and ``text`` (the decoded ids). ``buckets``: shares of the distinct-word table, by default eight per
-    shuffle partition.
+    and, with ``decode``, ``text`` (the decoded ids). ``buckets``: shares of the distinct-word table, by default one
+    per ``BUCKET_BYTES`` of text, but ``MOST_BUCKETS`` at most and eight per shuffle partition at least.
 
     * Null and empty texts give no ids and an empty text. Texts of any length are encoded whole.
     * Special tokens of the vocabulary that occur in a text become their ids, as in the tokenizers library.
@@ -264,7 +314,9 @@ def encode_documents(
     * An empty table gives an empty result; further columns of ``docs`` are ignored.
     """
     spark = docs.sparkSession
-    buckets = buckets or 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if buckets is None:
+        least = 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+        buckets = max(least, min(MOST_BUCKETS, text_bytes(docs, text_col) // BUCKET_BYTES))
     id_type = docs.schema[id_col].dataType
     words = docs.select(
         F.col(id_col).alias("id"), words_column(F.col(text_col), special_tokens(tokenizer_path)).alias("words")
@@ -279,17 +331,12 @@ def encode_documents(
     arrow_id = arrow_type(id_type)
 
     def assemble(group: pa.Table) -> pa.Table:
-        return pa.Table.from_batches(list(_assemble(tokenizer_path, arrow_id, group)))
-
-    schema = T.StructType(
-        [
-            T.StructField("id", id_type),
-            T.StructField("n_tokens", T.LongType()),
-            T.StructField("ids", T.BinaryType()),
-            T.StructField("text", T.StringType()),
-        ]
-    )
-    out = coded.groupBy("block").applyInArrow(assemble, schema)
+        return pa.Table.from_batches(list(_assemble(tokenizer_path, arrow_id, decode, group)))
+
+    schema = [T.StructField("id", id_type), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())]
+    if decode:
+        schema.append(T.StructField("text", T.StringType()))
+    out = coded.groupBy("block").applyInArrow(assemble, T.StructType(schema))
     return out.withColumnRenamed("id", id_col)
 
 

@@ -1,7 +1,7 @@
 """Token-id files with canonical, length-limited Huffman codes.
 
-Writing: documents are sorted by id over range partitions, texts become ids (words split in the JVM, ids of words
-cached per worker), and each partition is cut into segments of a bounded number of tokens. Token counts
+Writing: texts become ids (each distinct word is encoded once, see :mod:`.bpe`), the documents' ids are sorted over
+range partitions, and each partition is cut into segments of a bounded number of tokens. Token counts
 are summed over all segments; their table is no larger than the vocabulary, and package-merge turns it into
 code lengths of at most ``MAX_BITS``. Each segment is then coded on its own.
 
@@ -20,91 +20,21 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bpe import _binary, encode_words, list_parts, special_tokens, tokenizer, words_column
-from .common import scratch_dir, stage
-from .textnum import gather
+from .bpe import _binary, encode_documents, list_parts, text_bytes, tokenizer
+from .common import discard, scratch_dir, stage
 
 MAX_BITS = 18
 BLOCK_TOKENS = 128
 SEGMENT_TOKENS = 1 << 18
-#: Words that a task encodes at a time, unless a single document has more.
-CHUNK_WORDS = 500_000
-#: Words whose ids a Python worker keeps, and ids at most.
-CACHED_WORDS = 300_000
-CACHED_IDS = 4_000_000
-
-
-class _KnownWords:
-    """Words that a Python worker has met, numbered, and the ids of each."""
-
-    def __init__(self, path: str):
-        self.path, self.number = path, {}
-        self.values, self.bounds = np.zeros(0, np.uint32), np.zeros(1, np.int64)
-
-    def numbers(self, words: list[str]) -> np.ndarray:
-        """Numbers of distinct words; new ones are encoded."""
-        out = np.fromiter(map(self.number.get, words, repeat(-1)), np.int64, len(words))
-        new = np.flatnonzero(out < 0)
-        if len(new):
-            missing = [words[k] for k in new]
-            values, bounds = encode_words(self.path, missing)
-            out[new] = np.arange(len(self.number), len(self.number) + len(new))
-            self.number.update(zip(missing, out[new].tolist()))
-            self.bounds = np.concatenate([self.bounds, bounds[1:] + self.bounds[-1]])
-            self.values = np.concatenate([self.values, values])
-        return out
-
-
-_KNOWN: dict[str, _KnownWords] = {}
-
-
-def _known_words(path: str) -> _KnownWords:
-    known = _KNOWN.get(path)
-    if known is None or len(known.number) > CACHED_WORDS or len(known.values) > CACHED_IDS:
-        known = _KNOWN[path] = _KnownWords(path)
-    return known
-
-
-def _tokenize(path: str, end_id: int | None, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for whole in batches:
-        _, sizes = list_parts(whole.column("words"))
-        at = 0
-        while at < whole.num_rows:
-            to = max(at + 1, int(np.searchsorted(sizes, sizes[at] + CHUNK_WORDS, side="right")) - 1)
-            batch = whole.slice(at, to - at)
-            at = to
-            flat, bounds = list_parts(batch.column("words"))
-            coded = pc.dictionary_encode(flat.cast(pa.large_string()))
-            known = _known_words(path)
-            numbers = known.numbers(coded.dictionary.to_pylist())
-            ids, word_cut = gather(known.values, known.bounds, numbers[np.asarray(coded.indices, np.int64)])
-            of_doc = word_cut[bounds]
-            if end_id is not None:
-                ids = np.insert(ids, of_doc[1:], np.uint32(end_id))
-                of_doc = of_doc + np.arange(len(of_doc))
-            yield pa.record_batch(
-                {"id": batch.column("id"), "ids": _binary(ids.astype("<u4"), of_doc).cast(pa.binary())}
-            )
-
-
-def token_ids(
-    docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int | None = None
-) -> DataFrame:
-    """``id`` and ``ids`` (little-endian unsigned 32-bit integers) of every text; null counts as empty."""
-    words = docs.select(
-        F.col(id_col).alias("id"), words_column(F.col(text_col), special_tokens(tokenizer_path)).alias("words")
-    )
-    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("ids", T.BinaryType())])
-    return words.mapInArrow(lambda batches: _tokenize(tokenizer_path, end_id, batches), schema)
+#: Bytes of text per range partition, about.
+RANGE_BYTES = 64_000_000
 
 
 def code_lengths(counts: np.ndarray, max_bits: int = MAX_BITS) -> np.ndarray:
@@ -275,10 +205,12 @@ def write_token_files(
     spark = docs.sparkSession
     id_type = docs.schema[id_col].dataType
     size = max(tokenizer(tokenizer_path).get_vocab_size(with_added_tokens=True), (end_id or 0) + 1)
-    # Texts are dealt out before they become ids: finding the ranges reads the input twice, but encodes nothing.
-    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = docs.select(id_col, text_col).repartitionByRange(ranges, id_col).sortWithinPartitions(id_col)
-    dealt = token_ids(dealt, tokenizer_path, id_col, text_col, end_id).withColumn("part", F.spark_partition_id())
+    ids = F.col("ids") if end_id is None else F.concat("ids", F.lit(end_id.to_bytes(4, "little")))
+    coded = encode_documents(docs.select(id_col, text_col), tokenizer_path, id_col, text_col, decode=False)
+    # Finding the ranges reads the ids of the documents from this table, and encodes nothing again.
+    coded = stage(coded.select(F.col(id_col).alias("id"), ids.alias("ids")), "token-ids", compression="zstd")
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), text_bytes(docs, text_col) // RANGE_BYTES)
+    dealt = coded.repartitionByRange(ranges, "id").sortWithinPartitions("id").withColumn("part", F.spark_partition_id())
     head = [
         T.StructField("part", T.IntegerType()),
         T.StructField("segment", T.IntegerType()),
@@ -290,20 +222,22 @@ def write_token_files(
     raw = stage(
         dealt.mapInArrow(_segments, T.StructType([*head, T.StructField("ids", T.BinaryType())])), "segments", compression="zstd"
     )
+    discard(coded)
     counted = raw.select("ids").mapInArrow(lambda b: _counts(size, b), "id int, n long").groupBy("id").agg(F.sum("n"))
     counts = np.zeros(size, np.int64)
     for number, n in counted.collect():  # a row per id of the vocabulary at most
         counts[number] = n
     lengths = code_lengths(counts)
-    coded = raw.mapInArrow(
+    packed = raw.mapInArrow(
         lambda b: _encode(lengths, b),
         T.StructType([*head, T.StructField("payload", T.BinaryType()), T.StructField("checkpoints", T.BinaryType())]),
     )
-    coded.write.parquet(f"{path}/segments")
+    packed.write.parquet(f"{path}/segments")
     spark.createDataFrame([(lengths.tobytes(),)], "lengths binary").coalesce(1).write.parquet(f"{path}/lengths")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = raw.groupBy("part").agg(F.sum("n_tokens").alias("n"))  # a row per range partition
     parts.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before")).write.parquet(f"{path}/parts")
+    discard(raw)
 
 
 def _decode(lengths: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

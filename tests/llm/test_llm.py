@@ -190,14 +190,30 @@ def test_bpe(docs, empty):
     assert bpe.encode_documents(empty, vocabulary_path()).count() == 0
 
 
-def test_token_files(docs, empty, monkeypatch):
-    known = docs.filter("doc_id is not null")
-    want, start = ids_of(known), 0
-    got = {r.doc_id: r for r in token_output.token_round_trip(known, vocabulary_path(), 2).collect()}
-    for i in sorted(want):
-        ids = np.array([*want[i][0], 2], "<u4")
-        assert (got[i].start, got[i].n_tokens, zlib.crc32(got[i].ids)) == (start, len(ids), zlib.crc32(ids.tobytes()))
-        start += len(ids)
+def test_words_in_a_row():
+    words = [" a", " b1", " 1", " --", " '", "x", " ", "  ", " \n", "'s", " \u00a0", " été", " 中文", " it", "<|endoftext|>", ""]
+    path = vocabulary_path()
+    values, bounds = bpe.encode_words(path, words * 3)
+    t = bpe.tokenizer(path)
+    for k, w in enumerate(words * 3):
+        assert values[bounds[k] : bounds[k + 1]].tolist() == t.encode(w, add_special_tokens=False).ids
+
+
+def test_token_files(docs, empty):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(vocabulary_path())
+    coded = lambda x: np.array([*t.encode(x or "", add_special_tokens=False).ids, 2], "<u4")
+    rows = docs.union(docs.filter("doc_id < 5 or doc_id is null"))
+    want = collections.Counter((r.doc_id, coded(r.text).tobytes()) for r in rows.collect())
+    got = sorted(token_output.token_round_trip(rows, vocabulary_path(), 2).collect(), key=lambda r: r.start)
+    assert collections.Counter((r.doc_id, bytes(r.ids)) for r in got) == want
+    ids = [r.doc_id for r in got]
+    assert ids == sorted(ids, key=lambda i: (i is not None, i)) and None in ids
+    start = 0
+    for r in got:
+        assert (r.start, 4 * r.n_tokens) == (start, len(r.ids))
+        start += r.n_tokens
     assert token_output.token_round_trip(empty, vocabulary_path(), 2).count() == 0
 
 
