@@ -31,9 +31,9 @@ from .textnum import gather, span_hashes, utf8_parts
 
 # The white space of Unicode, and the word pattern of byte-level BPE vocabularies.
 WHITE_SPACE = "\t-\r \u0085   -     　"
-# Letters and numbers come first, as they can't begin where a contraction does.
+# Letters and numbers come first, as they can't begin where a contraction does; what needn't be given back isn't.
 WORD_PATTERN = (
-    r" ?\p{L}+| ?\p{N}+|'(?:s|t|re|ve|m|ll|d)| ?[^" + WHITE_SPACE + r"\p{L}\p{N}]+"
+    r" ?\p{L}++| ?\p{N}++|'(?:s|t|re|ve|m|ll|d)| ?[^" + WHITE_SPACE + r"\p{L}\p{N}]++"
     r"|[" + WHITE_SPACE + r"]+(?![^" + WHITE_SPACE + r"])|[" + WHITE_SPACE + r"]+"
 )
 
@@ -254,7 +254,7 @@ def _encode_bucket(path: str, group: pa.Table) -> pa.Table:
     return pa.table({"block": group["block"], "pack": pa.array(out, pa.binary()), "ids": pa.nulls(len(out), pa.binary())})
 
 
-def _assemble(path: str, id_type: pa.DataType, decode: bool, group: pa.Table) -> Iterator[pa.RecordBatch]:
+def _assemble(path: str, id_type: pa.DataType, decode: bool, id_bytes: int, group: pa.Table) -> Iterator[pa.RecordBatch]:
     is_docs = pc.is_valid(group["ids"])
     docs, packs = group.filter(is_docs), group.filter(pc.invert(is_docs))
     parts = [_unpack(x.as_py()) for x in packs["pack"]]
@@ -276,7 +276,7 @@ def _assemble(path: str, id_type: pa.DataType, decode: bool, group: pa.Table) ->
         out = {
             "id": ids.slice(at, to - at).cast(id_type),
             "n_tokens": pa.array(np.diff(of_doc)),
-            "ids": _binary(got.astype("<u4"), of_doc).cast(pa.binary()),
+            "ids": _binary(got.astype(f"<u{id_bytes}"), of_doc).cast(pa.binary()),
         }
         if decode:
             raw, piece_cut = gather(text, edges, got)
@@ -294,6 +294,12 @@ def text_bytes(docs: DataFrame, text_col: str = "text") -> int:
     return docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
 
 
+def bucket_number(docs: DataFrame, size: int) -> int:
+    """One bucket per ``BUCKET_BYTES`` of text, but ``MOST_BUCKETS`` at most and eight per shuffle partition at least."""
+    least = 8 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(least, min(MOST_BUCKETS, size // BUCKET_BYTES))
+
+
 def encode_documents(
     docs: DataFrame,
     tokenizer_path: str,
@@ -301,22 +307,20 @@ def encode_documents(
     text_col: str = "text",
     buckets: int | None = None,
     decode: bool = True,
+    id_bytes: int = 4,
 ) -> DataFrame:
     """Encode every text, and decode the ids again.
 
-    Returns one row per input row: ``id_col``, ``n_tokens``, ``ids`` (little-endian unsigned 32-bit integers)
-    and, with ``decode``, ``text`` (the decoded ids). ``buckets``: shares of the distinct-word table, by default one
-    per ``BUCKET_BYTES`` of text, but ``MOST_BUCKETS`` at most and eight per shuffle partition at least.
+    Returns one row per input row: ``id_col``, ``n_tokens``, ``ids`` (little-endian unsigned integers of ``id_bytes``
+    bytes) and, with ``decode``, ``text`` (the decoded ids). ``buckets``: shares of the distinct-word table, by default
+    as :func:`bucket_number` has it.
 
     * Null and empty texts give no ids and an empty text. Texts of any length are encoded whole.
     * Special tokens of the vocabulary that occur in a text become their ids, as in the tokenizers library.
     * Null and repeated ids are carried through; repeated rows each get their row.
     * An empty table gives an empty result; further columns of ``docs`` are ignored.
     """
-    spark = docs.sparkSession
-    if buckets is None:
-        least = 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-        buckets = max(least, min(MOST_BUCKETS, text_bytes(docs, text_col) // BUCKET_BYTES))
+    buckets = buckets or bucket_number(docs, text_bytes(docs, text_col))
     id_type = docs.schema[id_col].dataType
     words = docs.select(
         F.col(id_col).alias("id"), words_column(F.col(text_col), special_tokens(tokenizer_path)).alias("words")
@@ -331,7 +335,7 @@ def encode_documents(
     arrow_id = arrow_type(id_type)
 
     def assemble(group: pa.Table) -> pa.Table:
-        return pa.Table.from_batches(list(_assemble(tokenizer_path, arrow_id, decode, group)))
+        return pa.Table.from_batches(list(_assemble(tokenizer_path, arrow_id, decode, id_bytes, group)))
 
     schema = [T.StructField("id", id_type), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())]
     if decode:

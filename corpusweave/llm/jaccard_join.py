@@ -39,7 +39,7 @@ from .textnum import mix, slices, span_hashes, utf8_parts, word_spans
 #: Common shingles that two windows surely hold, if the sets have as many.
 MARGIN = 32
 #: Classes of a group, and queries that meet a group in one task, about; and shingles of either.
-GROUP, QUERIES, SHINGLES = 256, 500, 250_000
+GROUP, QUERIES, SHINGLES = 512, 500, 250_000
 #: A token of more classes than this is frequent.
 FREQUENT = 64
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bpe import _binary, encode_documents, list_parts, text_bytes, tokenizer
+from .bpe import _binary, bucket_number, encode_documents, list_parts, text_bytes, tokenizer
 from .common import discard, scratch_dir, stage
 
 MAX_BITS = 18
@@ -127,7 +127,7 @@ def unpack_bits(payload: bytes, checkpoints: np.ndarray, n_tokens: int, table) -
     return out.T.reshape(-1)[:n_tokens]
 
 
-def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _segments(width: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Cut a sorted partition into segments of about SEGMENT_TOKENS tokens, whole documents each."""
     docs: list[pa.Array] = []
     ids: list[np.ndarray] = []
@@ -152,8 +152,8 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         part = batch.column("part")[0].as_py()
         column = batch.column("ids").cast(pa.large_binary())
-        off = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1] // 4
-        flat = np.frombuffer(column.buffers()[2] or b"", "<u4")[: off[-1]]
+        off = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1] // width
+        flat = np.frombuffer(column.buffers()[2] or b"", f"<u{width}")[: off[-1]]
         at = 0
         while at < batch.num_rows:
             to = max(at + 1, int(np.searchsorted(off, off[at] + SEGMENT_TOKENS - held, side="right")) - 1)
@@ -169,22 +169,22 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
-def _encode(lengths: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _encode(lengths: np.ndarray, width: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     codes = canonical_codes(lengths)
     for batch in batches:
         for k in range(batch.num_rows):
-            payload, marks = pack_bits(np.frombuffer(batch.column("ids")[k].as_py(), "<u4"), lengths, codes)
+            payload, marks = pack_bits(np.frombuffer(batch.column("ids")[k].as_py(), f"<u{width}"), lengths, codes)
             row = batch.slice(k, 1).drop_columns(["ids"])
             yield row.append_column("payload", pa.array([payload.tobytes()], pa.binary())).append_column(
                 "checkpoints", pa.array([marks.astype("<i8").tobytes()], pa.binary())
             )
 
 
-def _counts(size: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _counts(size: int, width: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(size, np.int64)
     for batch in batches:
         for x in batch.column("ids"):
-            total += np.bincount(np.frombuffer(x.as_py(), "<u4"), minlength=size)
+            total += np.bincount(np.frombuffer(x.as_py(), f"<u{width}"), minlength=size)
     used = np.flatnonzero(total)
     yield pa.record_batch({"id": pa.array(used.astype(np.int32)), "n": pa.array(total[used])})
 
@@ -205,11 +205,15 @@ def write_token_files(
     spark = docs.sparkSession
     id_type = docs.schema[id_col].dataType
     size = max(tokenizer(tokenizer_path).get_vocab_size(with_added_tokens=True), (end_id or 0) + 1)
-    ids = F.col("ids") if end_id is None else F.concat("ids", F.lit(end_id.to_bytes(4, "little")))
-    coded = encode_documents(docs.select(id_col, text_col), tokenizer_path, id_col, text_col, decode=False)
+    width = 2 if size <= 1 << 16 else 4
+    ids = F.col("ids") if end_id is None else F.concat("ids", F.lit(end_id.to_bytes(width, "little")))
+    texts = text_bytes(docs, text_col)
+    coded = encode_documents(
+        docs.select(id_col, text_col), tokenizer_path, id_col, text_col, bucket_number(docs, texts), decode=False, id_bytes=width
+    )
     # Finding the ranges reads the ids of the documents from this table, and encodes nothing again.
     coded = stage(coded.select(F.col(id_col).alias("id"), ids.alias("ids")), "token-ids", compression="zstd")
-    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), text_bytes(docs, text_col) // RANGE_BYTES)
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), texts // RANGE_BYTES)
     dealt = coded.repartitionByRange(ranges, "id").sortWithinPartitions("id").withColumn("part", F.spark_partition_id())
     head = [
         T.StructField("part", T.IntegerType()),
@@ -220,16 +224,16 @@ def write_token_files(
         T.StructField("doc_tokens", T.ArrayType(T.LongType())),
     ]
     raw = stage(
-        dealt.mapInArrow(_segments, T.StructType([*head, T.StructField("ids", T.BinaryType())])), "segments", compression="zstd"
+        dealt.mapInArrow(lambda b: _segments(width, b), T.StructType([*head, T.StructField("ids", T.BinaryType())])), "segments", compression="zstd"
     )
     discard(coded)
-    counted = raw.select("ids").mapInArrow(lambda b: _counts(size, b), "id int, n long").groupBy("id").agg(F.sum("n"))
+    counted = raw.select("ids").mapInArrow(lambda b: _counts(size, width, b), "id int, n long").groupBy("id").agg(F.sum("n"))
     counts = np.zeros(size, np.int64)
     for number, n in counted.collect():  # a row per id of the vocabulary at most
         counts[number] = n
     lengths = code_lengths(counts)
     packed = raw.mapInArrow(
-        lambda b: _encode(lengths, b),
+        lambda b: _encode(lengths, width, b),
         T.StructType([*head, T.StructField("payload", T.BinaryType()), T.StructField("checkpoints", T.BinaryType())]),
     )
     packed.write.parquet(f"{path}/segments")
