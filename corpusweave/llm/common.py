@@ -64,9 +64,16 @@ def stage(df: DataFrame, name: str, **options: str) -> DataFrame:
     return out
 
 
+def release(spark: SparkSession) -> None:
+    """Have shuffle files of finished jobs deleted. Spark's cleaner does so when the driver finds their plans unused,
+    which it otherwise looks for every half an hour."""
+    spark._jvm.java.lang.System.gc()
+
+
 def discard(staged: DataFrame) -> None:
-    """Delete a table of :func:`stage`. All that was made from it must have been written."""
+    """Delete a table of :func:`stage`, and release shuffles. All that was made from it must have been written."""
     delete(staged.sparkSession, staged.staged_at)
+    release(staged.sparkSession)
 
 
 def ascii_lower(text: Column) -> Column:

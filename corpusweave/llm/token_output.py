@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import _binary, bucket_number, encode_documents, list_parts, text_bytes, tokenizer
-from .common import discard, scratch_dir, stage
+from .common import discard, release, scratch_dir, stage
 
 MAX_BITS = 18
 BLOCK_TOKENS = 128
@@ -213,6 +213,7 @@ def write_token_files(
     )
     # Finding the ranges reads the ids of the documents from this table, and encodes nothing again.
     coded = stage(coded.select(F.col(id_col).alias("id"), ids.alias("ids")), "token-ids", compression="zstd")
+    release(spark)
     ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), texts // RANGE_BYTES)
     dealt = coded.repartitionByRange(ranges, "id").sortWithinPartitions("id").withColumn("part", F.spark_partition_id())
     head = [
