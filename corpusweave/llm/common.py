@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -67,6 +69,9 @@ def stage(df: DataFrame, name: str, **options: str) -> DataFrame:
 def release(spark: SparkSession) -> None:
     """Have shuffle files of finished jobs deleted. Spark's cleaner does so when the driver finds their plans unused,
     which it otherwise looks for every half an hour."""
+    gc.collect()
+    time.sleep(1.5)  # Python tells the JVM which plans it no longer holds once a second
+    spark.range(1).count()  # so that the last plan that ran isn't the one to go
     spark._jvm.java.lang.System.gc()
 
 
