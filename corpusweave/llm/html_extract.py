@@ -2,12 +2,13 @@
 
 Each page is read into a tree of elements. Every element has the characters and tags of its subtree, and those
 of links in it; its composite density is characters per tag, lowered by a logarithm that grows with the links.
-The element whose children have the largest sum of densities is the core of the article. The lowest density on
+The element whose children have the largest sum of densities is the core of the article; where it is a line of text or
+a part of one, its container is. The lowest density on
 the path from the body to it is the threshold that text outside it must reach to belong to the article as well.
 Elements that by their name or role are no article (menus, headers, footers, forms, scripts), and hidden ones, are
 left out before densities are computed. Words of a class or an id (sidebars, notices, adverts, comments of readers)
 only mark a candidate: it is left out if links hold half of its text or more, or if it is short or less dense than
-the article's text, and never if it holds the core or most of the page's text.
+the article's text, or stands outside of an article that holds none of them, and never if it holds the core or most of the page's text.
 
 Pages are independent, so Spark deals them out and nothing is shuffled; the parser below sees one page at a time.
 """
@@ -247,7 +248,7 @@ class _Page:
             if 2 * link_chars[of] >= chars[of]:
                 gone.add(k)
             elif self.mark[k] == 2:
-                if of == k and (prose[k] < SHORT or 2 * density[k] < usual):
+                if of == k and (outside and not self.in_article[k] or prose[k] < SHORT or 2 * density[k] < usual):
                     gone.add(k)
             elif of == k and not self.in_article[k] and not within[k] and density[k] < least:
                 gone.add(k)
@@ -265,16 +266,16 @@ def main_text(source: str) -> str:
     path = path or page.core(density, total, body)
     core = path[0]
     threshold = min((density[k] for k in path), default=0.0)
-    # The article is the outermost element on the path that is named so; else what reaches the threshold.
-    named = [k for k in path if page.tag[k] in ("article", "main")]
-    top = named[-1] if named else body
+    # A single line of text, or a part of one, is no article: its container is.
+    while core != body and (page.tag[core] in _LINES or page.tag[core] not in BLOCKS):
+        core = page.parent[core]
     taken, within, above = [False] * n, [False] * n, set(path)
     for k in range(n):
         within[k] = k == core or k > 0 and within[page.parent[k]]
-        if k == top:
+        if k == body:
             taken[k] = True
         elif k and taken[page.parent[k]] and not quiet[k]:
-            taken[k] = bool(named) or k in above or within[k] or density[k] >= threshold
+            taken[k] = k in above or within[k] or density[k] >= threshold
     blocks: list[list[str]] = []
     for node, text, fresh in page.pieces:
         if fresh or not blocks:

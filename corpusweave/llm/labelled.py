@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Characters of a text that training reads at most; scoring reads whole texts.
-TRAIN_CHARS = 40_000
+from .textnum import slices
 
 
 def labelled_sample(
@@ -19,13 +22,18 @@ def labelled_sample(
     id_col: str = "doc_id",
     text_col: str = "text",
     extra: list[str] | None = None,
+    describe: Callable[[pa.RecordBatch], dict[str, pa.Array]] | None = None,
+    described: tuple[str, ...] = (),
 ) -> tuple[list, dict]:
     """At most ``per_class`` labelled rows of each class, and the number of labelled rows of each class.
 
     Rows are taken in the order of a hash of their id, so the sample is the same in every run. Only as small a
     share of a class as surely holds enough rows (ten standard deviations more than ``per_class``) is sorted, so
     no task gets a whole class. Rows with a null label, or which ``usable`` (over ``labels``) excludes, are out. The classes must be few: the bound
-    holds for each of them.
+    holds for each of them. Of equal texts, the row with the least id counts.
+
+    ``describe`` turns batches with ``text`` and ``extra`` into the binary columns ``described`` in the tasks, from whole
+    texts; then these are collected in place of the texts.
     """
     from pyspark.sql import Window
 
@@ -40,12 +48,22 @@ def labelled_sample(
     hashed = rows.withColumn("__h", F.xxhash64("__id")).filter(low)
     chosen = hashed.withColumn("__n", F.row_number().over(order)).filter(F.col("__n") <= per_class).drop("__h")
     # As many rows as the bound allows, so they may be broadcast.
+    text = F.coalesce(F.col(text_col), F.lit(""))
     texts = docs.join(F.broadcast(chosen), docs[id_col] == F.col("__id")).select(
-        F.col("__id").alias("id"), "y", F.substring(F.coalesce(F.col(text_col), F.lit("")), 1, TRAIN_CHARS).alias("text"), *(extra or [])
+        F.col("__id").alias("id"), "y", F.xxhash64(text).alias("key"), text.alias("text"), *(extra or [])
     )
-    found = sorted(texts.collect(), key=lambda r: (str(r.id), r.text))
-    seen: set[str] = set()
-    distinct = [r for r in found if not (r.text in seen or seen.add(r.text))]
+    if describe:
+        head = ["id", "y", "key"]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in slices(batches, "text", limit=500_000, rows=500):
+                yield pa.record_batch({c: batch.column(c) for c in head} | describe(batch))
+
+        fields = [texts.schema[c] for c in head] + [T.StructField(c, T.BinaryType()) for c in described]
+        texts = texts.mapInArrow(run, T.StructType(fields))
+    found = sorted(texts.collect(), key=lambda r: (str(r.id), r.key))
+    seen: set[int] = set()
+    distinct = [r for r in found if not (r.key in seen or seen.add(r.key))]
     return distinct, counts
 
 

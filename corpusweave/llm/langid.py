@@ -105,16 +105,28 @@ def _pairs(x: np.ndarray, own: np.ndarray, y: list[str]) -> dict:
     return {"names": names, "machines": out}
 
 
+def _described(batch: pa.RecordBatch) -> dict[str, pa.Array]:
+    """Histograms as bytes: the filled buckets of each, and their values."""
+    out = {"slot": [], "share": []}
+    for x in histograms(*utf8_parts(batch.column("text"))):
+        filled = np.flatnonzero(x)
+        out["slot"].append(filled.astype(np.uint16).tobytes())
+        out["share"].append(x[filled].astype(np.float16).tobytes())
+    return {c: pa.array(v, pa.binary()) for c, v in out.items()}
+
+
 def train(docs: DataFrame, usable: Column, lang_col: str = "lang", per_class: int = PER_CLASS) -> dict:
     """Machines from the rows of ``docs`` which ``usable`` admits and whose language is given."""
-    rows, _ = labelled_sample(docs.select("doc_id", "text"), docs.select("doc_id", lang_col), lang_col, per_class, usable)
-    rows = [r for r in rows if any(c.isalpha() for c in r.text)]
+    spoken = docs.filter(F.col("text").rlike(r"\p{L}")).select("doc_id", "text")
+    rows, _ = labelled_sample(
+        spoken, docs.select("doc_id", lang_col), lang_col, per_class, usable, describe=_described, described=("slot", "share")
+    )
     if not rows:
         return {}
     # Half precision and rows taken by number: the driver holds one copy of the sample, 16 kB a row.
-    x = np.empty((len(rows), BUCKETS), np.float16)
-    for k in range(0, len(rows), 200):
-        x[k : k + 200] = histograms(*utf8_parts(pa.array([r.text for r in rows[k : k + 200]], pa.large_string())))
+    x = np.zeros((len(rows), BUCKETS), np.float16)
+    for k, r in enumerate(rows):
+        x[k, np.frombuffer(r.slot, np.uint16)] = np.frombuffer(r.share, np.float16)
     langs = [r.y for r in rows]
     families = [family_of(v) for v in langs]
     model = {"family": _pairs(x, np.arange(len(rows)), families), "within": {}}

@@ -147,39 +147,35 @@ def fit(stats, text, bucket, value, y: np.ndarray, weight: np.ndarray, rounds: i
 def train(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "quality", per_class: int = PER_CLASS) -> dict:
     """A model from labelled rows. Without rows of both classes the score is constant."""
     docs = docs.select("doc_id", "text", _stated(docs).alias("__stated"))
-    rows, counts = labelled_sample(docs, labels, label, per_class, usable, extra=["__stated"])
+    rows, counts = labelled_sample(
+        docs, labels, label, per_class, usable, extra=["__stated"], describe=_described, described=("stats", "bucket", "value")
+    )
     total = sum(counts.get(k, 0) for k in (0, 1))
     prior = counts.get(1, 0) / total if total else 1.0
     rows = [r for r in rows if r.y in (0, 1)]
     y = np.array([r.y for r in rows], float)
     if not len(y) or min(y.sum(), (1 - y).sum()) < 4:
         return {"prior": prior}
-    parts = _features_in_chunks(rows)
+    stats = np.stack([np.frombuffer(r.stats, np.float64) for r in rows])
+    bucket, value = [np.frombuffer(r.bucket, np.int32) for r in rows], [np.frombuffer(r.value, np.float32) for r in rows]
+    text = np.repeat(np.arange(len(rows), dtype=np.int32), [len(b) for b in bucket])
+    parts = (stats, text, np.concatenate(bucket), np.concatenate(value))
     # Rows weigh as their class does among all labelled rows.
     share = np.where(y == 1, prior / y.mean(), (1 - prior) / (1 - y.mean()))
     return {"prior": prior} | fit(*parts, y, share)
 
 
-def _features_in_chunks(rows: list, chunk_rows: int = 500) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """``features`` of the sample, worked out slice by slice so that the driver holds few arrays of the bytes at a time.
+def _described(batch: pa.RecordBatch) -> dict[str, pa.Array]:
+    """``features`` of each text as bytes."""
+    stats, text, bucket, value = features(*utf8_parts(batch.column("text")), np.asarray(batch.column("__stated").cast(pa.float64())))
+    edges = np.searchsorted(text, np.arange(batch.num_rows + 1))
+    cut = lambda x: pa.array([x[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)], pa.binary())
+    return {
+        "stats": pa.array([x.tobytes() for x in stats.astype(np.float64)], pa.binary()),
+        "bucket": cut(bucket.astype(np.int32)),
+        "value": cut(value.astype(np.float32)),
+    }
 
-    Takes the rows' texts out of ``rows`` as it goes.
-    """
-    parts, done = [], 0
-    while rows:
-        batch = pa.record_batch(
-            {
-                "text": pa.array([r.text for r in rows[:chunk_rows]], pa.large_string()),
-                "stated": pa.array([r["__stated"] for r in rows[:chunk_rows]], pa.float64()),
-            }
-        )
-        del rows[:chunk_rows]
-        for part in slices(iter([batch]), "text", limit=500_000, rows=chunk_rows):
-            raw, off = utf8_parts(part.column("text"))
-            stats, text, bucket, value = features(raw, off, np.asarray(part.column("stated")))
-            parts.append((stats, (text + done).astype(np.int32), bucket.astype(np.int32), value.astype(np.float32)))
-            done += part.num_rows
-    return tuple(np.concatenate(column) for column in zip(*parts, strict=True))
 
 
 def _stated(docs: DataFrame) -> Column:

@@ -32,7 +32,9 @@ PER_CLASS = 3000
 WINDOW = 64
 LEVEL = 6
 ORDINARY_BYTES, TOXIC_BYTES = 8192, 1024
-#: Windows of clean texts that the ordinary dictionary is trained on at most.
+#: A byte n-gram marks toxic words if it occurs in so many toxic texts (and one in a hundred) and its log-odds are above this.
+MARK_TEXTS, MARK_ODDS = 3, 2.5
+#: Windows of all sampled clean texts, evenly taken, that the ordinary dictionary is trained on at most.
 ORDINARY_WINDOWS = 40_000
 
 # Letters (lower-cased) and bytes of other scripts stand for themselves, all else for a space.
@@ -118,20 +120,19 @@ def train_dictionaries(toxic: list[str], clean: list[str]) -> tuple[bytes, bytes
     for texts, counter in ((toxic, in_toxic), (clean, in_clean)):
         for t in texts:
             counter.update(_grams(set(_words(t))))
-    least = max(3, len(toxic) // 100)
+    least = max(MARK_TEXTS, len(toxic) // 100)
     marks = {
         g
         for g, n in in_toxic.items()
-        if n >= least and math.log((n + 0.5) / len(toxic) * len(clean) / (in_clean[g] + 0.5)) > 3.0
+        if n >= least and math.log((n + 0.5) / len(toxic) * len(clean) / (in_clean[g] + 0.5)) > MARK_ODDS
     }
     passages = [b" " + b" ".join(w for w in _words(t) if _grams({w}) & marks) + b" " for t in toxic]
     passages = [p for p in passages if len(p) > 8]
     windows: list[bytes] = []
     for at in range(0, len(clean), 200):
         windows += _windows(*_parts(clean[at : at + 200]))[0]
-        if len(windows) >= ORDINARY_WINDOWS:
-            break
-    return _trained(windows[:ORDINARY_WINDOWS], ORDINARY_BYTES, 32), _trained(passages, TOXIC_BYTES, 24)
+    # The trainer takes windows from all texts alike: every so many-th.
+    return _trained(windows[:: 1 + len(windows) // ORDINARY_WINDOWS], ORDINARY_BYTES, 32), _trained(passages, TOXIC_BYTES, 24)
 
 
 def _trained(samples: list[bytes], size: int, segment: int) -> bytes:
