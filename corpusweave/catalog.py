@@ -37,7 +37,9 @@ near AS (
     SELECT q.query_id, q.query_doc, c.vector_id, c.doc_id, c.section_type, c.embedded_at, {_QC} AS cos,
         row_number() OVER (PARTITION BY q.query_id ORDER BY {_QC} DESC, c.vector_id) AS rank
     FROM query_vectors q, chunks c)"""
-_IMPORTANCE = "CASE section_type " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in ranking.IMPORTANCE.items()) + " END"
+_IMPORTANCE = """CASE section_type WHEN 'abstract' THEN 0.75 WHEN 'introduction' THEN 0.6 WHEN 'background' THEN 0.45 WHEN 'method' THEN 0.6
+    WHEN 'experiments' THEN 0.5 WHEN 'applications' THEN 0.65 WHEN 'limitations' THEN 0.55 WHEN 'future_work' THEN 0.8 WHEN 'conclusion' THEN 0.7
+    WHEN 'user_notes' THEN 0.9 WHEN 'reflection' THEN 1.0 ELSE 0.35 END"""
 _RECENCY = f"CASE WHEN embedded_at IS NULL THEN 0.5 ELSE exp(-ln(2) * greatest(0, (epoch(TIMESTAMP '{AS_OF}') - epoch(embedded_at)) / 86400.0) / 180.0) END"
 _TOKENS = r"list_filter(string_split_regex(lower(coalesce({0}, '')), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')"
 
@@ -259,7 +261,7 @@ def problem_hunt(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _CONNECTIONS = f"""hits AS (
     SELECT * FROM (SELECT q.vector_id AS query_id, c.doc_id, c.section_type, {_QC} AS cos, row_number() OVER (PARTITION BY q.vector_id ORDER BY {_QC} DESC, c.vector_id) AS rank
-    FROM chunks q JOIN chunks c ON q.vector_id >= 400 AND c.vector_id < 400) WHERE rank <= 32),
+    FROM chunks q JOIN chunks c ON q.vector_id % 100 = 0 AND c.doc_id <> q.doc_id) WHERE rank <= 32),
 first AS (SELECT query_id, doc_id, min(rank) AS first FROM hits GROUP BY ALL),
 placed AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY first) AS place FROM first),
 stop AS (SELECT query_id, max(first) AS stop FROM placed WHERE place <= 8 GROUP BY query_id),
@@ -269,10 +271,9 @@ connections AS (SELECT h.query_id, h.doc_id, max(cos) AS score, max(place) AS pl
 
 def _connections(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = binding.chunks(spark, sf_dir)
-    incoming = c.filter("vector_id >= 400").select(F.col("vector_id").alias("query_id"), "embedding")
-    known = c.filter("vector_id < 400")
-    pool = knn_join(incoming, known, 32, "query_id", "vector_id")
-    return ranking.connection_strength(pool.join(known.select("vector_id", "doc_id", "section_type"), "vector_id"), 8)
+    incoming = c.filter("vector_id % 100 = 0").select(F.col("vector_id").alias("query_id"), F.col("doc_id").alias("query_doc"), "embedding")
+    pool = knn_join(incoming, c, 32, "query_id", "vector_id", "query_doc", "doc_id")
+    return ranking.connection_strength(pool.select("query_id", "vector_id", "cos", "rank").join(c.select("vector_id", "doc_id", "section_type"), "vector_id"), 8)
 
 
 @register(f"WITH {SQL}, {_CONNECTIONS} SELECT query_id, doc_id, score, place FROM connections")
@@ -286,10 +287,97 @@ def candidate_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.relevance(_connections(spark, sf_dir).join(binding.documents(spark, sf_dir).select("doc_id", "kind"), "doc_id"))
 
 
-@register(f"WITH {SQL} SELECT section_type, count(*) AS n, count(DISTINCT doc_id) AS docs, avg(CASE WHEN section_type = 'other' THEN 1.0 ELSE 0.0 END) AS other FROM chunks GROUP BY section_type")
+@register(f"WITH {SQL} SELECT section_type, count(*) AS n, count(DISTINCT doc_id) AS docs FROM chunks GROUP BY section_type")
 def section_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    other = F.avg(F.when(F.col("section_type") == "other", 1.0).otherwise(0.0))
-    return binding.chunks(spark, sf_dir).groupBy("section_type").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id").alias("docs"), other.alias("other"))
+    return binding.chunks(spark, sf_dir).groupBy("section_type").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id").alias("docs"))
+
+
+@register(f"""WITH {SQL} SELECT count(*) AS n_chunks, count(DISTINCT doc_id) AS n_docs,
+    round(coalesce(avg(CASE WHEN section_type = 'other' THEN 1.0 ELSE 0.0 END), 0.0), 9) AS other_ratio FROM chunks""")
+def corpus_health(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row: chunks, documents, and the share of chunks whose section couldn't be told."""
+    other = F.coalesce(F.avg(F.when(F.col("section_type") == "other", 1.0).otherwise(0.0)), F.lit(0.0))
+    return binding.chunks(spark, sf_dir).agg(F.count(F.lit(1)).alias("n_chunks"), F.countDistinct("doc_id").alias("n_docs"), F.round(other, 9).alias("other_ratio"))
+
+
+_HEADINGS = (
+    "Abstract|1 Introduction|Prior Art and Background|Limitations of the Method|Ablation|Discussion|Threats to Validity|System Design|Benchmark Results"
+    "|Use Cases|Future Directions|Open Problems and Conclusion|Acknowledgements|Weaknesses|Results and Discussion|Notes"
+).split("|")
+
+
+@register(f"""WITH h AS (SELECT doc_id, [{", ".join(f"'{h}'" for h in _HEADINGS)}][doc_id % {len(_HEADINGS)} + 1] || ' ' || source AS heading FROM documents),
+    l AS (SELECT *, lower(heading) AS t FROM h)
+    SELECT doc_id, CASE WHEN contains(t, 'abstract') THEN 'abstract' WHEN contains(t, 'introduction') THEN 'introduction'
+        WHEN regexp_matches(t, 'related work|background|prior') THEN 'background' WHEN regexp_matches(t, 'method|approach|algorithm|design|model') THEN 'method'
+        WHEN regexp_matches(t, 'experiment|evaluation|result|benchmark') THEN 'experiments' WHEN regexp_matches(t, 'application|use case') THEN 'applications'
+        WHEN regexp_matches(t, 'limitation|threat|weakness') THEN 'limitations' WHEN regexp_matches(t, 'future work|future direction|open problem') THEN 'future_work'
+        WHEN regexp_matches(t, 'conclusion|discussion') THEN 'conclusion' ELSE 'other' END AS section_type FROM l""")
+def section_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Types of headings that are made of the documents' sources."""
+    name = F.element_at(F.array(*map(F.lit, _HEADINGS)), (F.col("doc_id") % len(_HEADINGS) + 1).cast("int"))
+    heading = F.concat(name, F.lit(" "), "source")
+    return table(spark, sf_dir, "documents").select("doc_id", chunking.classify_heading(heading).alias("section_type"))
+
+
+@register(r"""WITH s AS (SELECT doc_id, '\maketitle \thanks' || chr(10) || coalesce(text, '') || chr(10) || chr(10) || '<img src="x">' || chr(10) || chr(10) || source AS t FROM documents),
+    w AS (SELECT doc_id, string_split(t, chr(10)) AS a FROM s),
+    l AS (SELECT doc_id, unnest(a) AS line, generate_subscripts(a, 1) AS n FROM w),
+    b AS (SELECT *, trim(line, ' ' || chr(9)) = '' OR line = '\maketitle \thanks' OR line = '<img src="x">' AS blank FROM l),
+    k AS (SELECT *, coalesce(lag(blank) OVER (PARTITION BY doc_id ORDER BY n), true) AS before FROM b)
+    SELECT doc_id, sha256(string_agg(CASE WHEN blank THEN '' ELSE rtrim(line, ' ' || chr(9)) END, chr(10) ORDER BY n) || chr(10)) AS clean_sha256
+    FROM k WHERE NOT (blank AND before) GROUP BY doc_id""")
+def clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cleaned texts of all documents, between lines as conversion leaves them."""
+    lines = ["\\maketitle \\thanks", F.coalesce("text", F.lit("")), "", '<img src="x">', "", F.col("source")]
+    md = F.concat_ws("\n", *(F.lit(x) if isinstance(x, str) else x for x in lines))
+    out = chunking.clean_markdown(table(spark, sf_dir, "documents").select("doc_id", md.alias("text")))
+    return out.select("doc_id", F.sha2("text", 256).alias("clean_sha256"))
+
+
+_PATHS = ["d{0}/notes.md", "d{0}/source/main.tex", ".cache/x.md", "inbox/{0}.txt", "d{0}/idea.md", "d{0}/reflection.md", "d{0}"]
+
+
+@register("""WITH p AS (SELECT event_id, 'd' || user_id AS d, CASE WHEN event_id % 5 = 0 THEN 'remove' ELSE 'upsert' END AS op, event_id % 7 AS k FROM events)
+    SELECT event_id, d AS doc_id, op FROM p WHERE k IN (0, 4) OR op = 'remove' AND k IN (1, 5, 6)""")
+def change_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of the table as changes of files below a root; those that concern a document."""
+    from .streaming.changes import document_events
+
+    parts = [F.concat_ws("", *(F.lit(x) if k == 0 else F.concat(F.col("user_id").cast("string"), F.lit(x)) for k, x in enumerate(p.split("{0}")))) for p in _PATHS]
+    path = F.concat(F.lit("kb/"), F.element_at(F.array(*parts), (F.col("event_id") % len(_PATHS) + 1).cast("int")))
+    op = F.when(F.col("event_id") % 5 == 0, "remove").otherwise("upsert")
+    rows = table(spark, sf_dir, "events").select(path.alias("path"), op.alias("op"), F.col("event_id").alias("ts"))
+    return document_events(rows, "kb").select(F.col("ts").alias("event_id"), "doc_id", "op")
+
+
+@register(f"""WITH {SQL} SELECT doc_id, kind, project, categories, n_chunks FROM docs
+    WHERE coalesce(kind, 'paper') = 'paper' AND list_contains(categories, 3) ORDER BY doc_id""")
+def list_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.list_documents(binding.documents(spark, sf_dir), kind="paper", category=3).select("doc_id", "kind", "project", "categories", "n_chunks")
+
+
+@register(f"""WITH {SQL}, own AS (SELECT doc_id, list(vector_id ORDER BY vector_id) AS chunk_ids FROM chunks GROUP BY doc_id),
+    noted AS (SELECT DISTINCT doc_id FROM chunks WHERE section_type = 'user_notes')
+    SELECT d.doc_id, d.kind, o.chunk_ids, n.doc_id IS NOT NULL AS has_notes FROM docs d LEFT JOIN own o USING (doc_id) LEFT JOIN noted n USING (doc_id)""")
+def document_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.document_detail(binding.documents(spark, sf_dir), binding.chunks(spark, sf_dir)).select("doc_id", "kind", "chunk_ids", "has_notes")
+
+
+@register(f"WITH {SQL} SELECT vector_id, doc_id FROM chunks WHERE doc_id NOT IN (SELECT doc_id FROM docs WHERE kind = 'note')")
+def orphan_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks whose document is gone, where only the notes were left."""
+    left = binding.documents(spark, sf_dir).filter("kind = 'note'")
+    return corpus.orphans(binding.chunks(spark, sf_dir), left, "doc_id").select("vector_id", "doc_id")
+
+
+@register(f"""WITH {SQL}, t AS (SELECT c.vector_id, d.text FROM chunks c JOIN documents d ON d.doc_id = c.vector_id)
+    SELECT DISTINCT sha256(text) AS content_hash FROM documents WHERE text IS NOT NULL AND sha256(text) NOT IN (SELECT sha256(text) FROM t WHERE text IS NOT NULL)""")
+def unused_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cached texts (all documents) that no chunk holds any more."""
+    cache = table(spark, sf_dir, "documents").filter("text is not null").select(scalars.content_hash(F.col("text")).alias("content_hash")).distinct()
+    held = binding.chunks(spark, sf_dir, text=True).filter("text is not null").select(scalars.content_hash(F.col("text")).alias("content_hash"))
+    return corpus.orphans(cache, held, "content_hash")
 
 
 @register("SELECT source AS tag, count(*) AS n FROM documents GROUP BY source ORDER BY n DESC, tag LIMIT 10")

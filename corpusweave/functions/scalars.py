@@ -60,7 +60,8 @@ def url_id(url: Column) -> Column:
 def arxiv_id(text: Column) -> tuple[Column, Column]:
     """Id and version (``v`` and digits, or null) of an id or a URL that holds one; null if there is none."""
     pattern = r"^(?:(?i:arxiv:)|https?://(?:www\.|export\.)?arxiv\.org/(?:abs|pdf|html)/)?(\d{4}\.\d{4,5})(v\d+)?(?:\.pdf)?/?$"
-    found = lambda g: F.nullif(F.regexp_extract(strip(text), pattern, g), F.lit(""))
+    bare = F.regexp_replace(strip(text), r"[?#].*$|/+$", "")  # without query string, fragment and closing slashes
+    found = lambda g: F.nullif(F.regexp_extract(bare, pattern, g), F.lit(""))
     return found(1), found(2)
 
 

@@ -10,15 +10,20 @@ from ..functions.scalars import approx_tokens, html_comments_out, is_reference_h
 # The first rule whose words occur in a heading names the section.
 SECTION_RULES = [
     ("abstract", ["abstract"]),
-    ("limitations", ["limitation"]),
-    ("future_work", ["future work", "future direction", "open problem"]),
-    ("conclusion", ["conclusion", "concluding"]),
-    ("experiments", ["experiment", "evaluation", "result", "empirical", "ablation", "benchmark"]),
     ("introduction", ["introduction"]),
-    ("background", ["background", "related work", "preliminar", "prior work"]),
-    ("method", ["method", "approach", "algorithm", "model", "architecture", "proposed"]),
+    ("background", ["related work", "background", "prior"]),
+    ("method", ["method", "approach", "algorithm", "design", "model"]),
+    ("experiments", ["experiment", "evaluation", "result", "benchmark"]),
     ("applications", ["application", "use case"]),
+    ("limitations", ["limitation", "threat", "weakness"]),
+    ("future_work", ["future work", "future direction", "open problem"]),
+    ("conclusion", ["conclusion", "discussion"]),
 ]
+# Layout commands that conversion leaves behind as words.
+LAYOUT_WORDS = (
+    "maketitle thanks aketitle centering noindent par clearpage newpage vspace hspace bibliographystyle bibliography"
+    " footnotesize small normalsize bigskip medskip smallskip hfill vfill tableofcontents appendix"
+).split()
 
 
 def classify_heading(heading: Column) -> Column:
@@ -46,10 +51,10 @@ def split_at_headings(docs: DataFrame, key: str = "doc_id", text: str = "text",
     What precedes the first heading is segment 0 with a null heading, and absent if blank.
     """
     lines = lines_of(docs, key, text)
-    is_heading = ~F.col("fenced") & F.col("line").rlike(rf"^#{{1,{deepest}}}\s+\S")
+    is_heading = ~F.col("fenced") & F.col("line").rlike(rf"^\s*#{{1,{deepest}}}([ \t].*)?$")
     so_far = Window.partitionBy(key).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     marked = lines.withColumn("is_heading", is_heading).withColumn("segment", F.sum(is_heading.cast("int")).over(so_far))
-    named = F.regexp_replace(F.regexp_replace("line", r"^#+\s+", ""), r"\s*#*\s*(\{[^}]*\}\s*)?#*\s*$", "")
+    named = F.regexp_replace(F.regexp_replace("line", r"^\s*#+\s*", ""), r"\s*#*\s*(\{[^{]*\})?\s*#*\s*$", "")
     listed = F.array_sort(F.collect_list(F.when(~F.col("is_heading"), F.struct("line_no", "line"))))
     out = marked.groupBy(key, "segment").agg(
         F.max(F.when(F.col("is_heading"), named)).alias("heading"), F.array_join(F.transform(listed, lambda x: x["line"]), "\n").alias("body")
@@ -57,22 +62,39 @@ def split_at_headings(docs: DataFrame, key: str = "doc_id", text: str = "text",
     return out.filter(F.col("heading").isNotNull() | (strip(F.col("body")) != ""))
 
 
+def _only_markup(line: Column) -> Column:
+    """A line that starts with ``<`` and has nothing outside of angle brackets, which may nest or stay open."""
+    read = lambda s, c: F.struct(
+        F.when(c == "<", s["open"] + 1).when((c == ">") & (s["open"] > 0), s["open"] - 1).otherwise(s["open"]).alias("open"),
+        (s["text"] | ((s["open"] == 0) & (c != "<") & ~c.rlike(r"^\s*$"))).alias("text"),
+    )
+    start = F.struct(F.lit(0).alias("open"), F.lit(False).alias("text"))
+    return F.when(line.rlike(r"^\s*<"), ~F.aggregate(F.split(line, ""), start, read, lambda s: s["text"])).otherwise(False)
+
+
+def _only_layout(line: Column) -> Column:
+    """A line of layout commands and marks of environments alone."""
+    words = F.transform(F.split(strip(line), r"\s+"), lambda w: F.regexp_replace(w, r"^[^A-Za-z0-9{]+|[^A-Za-z0-9{]+$", ""))
+    known = lambda w: w.rlike(r"^(begin|end)\{") | w.isin(*LAYOUT_WORDS)
+    return (strip(line) != "") & F.forall(words, known)
+
+
 def clean_markdown(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with cleaned texts: no CCS blocks, markup-only or formula-noise lines, no runs of blank lines.
+    """``docs`` with cleaned texts: no CCS blocks, lines of markup or layout commands count as blank, runs of blank lines
+    become one, and none comes first. Every line ends with a line feed.
 
     Code fences stay as they are; cleaning twice is cleaning once.
     """
-    source = docs.withColumn(text, F.regexp_replace(text, r"(?s)<ccs2012>.*?</ccs2012>", ""))
-    lines = lines_of(source, key, text)
-    markup = F.col("line").rlike(r"^\s*(</?[A-Za-z][^>]*>\s*)+$|^\s*:::.*$")
-    formula = F.col("line").rlike(r"^\s*(\\[A-Za-z]+(\{[^}]*\})*\s*)+$")
-    kept = lines.filter(F.col("fenced") | ~(markup | formula))
-    blank = ~F.col("fenced") & F.col("line").rlike(r"^\s*$")
+    blocks = F.regexp_replace(text, r"(?s)<div class=\"CCSXML\">.*?(</div>|\z)", "")
+    source = docs.withColumn(text, F.regexp_replace(blocks, r"\r?\n\z", ""))
+    lines = lines_of(source, key, text).withColumn("line", F.regexp_replace("line", r"\r\z", ""))
+    blank = ~F.col("fenced") & (_only_markup(F.col("line")) | _only_layout(F.col("line")) | (strip(F.col("line")) == ""))
     order = Window.partitionBy(key).orderBy("line_no")
-    kept = kept.withColumn("blank", blank).withColumn("repeats", F.coalesce(F.lag("blank").over(order), F.lit(True)))
+    kept = lines.withColumn("blank", blank).withColumn("repeats", F.coalesce(F.lag("blank").over(order), F.lit(True)))
     kept = kept.filter(~(F.col("blank") & F.col("repeats")))
-    listed = F.array_sort(F.collect_list(F.struct("line_no", "line")))
-    joined = kept.groupBy(key).agg(F.regexp_replace(F.array_join(F.transform(listed, lambda x: x["line"]), "\n"), r"\s+$", "").alias("__clean"))
+    shown = F.when(F.col("blank"), "").when(F.col("fenced"), F.col("line")).otherwise(F.regexp_replace("line", r"\s+$", ""))
+    listed = F.array_sort(F.collect_list(F.struct("line_no", shown.alias("line"))))
+    joined = kept.groupBy(key).agg(F.concat(F.array_join(F.transform(listed, lambda x: x["line"]), "\n"), F.lit("\n")).alias("__clean"))
     return docs.join(joined, key, "left").withColumn(text, F.coalesce("__clean", F.lit(""))).drop("__clean")
 
 
@@ -155,9 +177,46 @@ def fill_pages(rows: DataFrame, key: str = "doc_id", order: str = "place", match
 
 
 def reading_windows(docs: DataFrame, key: str = "doc_id", text: str = "text", budget_bytes: int = 12_000) -> DataFrame:
-    """Windows of text for a reader: reference sections dropped, small segments joined, large ones split."""
-    parts = split_at_headings(docs, key, text, deepest=6).filter(~F.coalesce(is_reference_heading(F.col("heading")), F.lit(False)))
-    whole = F.when(F.col("heading").isNull(), F.col("body")).otherwise(F.concat(F.lit("# "), "heading", F.lit("\n\n"), "body"))
-    listed = F.array_sort(F.collect_list(F.struct("segment", whole.alias("body"))))
-    joined = parts.groupBy(key).agg(F.array_join(F.transform(listed, lambda x: strip(x["body"])), "\n\n").alias("body"))
-    return joined.select(key, F.posexplode(pack_paragraphs(F.col("body"), budget_bytes, 1)).alias("window", "text"))
+    """Windows of text for a reader (``key``, ``window``, ``text``): whole segments, each from a heading to the next, are
+    packed up to the budget; segments of references are dropped. A larger segment stands alone, split by paragraphs.
+    """
+    lines = lines_of(docs.withColumn(text, F.regexp_replace(text, r"\r?\n\z", "")), key, text)
+    so_far = Window.partitionBy(key).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    before = so_far.rowsBetween(Window.unboundedPreceding, -1)
+    head, filled = F.col("line").rlike(r"^\s*#"), F.col("line").rlike(r"\S")
+    seen = F.coalesce(F.max(filled).over(before), F.lit(False))
+    marked = lines.withColumn("head", head).withColumn("segment", F.sum((head & seen).cast("int")).over(so_far))
+    listed = F.array_sort(F.collect_list(F.struct("line_no", "line")))
+    parts = marked.groupBy(key, "segment").agg(
+        F.concat(F.array_join(F.transform(listed, lambda x: x["line"]), "\n"), F.lit("\n")).alias("body"),
+        F.min_by(F.when(F.col("head"), F.col("line")), F.when(F.col("head"), F.col("line_no"))).alias("heading"),
+    )
+    name = F.trim(F.regexp_replace("heading", r"^#+", ""))
+    parts = parts.filter(~F.coalesce(is_reference_heading(name), F.lit(False)) & F.col("body").rlike(r"\S"))
+    segments = F.transform(F.array_sort(F.collect_list(F.struct("segment", "body"))), lambda x: x["body"])
+    size = F.octet_length
+    keep = lambda done, now: F.when(now.rlike(r"\S"), F.concat(done, F.array(now))).otherwise(done)
+
+    def paragraphs(segment: Column) -> Column:
+        def add(s: Column, p: Column) -> Column:
+            full = (s["now"] != "") & (size(s["now"]) + size(p) + 2 > budget_bytes)
+            return F.struct(
+                F.when(full, F.concat(s["done"], F.array(s["now"]))).otherwise(s["done"]).alias("done"),
+                F.when(full | (s["now"] == ""), p).otherwise(F.concat(s["now"], F.lit("\n\n"), p)).alias("now"),
+            )
+
+        return F.aggregate(F.split(segment, "\n\n", -1), start, add, lambda s: keep(s["done"], s["now"]))
+
+    def pack(s: Column, segment: Column) -> Column:
+        large, full = size(segment) > budget_bytes, (s["now"] != "") & (size(s["now"]) + size(segment) > budget_bytes)
+        return F.struct(
+            F.when(large, F.concat(keep(s["done"], s["now"]), paragraphs(segment)))
+            .when(full, keep(s["done"], s["now"]))
+            .otherwise(s["done"])
+            .alias("done"),
+            F.when(large, "").when(full, segment).otherwise(F.concat(s["now"], segment)).alias("now"),
+        )
+
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("now"))
+    windows = parts.groupBy(key).agg(F.aggregate(segments, start, pack, lambda s: keep(s["done"], s["now"])).alias("w"))
+    return windows.select(key, F.posexplode("w").alias("window", "text"))

@@ -105,3 +105,39 @@ def quantise(vector, bits: int = 4):
     low, high = F.array_min(vector).cast("double"), F.array_max(vector).cast("double")
     step = F.when(high > low, (high - low) / ((1 << bits) - 1)).otherwise(1.0)
     return F.struct(F.transform(vector, lambda x: F.round((x - low) / step).cast("byte")).alias("codes"), low.alias("low"), step.alias("step"))
+
+
+def list_documents(docs: DataFrame, kind: str | None = None, project: str | None = None, tag=None, category=None) -> DataFrame:
+    """Documents that pass all given filters, by id. A document without a kind is a paper."""
+    out = docs
+    if kind is not None:
+        out = out.filter(F.coalesce("kind", F.lit("paper")) == kind)
+    if project is not None:
+        out = out.filter(F.col("project") == project)
+    for column, value in (("tags", tag), ("categories", category)):
+        if value is not None:
+            out = out.filter(F.array_contains(column, value))
+    return out.orderBy("doc_id")
+
+
+def find_documents(docs: DataFrame, needle: str) -> DataFrame:
+    """Documents (``title``, ``authors``, ``tags``, ``published_at``) with the needle, in any case, in the title, the authors
+    or a tag; newest first. A blank needle finds all."""
+    low = F.lit(needle.strip().lower())
+    has = lambda c: F.contains(F.lower(F.coalesce(c, F.lit(""))), low)
+    found = has(F.col("title")) | has(F.array_join("authors", ", ")) | F.exists(F.coalesce("tags", F.array().cast("array<string>")), has)
+    return docs.filter(found).orderBy(F.desc("published_at"))
+
+
+def document_detail(docs: DataFrame, chunks: DataFrame) -> DataFrame:
+    """``docs`` with the ids of their chunks in order (null without any) and whether they have notes."""
+    own = chunks.groupBy("doc_id").agg(
+        F.array_sort(F.collect_list("vector_id")).alias("chunk_ids"), F.max(F.col("section_type") == "user_notes").alias("has_notes")
+    )
+    return docs.join(own, "doc_id", "left").withColumn("has_notes", F.coalesce("has_notes", F.lit(False)))
+
+
+def orphans(rows: DataFrame, owners: DataFrame, key: str) -> DataFrame:
+    """Rows whose ``key`` no owner has: chunks of documents that are gone, cached vectors without a chunk, candidates that are
+    new to the corpus, documents without chunks."""
+    return rows.join(owners.select(key).distinct(), key, "left_anti")

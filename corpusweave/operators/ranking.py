@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 # How much a section counts by itself.
 IMPORTANCE = {
-    "reflection": 1.00, "abstract": 0.95, "user_notes": 0.90, "conclusion": 0.85, "method": 0.80, "experiments": 0.75,
-    "limitations": 0.75, "future_work": 0.75, "introduction": 0.70, "applications": 0.70, "background": 0.50, "other": 0.35,
+    "reflection": 1.00, "user_notes": 0.90, "future_work": 0.80, "abstract": 0.75, "conclusion": 0.70, "applications": 0.65,
+    "introduction": 0.60, "method": 0.60, "limitations": 0.55, "experiments": 0.50, "background": 0.45, "other": 0.35,
 }
 RRF_K = 60
 

@@ -53,13 +53,13 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def query_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = chunks(spark, sf_dir).filter("vector_id < 100 and vector_id % 10 = 0")
+    own = chunks(spark, sf_dir).filter("vector_id % 100 = 0")
     return own.select(F.col("vector_id").alias("query_id"), F.col("doc_id").alias("query_doc"), "embedding")
 
 
 def query_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ten queries: the first eight words of texts."""
-    texts = table(spark, sf_dir, "documents").filter("doc_id < 100 and doc_id % 10 = 0")
+    """Short queries: the first eight words of every hundredth text."""
+    texts = table(spark, sf_dir, "documents").filter("doc_id % 100 = 0")
     words = F.slice(F.split("text", r"\s+"), 1, 8)
     return texts.select(F.col("doc_id").alias("query_id"), F.array_join(words, " ").alias("query"))
 
@@ -79,7 +79,7 @@ docs AS (
         [(doc_id * 7 + 3) % 100, (doc_id * 11) % 120] AS links
     FROM chunks GROUP BY doc_id),
 query_vectors AS (
-    SELECT vector_id AS query_id, doc_id AS query_doc, embedding FROM chunks WHERE vector_id < 100 AND vector_id % 10 = 0),
+    SELECT vector_id AS query_id, doc_id AS query_doc, embedding FROM chunks WHERE vector_id % 100 = 0),
 query_texts AS (
     SELECT doc_id AS query_id, array_to_string(string_split_regex(text, '\\s+')[1:8], ' ') AS query
-    FROM documents WHERE doc_id < 100 AND doc_id % 10 = 0)"""
+    FROM documents WHERE doc_id % 100 = 0)"""

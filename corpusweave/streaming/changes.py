@@ -8,20 +8,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Fixed value: the files of a document folder whose change matters.
-WATCHED = ("metadata.json", "sections.md", "notes.md", "reflection.md")
+WATCHED = ("notes.md", "sections.md", "metadata.json", "idea.md")
 
 
-def document_events(events: DataFrame) -> DataFrame:
-    """``doc_id``, ``op``, ``ts`` of events (``path``, ``op``, ``ts``) on document folders.
+def document_events(events: DataFrame, root: str = "") -> DataFrame:
+    """``doc_id``, ``op``, ``ts`` of events (``path``, ``op``, ``ts``) on documents, the folders right below ``root``.
 
-    Removals always count, other changes only of watched files; hidden folders and the inbox are ignored.
+    Removals of anything in a folder, or of itself, always count, other changes only of watched files; hidden folders,
+    the inbox and paths elsewhere are ignored.
     """
-    doc = F.regexp_extract("path", r"(?:^|/)([^/]+)/[^/]+$", 1)
-    name = F.regexp_extract("path", r"([^/]+)$", 1)
-    rows = events.select(doc.alias("doc_id"), "op", "ts", name.alias("name"))
-    return rows.filter((F.col("doc_id") != "") & ~F.startswith("doc_id", F.lit(".")) & (F.col("doc_id") != "inbox")).filter(
-        (F.col("op") == "remove") | F.col("name").isin(*WATCHED)
-    ).drop("name")
+    base = F.lit(root.rstrip("/") + "/" if root else "")
+    inside = F.regexp_replace(F.expr("substring(path, length(base) + 1)"), "^/+", "")
+    rows = events.withColumn("base", base).filter(F.startswith("path", "base")).withColumn("inside", inside)
+    doc, name = F.regexp_extract("inside", r"^([^/]+)", 1), F.regexp_extract("inside", r"([^/]+)/*$", 1)
+    rows = rows.select(doc.alias("doc_id"), "op", "ts", name.alias("name"))
+    rows = rows.filter((F.col("doc_id") != "") & ~F.startswith("doc_id", F.lit(".")) & (F.col("doc_id") != "inbox"))
+    return rows.filter((F.col("op") == "remove") | F.col("name").isin(*WATCHED)).drop("name")
 
 
 def debounce(events: DataFrame, quiet: str = "2 seconds", key: str = "doc_id", at: str = "ts") -> DataFrame:
