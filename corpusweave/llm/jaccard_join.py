@@ -28,11 +28,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import discard, stage
+from .common import delete, discard, release, stage
 from .components import connected_components
 from .textnum import mix, slices, span_hashes, utf8_parts, word_spans
 
@@ -174,12 +175,13 @@ def _within(num: int, den: int, group: pa.Table) -> pa.Table:
     return pa.table({"v": group["v"], "n": group["n"], "g": group["g"], "component": pa.array(roots, pa.int64())})
 
 
-def _open_groups(num: int, den: int, left: pa.Table, right: pa.Table) -> pa.Table:
-    """Links between queries (left) and members of one group (right) in other components, as component pairs.
+def _open_groups(num: int, den: int, rows: pa.Table) -> pa.Table:
+    """Links between queries (``asks``) and members of one group (the other rows) in other components, as component pairs.
 
     Of the links found here, those that close a circle are left out: they join nothing new.
     """
-    members, component = _Members(right["member_keys"], num, den), np.asarray(right["member_component"])
+    left, right = rows.filter(rows["asks"]), rows.filter(pc.invert(rows["asks"]))
+    members, component = _Members(right["keys"], num, den), np.asarray(right["component"])
     out: list[tuple[int, int]] = []
     forest = _Forest()
     for keys, mine in zip(left["keys"], left["component"].to_pylist(), strict=True):
@@ -204,11 +206,12 @@ def _rarest(cells: DataFrame, sizes: DataFrame, spare: Column) -> DataFrame:
 
 
 def _class_sets(docs: DataFrame, wanted: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """``v`` and ``keys`` of classes (``v``, ``least``, ``print``), made again from their texts (``id``, ``text``).
-    Classes without an id are looked for in all rows without one."""
+    """``v``, ``n``, ``g`` and ``keys`` of grouped classes (``v``, ``n``, ``least``, ``print``, ``g``), made again from their
+    texts (``id``, ``text``). Classes without an id are looked for in all rows without one."""
     named = docs.join(wanted.filter("least is not null").select(F.col("least").alias("id")).distinct(), "id", "left_semi")
     found = _describe(named.unionByName(docs.filter("id is null")), "id", "text", k, num, den, sets=True)
-    return found.join(wanted.select("v", "print"), "print").groupBy("v").agg(F.first("keys").alias("keys"))
+    one = found.select("print", "keys").join(wanted.select("v", "n", "g", "print"), "print")
+    return one.groupBy("v").agg(F.first("n").alias("n"), F.first("g").alias("g"), F.first("keys").alias("keys"))
 
 
 def _bins(rows: DataFrame, key: str, many: int) -> DataFrame:
@@ -229,23 +232,14 @@ def _links(asked: DataFrame, member: DataFrame, sets: DataFrame, num: int, den:
     """Pairs of components (``a``, ``b``) linked by queries (``asked``: ``v``, ``n``, ``component``, ``g``) and members of
     the groups that they ask."""
     bins = stage(_bins(asked, "g", QUERIES), "query-bins")
-    queries = (
-        asked.join(bins, "g")
-        .join(sets, "v")
-        .select("g", F.pmod(F.xxhash64("v", F.lit(1)), F.col("shares")).alias("bin"), "component", "keys")
-    )
-    members = (
-        member.join(bins, "g")
-        .join(sets, "v")
-        .select("g", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)).alias("bin"), "component", "keys")
-    )
-    # New names, as both sides come from one table.
-    members = members.select(*(F.col(c).alias(f"member_{c}") for c in members.columns))
-    found = (
-        queries.groupBy("g", "bin")
-        .cogroup(members.groupBy("member_g", "member_bin"))
-        .applyInArrow(lambda left, right: _open_groups(num, den, left, right), "a long, b long")
-    )
+    own = F.pmod(F.xxhash64("v", F.lit(1)), F.col("shares"))
+    queries = asked.join(bins, "g").select("v", "g", "component", own.alias("low"), own.alias("high"), F.lit(True).alias("asks"))
+    last = F.col("shares") - 1
+    members = member.join(bins, "g").select("v", "g", "component", F.lit(0).cast("long").alias("low"), last.alias("high"), F.lit(False).alias("asks"))
+    # Written first, so that its size is known: the sets are much larger, and are moved once, or not at all if few are wanted.
+    wanted = stage(queries.unionByName(members), "wanted")
+    placed = wanted.join(sets.select("v", "keys"), "v").select("g", F.explode(F.sequence("low", "high")).alias("bin"), "component", "asks", "keys")
+    found = placed.groupBy("g", "bin").applyInArrow(lambda rows: _open_groups(num, den, rows), "a long, b long")
     return stage(found.distinct(), "links")
 
 
@@ -278,8 +272,10 @@ def _ask_all(cross: DataFrame, num: int, den: int) -> DataFrame:
 
 def _components(member: DataFrame, cells: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """``member`` (``v``, ``n``, ``g``, ``component``) with all links between groups."""
+    spark, before = sets.sparkSession, cells
     while True:
         cross = stage(_crossing(cells, member), "crossing")
+        delete(spark, before.staged_at)
         asked = (
             cross.filter("lead.component != component and lead.g != g")
             .groupBy("v", "n", "component", "lead.g")
@@ -288,12 +284,14 @@ def _components(member: DataFrame, cells: DataFrame, sets: DataFrame, num: int,
             .agg(F.max(F.struct("held", "g")).alias("most"))
         )
         links = _links(stage(asked.select("v", "n", "component", "most.g"), "asked"), member, sets, num, den)
+        release(spark)
         if links.isEmpty():
             break
-        member, cells = _joined(member, links), cross.select("v", "token")
+        member, cells, before = _joined(member, links), cross.select("v", "token"), cross
     hot = member.join(cross.filter(F.col("c") > FREQUENT).select("v").distinct(), "v")
-    whole = sets.join(hot.select("v"), "v").select("v", F.explode("keys").alias("token"))
+    whole = sets.select("v", "keys").join(stage(hot.select("v"), "hot"), "v").select("v", F.explode("keys").alias("token"))
     sharp = stage(_crossing(_rarest(whole, hot, F.expr(_common("n", num, den)) - 1), member), "crossing-whole")
+    release(spark)
     asked = _ask_all(cross.filter(F.col("c") <= FREQUENT), num, den).unionByName(_ask_all(sharp, num, den))
     return _joined(member, _links(stage(asked.distinct(), "asked-all"), member, sets, num, den))
 
@@ -325,9 +323,12 @@ def jaccard_components(
     grouped = stage(_partition(classes, cells), "groups")
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     sets = stage(_class_sets(texts, grouped, k, num, den), "sets")
-    within = grouped.select("v", "n", "g").join(sets, "v").groupBy("g")
-    member = within.applyInArrow(lambda group: _within(num, den, group), "v long, n long, g long, component long")
-    member = _components(stage(member, "members"), cells, sets, num, den)
+    release(docs.sparkSession)
+    within = sets.groupBy("g").applyInArrow(lambda group: _within(num, den, group), "v long, n long, g long, component long")
+    member = stage(within, "members")
+    release(docs.sparkSession)
+    member = _components(member, cells, sets, num, den)
+    discard(sets)
 
     named = stage(member.select("v", "component").join(classes.select("v", "print", "least"), "v"), "named")
     smallest = stage(named.groupBy("component").agg(F.min("least").alias("component_id")), "component-ids")
