@@ -13,8 +13,8 @@ class's *tokens*: classes without a common token aren't linked.
    are linear in the number of tokens, and repeat with new components until one finds nothing.
 3. Then a class asks every group of the matrix that may hold a linked set by tokens and sizes. Classes with a frequent
    token in common with other components first get sharper tokens from their whole sets, in place of such ones.
-4. A group that is asked is opened if its union of shingles holds enough of the query's (a bound for every member),
-   and the query is compared with its members, exactly.
+4. A group that is asked is opened if windows of its members, and its union of shingles, hold enough of the query's (a
+   bound for every member), and the query is compared with its members, exactly.
 
 All links between groups are found in opened groups. Pairs inside a component are never made: what joins nothing new
 is left out, so large groups of copies cost no more than their number.
@@ -135,16 +135,20 @@ class _Members:
         self.num, self.den, self.size = num, den, np.diff(bounds)
         self.listed, self.owner = flat[order], np.repeat(np.arange(len(self.size)), self.size)[order]
 
-    def linked(self, keys: np.ndarray) -> np.ndarray:
-        """Which members are linked with a set."""
+    def shared(self, keys: np.ndarray, least: int) -> np.ndarray:
+        """How many shingles each member shares with a set; zeros if the group's union holds fewer than ``least``."""
         at, to = np.searchsorted(self.listed, keys, "left"), np.searchsorted(self.listed, keys, "right")
         hit = to > at
-        if self.den * int(hit.sum()) < self.num * len(keys):  # the union holds too few of its shingles
-            return np.zeros(len(self.size), bool)
+        if int(hit.sum()) < max(least, 1):
+            return np.zeros(len(self.size), np.int64)
         count = (to - at)[hit]
         where = np.repeat(at[hit] - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
-        both = np.bincount(self.owner[where], minlength=len(self.size))
-        return self.den * both >= self.num * (self.size + len(keys) - both)
+        return np.bincount(self.owner[where], minlength=len(self.size))
+
+    def linked(self, keys: np.ndarray) -> np.ndarray:
+        """Which members are linked with a set."""
+        both = self.shared(keys, -(-self.num * len(keys) // self.den))
+        return (both > 0) & (self.den * both >= self.num * (self.size + len(keys) - both))
 
 
 class _Forest:
@@ -175,6 +179,22 @@ def _within(num: int, den: int, group: pa.Table) -> pa.Table:
     return pa.table({"v": group["v"], "n": group["n"], "g": group["g"], "component": pa.array(roots, pa.int64())})
 
 
+def _qualifying(num: int, den: int, rows: pa.Table) -> pa.Table:
+    """Queries (``asks``) of a group and its members whose windows (``keys``) share as many shingles as those of linked
+    sets do for certain: ``v``, ``g``, ``asks``."""
+    left, right = rows.filter(rows["asks"]), rows.filter(pc.invert(rows["asks"]))
+    members, n = _Members(right["keys"], num, den), left["n"].to_pylist()
+    met, asks = np.zeros(len(members.size), bool), np.zeros(len(n), bool)
+    for k, keys in enumerate(left["keys"]):
+        certain = -(-(-(-n[k] * num // den)) * num // den)
+        least = min(certain, MARGIN)
+        enough = members.shared(np.asarray(keys.values), least) >= least
+        asks[k] = enough.any()
+        met |= enough
+    out = pa.concat_tables([left.filter(pa.array(asks, pa.bool_())), right.filter(pa.array(met, pa.bool_()))])
+    return out.select(["v", "g", "asks"])
+
+
 def _open_groups(num: int, den: int, rows: pa.Table) -> pa.Table:
     """Links between queries (``asks``) and members of one group (the other rows) in other components, as component pairs.
 
@@ -228,18 +248,35 @@ def _partition(classes: DataFrame, cells: DataFrame) -> DataFrame:
     return near.join(_bins(near, "near", GROUP), "near").select("v", "n", "least", "print", F.xxhash64("near", share).alias("g"))
 
 
-def _links(asked: DataFrame, member: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs of components (``a``, ``b``) linked by queries (``asked``: ``v``, ``n``, ``component``, ``g``) and members of
-    the groups that they ask."""
+def _pieces(asked: DataFrame, member: DataFrame, sets: DataFrame, keys: Column) -> DataFrame:
+    """Queries (``asks``) and the members of the groups that they ask, with ``keys`` of each, by ``g`` and ``bin``: queries of
+    a group are dealt to bins, members are in all of them."""
     bins = stage(_bins(asked, "g", QUERIES), "query-bins")
     own = F.pmod(F.xxhash64("v", F.lit(1)), F.col("shares"))
-    queries = asked.join(bins, "g").select("v", "g", "component", own.alias("low"), own.alias("high"), F.lit(True).alias("asks"))
-    last = F.col("shares") - 1
-    members = member.join(bins, "g").select("v", "g", "component", F.lit(0).cast("long").alias("low"), last.alias("high"), F.lit(False).alias("asks"))
+    kept = ["v", "g", "component"]
+    queries = asked.join(bins, "g").select(*kept, own.alias("low"), own.alias("high"), F.lit(True).alias("asks"))
+    first, last = F.lit(0).cast("long").alias("low"), (F.col("shares") - 1).alias("high")
+    members = member.join(bins, "g").select(*kept, first, last, F.lit(False).alias("asks"))
     # Written first, so that its size is known: the sets are much larger, and are moved once, or not at all if few are wanted.
     wanted = stage(queries.unionByName(members), "wanted")
-    placed = wanted.join(sets.select("v", "keys"), "v").select("g", F.explode(F.sequence("low", "high")).alias("bin"), "component", "asks", "keys")
-    found = placed.groupBy("g", "bin").applyInArrow(lambda rows: _open_groups(num, den, rows), "a long, b long")
+    placed = wanted.join(sets.select("v", "n", keys.alias("keys")), "v")
+    return placed.select("v", "n", "g", F.explode(F.sequence("low", "high")).alias("bin"), "component", "asks", "keys")
+
+
+def _links(asked: DataFrame, member: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs of components (``a``, ``b``) linked by queries (``asked``: ``v``, ``n``, ``component``, ``g``) and members of
+    the groups that they ask. Windows, a small part of the sets, tell which groups qualify; only for these, and only for
+    members that are met there, whole sets are moved."""
+    common = _common("n", num, den)
+    window = F.slice("keys", F.lit(1), F.expr(f"cast(n - {common} + least({common}, {MARGIN}) as int)"))
+    near = _pieces(asked, member, sets, window).groupBy("g", "bin")
+    found = near.applyInArrow(lambda rows: _qualifying(num, den, rows), "v long, g long, asks boolean")
+    hold = stage(found.distinct(), "qualifying")
+    release(sets.sparkSession)
+    asked = stage(asked.join(hold.filter("asks").drop("asks"), ["v", "g"], "left_semi"), "asked-near")
+    member = stage(member.join(hold.filter("not asks").drop("asks"), ["v", "g"], "left_semi"), "members-near")
+    opened = _pieces(asked, member, sets, F.col("keys")).groupBy("g", "bin")
+    found = opened.applyInArrow(lambda rows: _open_groups(num, den, rows), "a long, b long")
     return stage(found.distinct(), "links")
 
 
