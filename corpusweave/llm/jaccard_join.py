@@ -10,7 +10,8 @@ class's *tokens*: classes without a common token aren't linked.
    compared within itself, which gives first components.
 2. Token-group matrix: for each token the groups that hold it, with the components there. First every class asks one
    group of another component, the one that holds most of its tokens among those with the least component. Such rounds
-   are linear in the number of tokens, and repeat with new components until one finds nothing.
+   are linear in the number of tokens, and repeat with new components until one finds nothing. No class asks a group
+   twice: all that it is linked with there has joined its component.
 3. Then a class asks every group of the matrix that may hold a linked set by tokens and sizes. Classes with a frequent
    token in common with other components first get sharper tokens from their whole sets, in place of such ones.
 4. A group that is asked is opened if windows of its members, and its union of shingles, hold enough of the query's (a
@@ -299,10 +300,10 @@ def _crossing(cells: DataFrame, member: DataFrame) -> DataFrame:
 
 
 def _ask_all(cross: DataFrame, num: int, den: int) -> DataFrame:
-    """Queries with all groups that hold one of their tokens in a larger component: each link between two components
-    has one side that asks."""
-    matrix = cross.groupBy("token", "g").agg(F.max("component").alias("hi"), F.min("n").alias("least"), F.max("n").alias("most"))
-    may = f"hi > component and g != own and n * {num} <= most * {den} and least * {num} <= n * {den}"
+    """Queries with all groups that hold one of their tokens in a lesser component: each link between two components
+    has one side that asks. A large component is likely the lesser, and is asked by the group, not class by class."""
+    matrix = cross.groupBy("token", "g").agg(F.min("component").alias("lo"), F.min("n").alias("least"), F.max("n").alias("most"))
+    may = f"lo < component and g != own and n * {num} <= most * {den} and least * {num} <= n * {den}"
     asked = cross.select("token", "v", "n", "component", F.col("g").alias("own")).join(matrix, "token").filter(may)
     return asked.select("v", "n", "component", "g")
 
@@ -310,6 +311,7 @@ def _ask_all(cross: DataFrame, num: int, den: int) -> DataFrame:
 def _components(member: DataFrame, cells: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """``member`` (``v``, ``n``, ``g``, ``component``) with all links between groups."""
     spark, before = sets.sparkSession, cells
+    past = spark.createDataFrame([], "v long, g long")
     while True:
         cross = stage(_crossing(cells, member), "crossing")
         delete(spark, before.staged_at)
@@ -317,10 +319,12 @@ def _components(member: DataFrame, cells: DataFrame, sets: DataFrame, num: int,
             cross.filter("lead.component != component and lead.g != g")
             .groupBy("v", "n", "component", "lead.g")
             .agg(F.count(F.lit(1)).alias("held"))
+            .join(past, ["v", "g"], "left_anti")
             .groupBy("v", "n", "component")
             .agg(F.max(F.struct("held", "g")).alias("most"))
         )
-        links = _links(stage(asked.select("v", "n", "component", "most.g"), "asked"), member, sets, num, den)
+        asked = stage(asked.select("v", "n", "component", "most.g"), "asked")
+        links, past = _links(asked, member, sets, num, den), past.unionByName(asked.select("v", "g"))
         release(spark)
         if links.isEmpty():
             break
@@ -330,7 +334,8 @@ def _components(member: DataFrame, cells: DataFrame, sets: DataFrame, num: int,
     sharp = stage(_crossing(_rarest(whole, hot, F.expr(_common("n", num, den)) - 1), member), "crossing-whole")
     release(spark)
     asked = _ask_all(cross.filter(F.col("c") <= FREQUENT), num, den).unionByName(_ask_all(sharp, num, den))
-    return _joined(member, _links(stage(asked.distinct(), "asked-all"), member, sets, num, den))
+    asked = stage(asked.distinct().join(past, ["v", "g"], "left_anti").select("v", "n", "component", "g"), "asked-all")
+    return _joined(member, _links(asked, member, sets, num, den))
 
 
 def jaccard_components(
