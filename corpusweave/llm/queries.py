@@ -7,10 +7,25 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, exact_dedup, html_extract, jaccard_join, langid, license_scan, quality, token_output, toxicity
+from . import (
+    bpe,
+    clustering,
+    decontaminate,
+    exact_dedup,
+    fill_middle,
+    html_extract,
+    jaccard_join,
+    langid,
+    license_scan,
+    packing,
+    quality,
+    token_output,
+    toxicity,
+)
 from .common import held_out
 
 VOCABULARY = "byte_bpe_50k.json"
+PACKING_VOCABULARY = "word_bpe_49k.json"
 END_ID = 2
 
 
@@ -113,6 +128,23 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary_path(PACKING_VOCABULARY), end_id=END_ID)
+    return packing.piece_table(packed)
+
+
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = fill_middle.frame_store(table(spark, sf_dir, "documents"))
+    found = fill_middle.digests(fill_middle.fill_in_middle(store, seed=7, rate=100, spm=50))
+    return found.select("doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256")
+
+
+def op13_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = clustering.integer_vectors(table(spark, sf_dir, "embeddings"), 64)
+    found = clustering.centroid_clusters(kept, clusters=16, rounds=3, seed=1)
+    return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -131,6 +163,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_bpe,
         op9_langid,
         op10_decontaminate,
+        op11_packing,
+        op12_fill_middle,
+        op13_clustering,
         pipeline,
     )
     return {f.__name__: f for f in own}
