@@ -38,12 +38,12 @@ def _codec() -> tuple[zstandard.ZstdCompressor, zstandard.ZstdDecompressor]:
     return zstandard.ZstdCompressor(level=LEVEL, write_content_size=True), zstandard.ZstdDecompressor()
 
 
-def _frame_ends(text: bytes) -> Iterator[int]:
+def _frame_ends(text: bytes, size: int) -> Iterator[int]:
     """Where frames of a text end."""
     at = 0
-    while len(text) - at > FRAME_BYTES:
-        to = at + FRAME_BYTES
-        line = text.rfind(b"\n", at + FRAME_BYTES * 3 // 4, to) + 1
+    while len(text) - at > size:
+        to = at + size
+        line = text.rfind(b"\n", at + size * 3 // 4, to) + 1
         if line:
             to = line
         else:
@@ -59,10 +59,10 @@ def _code_points(text: bytes) -> int:
     return len(text.decode("utf-8"))
 
 
-def _stored(text: bytes, packer: zstandard.ZstdCompressor) -> dict:
+def _stored(text: bytes, size: int, packer: zstandard.ZstdCompressor) -> dict:
     """Frames of a text, and what lies before each and after the last: finished lines, code points and bytes."""
     frames, units, chars, sizes, at = [], [0], [0], [0], 0
-    for to in _frame_ends(text):
+    for to in _frame_ends(text, size):
         part = text[at:to]
         frames.append(packer.compress(part))
         units.append(units[-1] + part.count(b"\n"))
@@ -73,9 +73,10 @@ def _stored(text: bytes, packer: zstandard.ZstdCompressor) -> dict:
     return {"frames": frames, "units": units, "chars": chars, "sizes": sizes, "n": units[-1] + last, "marked": any(m in text for m in _MARKS)}
 
 
-def frame_store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Every text as seekable frames, written to the shared folder: ``id_col``, ``frames``, the counts ``units``, ``chars`` and
-    ``sizes`` (before each frame and after the last), ``n`` (units) and ``marked`` (holds a mark of the transformation).
+def frame_store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", frame_bytes: int = FRAME_BYTES) -> DataFrame:
+    """Every text as seekable frames of ``frame_bytes`` (4 at least), written to the shared folder: ``id_col``, ``frames``, the
+    counts ``units``, ``chars`` and ``sizes`` (before each frame and after the last), ``n`` (units) and ``marked`` (holds a mark
+    of the transformation).
 
     Null and empty texts have no frame and no unit. Null and repeated ids are carried through; an empty table gives an
     empty store; other columns are ignored.
@@ -86,7 +87,7 @@ def frame_store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                rows = [_stored(x.as_py() or b"", packer) for x in part.column("text")]
+                rows = [_stored(x.as_py() or b"", frame_bytes, packer) for x in part.column("text")]
                 yield pa.record_batch(
                     {
                         "id": part.column("id"),
