@@ -57,6 +57,20 @@ def knn_other_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _neighbours(spark, sf_dir).select("x_id", "y_id", "cos", F.col("rank").cast("long").alias("rank"))
 
 
+@register(f"""WITH {SQL}, pairs AS (
+    SELECT q.vector_id AS query_id, c.vector_id, {_QC} AS cos, row_number() OVER (PARTITION BY q.vector_id ORDER BY {_QC} DESC, c.vector_id) AS rank
+    FROM chunks q JOIN chunks c ON q.doc_id <> c.doc_id JOIN docs d ON d.doc_id = c.doc_id AND coalesce(d.kind, 'paper') = 'paper'
+    WHERE q.vector_id % 100 = 0) SELECT query_id, vector_id, cos, rank FROM pairs WHERE rank <= 10""")
+def knn_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nearest chunks of other documents through an index of all chunks, papers' chunks allowed only; the search is certain."""
+    c = binding.chunks(spark, sf_dir)
+    papers = corpus.list_documents(binding.documents(spark, sf_dir), kind="paper").select("doc_id")
+    allowed = c.join(papers, "doc_id", "left_semi").select("vector_id")
+    asking = binding.query_vectors(spark, sf_dir)
+    near = knn_join(asking, c, 10, "query_id", "vector_id", "query_doc", "doc_id", allow=allowed, method="cells", certain=True)
+    return near.withColumn("rank", F.col("rank").cast("long"))
+
+
 def _neighbours(spark: SparkSession, sf_dir: str, k: int = 6) -> DataFrame:
     c = binding.chunks(spark, sf_dir).select("vector_id", "doc_id", "embedding")
     left = c.select(F.col("vector_id").alias("x_id"), F.col("doc_id").alias("x_doc"), "embedding")

@@ -1,4 +1,4 @@
-"""Vector expressions and the exact k-nearest-neighbour join in blocks."""
+"""Vector expressions and the k-nearest-neighbour join: exact in blocks, or through an index (:mod:`.vector_index`)."""
 
 from __future__ import annotations
 
@@ -34,28 +34,72 @@ def normalised(a: Column) -> Column:
     return F.when(length == 0, a.cast("array<double>")).otherwise(F.transform(a, lambda x: x.cast("double") / length))
 
 
-def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+#: Components this large are refused, as their products lose all precision.
+TOO_LARGE = 1e16
+
+
+def measure(df: DataFrame, vector: str = "embedding") -> tuple[int, int | None]:
+    """Rows with a vector, and the vectors' length; vectors of several lengths, and those with a component that is null, not
+    finite or ``TOO_LARGE``, are a ValueError. One pass over the vectors, whose counts size the blocks."""
+    v = F.col(vector)
+    usable = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < TOO_LARGE))
+    n, least, most, bad = (
+        df.filter(v.isNotNull()).agg(F.count(v), F.min(F.size(v)), F.max(F.size(v)), F.sum((~usable).cast("long"))).first()
+    )
+    if not n:
+        return 0, None
+    if least != most:
+        raise ValueError(f"vectors of {least} to {most} dimensions")
+    if bad:
+        raise ValueError(f"{bad} vectors hold a component that can't be searched with")
+    return n, most
+
+
+def matrix(column: pa.ChunkedArray) -> np.ndarray:
+    """Vectors of one length as rows at unit length; zero vectors stay."""
     flat = column.combine_chunks()
     out = np.asarray(flat.flatten(), np.float64).reshape(len(flat), -1)
     length = np.linalg.norm(out, axis=1, keepdims=True)
     return out / np.where(length == 0, 1, length)
 
 
-def _block_top(k: int, left: pa.Table, right: pa.Table) -> pa.Table:
-    ids, out = np.asarray(right["r_id"]), []
+def block_top(k: int, left: pa.Table, right: pa.Table) -> pa.Table:
+    """For each row of one block its ``k`` best of the other: cosines rounded to 6 digits, ties to the smaller id."""
+    take_l, take_r, cos = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
     if len(left) and len(right):
-        scores = np.round(_matrix(left["l_vec"]) @ _matrix(right["r_vec"]).T, 6)
+        scores = np.round(matrix(left["l_vec"]) @ matrix(right["r_vec"]).T, 6)
         if "l_skip" in left.column_names:
-            scores[np.asarray(left["l_skip"])[:, None] == np.asarray(right["r_skip"])[None, :]] = -np.inf
-        for q, row in zip(left["l_id"].to_pylist(), scores, strict=True):
-            if len(row) > k:  # rows that tie with the k-th are all considered
-                near = np.flatnonzero(row >= np.partition(row, len(row) - k)[len(row) - k])
-            else:
-                near = np.arange(len(row))
-            near = near[np.isfinite(row[near])]
-            near = near[np.lexsort((ids[near], -row[near]))][:k]
-            out += [(q, int(ids[j]), float(row[j])) for j in near]
-    return pa.table({"l_id": pa.array([x[0] for x in out], pa.int64()), "r_id": pa.array([x[1] for x in out], pa.int64()), "cos": pa.array([x[2] for x in out], pa.float64())})
+            scores[left["l_skip"].to_numpy()[:, None] == right["r_skip"].to_numpy()[None, :]] = -np.inf
+        if scores.shape[1] > k:  # rows that tie with the k-th are all considered
+            least = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k, None]
+            i, j = np.nonzero((scores >= least) & np.isfinite(scores))
+        else:
+            i, j = np.nonzero(np.isfinite(scores))
+        place = np.empty(len(right), np.int64)  # of an id among the block's
+        place[np.argsort(right["r_id"].to_numpy(), kind="stable")] = np.arange(len(right))
+        order = np.lexsort((place[j], -scores[i, j], i))
+        i, j = i[order], j[order]
+        first = np.flatnonzero(np.diff(i, prepend=-1))
+        nth = np.arange(len(i)) - np.repeat(first, np.diff(first, append=len(i)))
+        take_l, take_r = i[nth < k], j[nth < k]
+        cos = scores[take_l, take_r]
+    return pa.table({"l_id": left["l_id"].take(take_l), "r_id": right["r_id"].take(take_r), "cos": pa.array(cos, pa.float64())})
+
+
+def sides(df: DataFrame, side: str, own_id: str, skip: str | None, vector: str) -> DataFrame:
+    """Rows with a vector, under the names that :func:`block_top` reads."""
+    named = [F.col(own_id).alias(f"{side}_id"), F.col(vector).alias(f"{side}_vec")]
+    return df.filter(F.col(vector).isNotNull()).select(*named, *([F.col(skip).alias(f"{side}_skip")] if skip else []))
+
+
+def found_schema(left: DataFrame, right: DataFrame) -> str:
+    return f"l_id {left.schema['l_id'].dataType.simpleString()}, r_id {right.schema['r_id'].dataType.simpleString()}, cos double"
+
+
+def best_of(found: DataFrame, k: int) -> DataFrame:
+    """The ``k`` best of every left id, with their ``rank``."""
+    order = Window.partitionBy("l_id").orderBy(F.desc("cos"), "r_id")
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
 def knn_join(
@@ -68,33 +112,41 @@ def knn_join(
     right_skip: str | None = None,
     vector: str = "embedding",
     block: int = BLOCK,
+    allow: DataFrame | None = None,
+    method: str = "blocks",
+    **cells,
 ) -> DataFrame:
     """For each left vector the ``k`` right ones of largest cosine: ``left_id``, ``right_id``, ``cos``, ``rank``.
 
-    Cosines are rounded to 6 digits; ties go to the smaller id. Rows whose ``skip`` values are equal are no
-    neighbours. Null vectors have none; vectors of one length are assumed. Every pair of blocks is a matrix
-    product in one task, which returns ``k`` rows per left row, so the join's output stays small.
+    Cosines are rounded to 6 digits; ties go to the smaller id. Rows whose ``skip`` values are equal are no neighbours.
+    ``allow`` (a table with ``right_id``) lets only its ids be found; an empty one gives nothing, and ids that it alone
+    has don't matter. Fewer candidates than ``k`` give as many rows, ``k`` of 0 none. Null vectors have no neighbours;
+    vectors of several lengths, and components that aren't finite, are a ValueError.
+
+    ``method="blocks"`` compares every pair of blocks by a matrix product in one task, which returns ``k`` rows per left
+    row. ``method="cells"`` goes through an inverted file of cells (:func:`.vector_index.cell_join`, which takes ``cells``).
     """
-    blocks_l = max(1, math.ceil(left.count() / block))
-    blocks_r = max(1, math.ceil(right.count() / block))
-    cols = lambda df, p, i, s: df.filter(F.col(vector).isNotNull()).select(
-        F.col(i).alias(f"{p}_id"), F.col(vector).alias(f"{p}_vec"), *([F.col(s).alias(f"{p}_skip")] if s else [])
-    )
-    a = cols(left, "l", left_id, left_skip).withColumn("l_lb", F.pmod(F.xxhash64("l_id"), F.lit(blocks_l)))
+    if method == "cells":
+        from .vector_index import build_index, cell_join
+
+        index = cells.pop("index", None) or build_index(right, right_id, right_skip, vector, block=block, **cells.pop("build", {}))
+        return cell_join(left, index, k, left_id, right_id, left_skip, vector, allow=allow, **cells)
+    if method != "blocks":
+        raise ValueError(f"no method {method}")
+    if allow is not None:
+        right = right.join(allow.select(right_id).distinct(), right_id, "left_semi")
+    (n_left, dim_left), (n_right, dim_right) = measure(left, vector), measure(right, vector)
+    if n_left and n_right and dim_left != dim_right:
+        raise ValueError(f"the left vectors have {dim_left} dimensions, the right ones {dim_right}")
+    blocks_l, blocks_r = max(1, math.ceil(n_left / block)), max(1, math.ceil(n_right / block))
+    a = sides(left, "l", left_id, left_skip, vector).withColumn("l_lb", F.pmod(F.xxhash64("l_id"), F.lit(blocks_l)))
     a = a.withColumn("l_rb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks_r - 1).cast("long"))))
-    b = cols(right, "r", right_id, right_skip).withColumn("r_rb", F.pmod(F.xxhash64("r_id"), F.lit(blocks_r)))
+    b = sides(right, "r", right_id, right_skip, vector).withColumn("r_rb", F.pmod(F.xxhash64("r_id"), F.lit(blocks_r)))
     b = b.withColumn("r_lb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks_l - 1).cast("long"))))
     found = (
-        a.groupBy("l_lb", "l_rb")
-        .cogroup(b.groupBy("r_lb", "r_rb"))
-        .applyInArrow(lambda x, y: _block_top(k, x, y), "l_id long, r_id long, cos double")
-    )
-    order = Window.partitionBy("l_id").orderBy(F.desc("cos"), "r_id")
-    return (
-        found.withColumn("rank", F.row_number().over(order))
-        .filter(F.col("rank") <= k)
-        .select(F.col("l_id").alias(left_id), F.col("r_id").alias(right_id), "cos", "rank")
+        a.groupBy("l_lb", "l_rb").cogroup(b.groupBy("r_lb", "r_rb")).applyInArrow(lambda x, y: block_top(k, x, y), found_schema(a, b))
     )
+    return best_of(found, k).select(F.col("l_id").alias(left_id), F.col("r_id").alias(right_id), "cos", "rank")
 
 
 def centroids(chunks: DataFrame, key: str, vector: str = "embedding") -> DataFrame:
