@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import scalars
-from .operators import chunking, context, corpus, graph, lexical, ranking
+from .functions.stemming import porter
+from .operators import chunking, context, corpus, graph, graph_rank, lexical, ranking
 from .operators.vectors import centroids, knn_join
 from .plans import binding, search
 from .plans.binding import AS_OF, SQL, table
@@ -143,25 +144,97 @@ def postings_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return posted.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("tf"))
 
 
-_FUSED = f"""parts AS (SELECT query_id, vector_id, 1.0 / (60 + rank) AS part FROM dense UNION ALL SELECT query_id, vector_id, 1.0 / (60 + rank) FROM words_list),
+def _phrase_sql(texts: str, queries: str, limit: int) -> str:
+    """BM25 of phrases: ``texts`` selects vector_id and text, ``queries`` query_id and query."""
+    return f"""texts AS (SELECT vector_id, {_TOKENS.format("text")} AS w FROM ({texts})),
+size AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM texts WHERE len(w) > 0),
+placed_words AS (SELECT vector_id, len(w) AS dl, unnest(w) AS term, generate_subscripts(w, 1) - 1 AS p FROM texts),
+said AS (SELECT query_id, {_TOKENS.format("token")} AS t FROM (SELECT query_id, unnest(string_split_regex(query, '\\s+')) AS token FROM ({queries}))),
+named AS (SELECT query_id, t, count(*) AS times FROM said WHERE len(t) > 0 GROUP BY ALL),
+phrase_terms AS (SELECT t, len(t) AS size, unnest(t) AS term, generate_subscripts(t, 1) - 1 AS nth FROM (SELECT DISTINCT t FROM named)),
+starts AS (SELECT vector_id, t, p - nth AS s, count(*) AS c, max(size) AS size, max(dl) AS dl FROM placed_words JOIN phrase_terms USING (term) GROUP BY ALL),
+held AS (SELECT vector_id, t, count(*) AS tf, max(dl) AS dl FROM starts WHERE c = size GROUP BY ALL),
+df AS (SELECT t, count(*) AS df FROM held GROUP BY ALL),
+lexical AS (SELECT query_id, vector_id, round(sum(times * greatest(1e-6, ln((n - df + 0.5) / (df + 0.5))) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / mean))), 6) AS score
+    FROM held JOIN df USING (t) JOIN named USING (t), size GROUP BY query_id, vector_id),
+words_list AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vector_id) AS rank FROM lexical) WHERE rank <= {limit})"""
+
+
+_ALL_PHRASES = _phrase_sql("SELECT doc_id AS vector_id, text FROM documents", r"SELECT query_id, regexp_replace(query, '^(\S+) ', '\1-') AS query FROM query_texts", 40)
+
+
+@register(f"WITH {SQL}, {_ALL_PHRASES} SELECT query_id, vector_id, score, rank FROM words_list")
+def phrase_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """BM25 over all texts for queries whose first two words must stand together."""
+    out = search.phrase_list(binding.phrase_queries(spark, sf_dir), _text_chunks(spark, sf_dir), 40)
+    return out.select("query_id", "vector_id", "score", F.col("rank").cast("long").alias("rank"))
+
+
+@register()
+def stemmed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over stems of words."""
+    out = search.phrase_list(binding.phrase_queries(spark, sf_dir), _text_chunks(spark, sf_dir), 40, stemmer=porter)
+    return out.select("query_id", "vector_id", "score", F.col("rank").cast("long").alias("rank"))
+
+
+# The graph that grows from dense hits, and 15 rounds of rank on it; every round is read once by the next.
+_POOLED = f"""{_NEAR}, pool AS (SELECT *, round(0.85 * cos + 0.05 * {_RECENCY} + 0.10 * {_IMPORTANCE}, 6) AS score FROM near WHERE rank <= 40 AND cos >= 0.1),
+dense AS (SELECT * EXCLUDE (rank), row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vector_id) AS rank FROM pool)"""
+_SPREAD = f"""hops AS (SELECT * FROM (SELECT q.vector_id AS src, c.vector_id AS dst, {_QC} AS weight, row_number() OVER (PARTITION BY q.vector_id ORDER BY {_QC} DESC, c.vector_id) AS r
+    FROM chunks q, chunks c WHERE q.vector_id IN (SELECT vector_id FROM dense)) WHERE r <= 9 AND weight > 0 AND src <> dst),
+grown AS (SELECT d.query_id, src, dst, weight FROM dense d JOIN hops ON src = d.vector_id),
+met AS (SELECT DISTINCT query_id, node FROM (SELECT query_id, src AS node FROM grown UNION ALL SELECT query_id, dst FROM grown)),
+met_docs AS (SELECT query_id, node, doc_id, links FROM met JOIN chunks ON vector_id = node JOIN docs USING (doc_id)),
+lifted AS (SELECT a.query_id, a.node AS src, b.node AS dst, 1.0 AS weight FROM (SELECT query_id, node, unnest(links) AS target FROM met_docs) a
+    JOIN met_docs b ON b.query_id = a.query_id AND b.doc_id = a.target WHERE a.node <> b.node),
+one_way AS (SELECT * FROM grown UNION ALL SELECT * FROM lifted),
+adj AS MATERIALIZED (SELECT query_id, src, dst, w, sum(w) OVER (PARTITION BY query_id, src) AS degree FROM (
+    SELECT query_id, src, dst, sum(weight) AS w FROM (SELECT query_id, src, dst, weight FROM one_way UNION ALL SELECT query_id, dst, src, weight FROM one_way) GROUP BY ALL)),
+r0 AS MATERIALIZED (SELECT m.query_id, m.node, coalesce(cos, 0) / total AS p, coalesce(cos, 0) / total AS mass
+    FROM met m JOIN (SELECT query_id, sum(cos) AS total FROM dense GROUP BY query_id) USING (query_id) LEFT JOIN dense d ON d.query_id = m.query_id AND d.vector_id = m.node),
+""" + ",\n".join(f"""r{k + 1} AS (SELECT query_id, node, p, raw / sum(raw) OVER (PARTITION BY query_id) AS mass FROM (
+    SELECT query_id, node, max(p) AS p, sum(part) AS raw FROM (SELECT query_id, node, p, 0.5 * p AS part FROM r0
+        UNION ALL SELECT r.query_id, a.dst, 0, 0.5 * r.mass * a.w / a.degree FROM r{k} r JOIN adj a ON a.query_id = r.query_id AND a.src = r.node) GROUP BY query_id, node))""" for k in range(15)) + """,
+graph_list AS (SELECT query_id, node AS vector_id, round(mass, 9) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(mass, 9) DESC, node) AS rank FROM r15)"""
+_FUSED = f"""{_phrase_sql("SELECT doc_id AS vector_id, text FROM documents WHERE doc_id IN (SELECT vec_id FROM embeddings)", "SELECT * FROM query_texts WHERE query_id IN (SELECT query_id FROM query_vectors)", 40)},
+{_POOLED}, {_SPREAD},
+parts AS (SELECT query_id, vector_id, 1.0 / (60 + rank) AS part FROM dense UNION ALL SELECT query_id, vector_id, 1.0 / (60 + rank) FROM words_list
+    UNION ALL SELECT query_id, vector_id, 1.0 / (60 + rank) FROM graph_list),
 total AS (SELECT query_id, vector_id, round(sum(part), 9) AS score FROM parts GROUP BY query_id, vector_id),
-fused AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vector_id) AS rank FROM total) WHERE rank <= 20)"""
+fused AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vector_id) AS rank FROM total) WHERE rank <= 10)"""
 
 
-@register(f"WITH {SQL}, {_BLEND}, {_POSTED}, {_FUSED} SELECT query_id, vector_id, score, rank FROM fused")
-def hybrid_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = search.lexical_list(binding.query_texts(spark, sf_dir), _text_chunks(spark, sf_dir), 40)
-    out = ranking.fuse([(_dense(spark, sf_dir), 1.0), (words, 1.0)], 20)
+def _corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks with their texts; those without one have an empty text."""
+    return binding.chunks(spark, sf_dir, text=True)
+
+
+def _fused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    links = binding.documents(spark, sf_dir).select("doc_id", "links")
+    return search.fused_lists(binding.corpus_queries(spark, sf_dir), _corpus(spark, sf_dir), links, 10, 0.1, F.lit(AS_OF).cast("timestamp"))
+
+
+@register(f"WITH {SQL}, {_POOLED}, {_SPREAD} SELECT query_id, vector_id, score, rank FROM graph_list")
+def ppr_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks around each query's dense hits by personalised PageRank."""
+    dense = search.dense_pool(binding.query_vectors(spark, sf_dir), binding.chunks(spark, sf_dir), 40, 0.1, F.lit(AS_OF).cast("timestamp"))
+    links = binding.documents(spark, sf_dir).select("doc_id", "links")
+    out = graph_rank.ppr_rank(dense.select("query_id", "vector_id", "cos"), binding.chunks(spark, sf_dir), links)
     return out.select("query_id", "vector_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
-@register(f"""WITH {SQL}, {_BLEND}, {_POSTED}, {_FUSED},
+@register(f"WITH {SQL}, {_FUSED} SELECT query_id, vector_id, score, rank FROM fused")
+def hybrid_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _fused(spark, sf_dir).select("query_id", "vector_id", "score", F.col("rank").cast("long").alias("rank"))
+
+
+@register(f"""WITH {SQL}, {_FUSED},
     hits AS (SELECT f.*, doc_id, section_type FROM fused f JOIN chunks USING (vector_id)),
     groups AS (SELECT query_id, doc_id, max(score) AS best_score, min(rank) AS first, list(vector_id ORDER BY rank) AS chunk_ids FROM hits GROUP BY ALL)
     SELECT query_id, doc_id, best_score, array_to_string(chunk_ids, ',') AS chunks, row_number() OVER (PARTITION BY query_id ORDER BY best_score DESC, first) AS place FROM groups""")
 def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = search.lexical_list(binding.query_texts(spark, sf_dir), _text_chunks(spark, sf_dir), 40)
-    out = search.hybrid(_dense(spark, sf_dir), words, binding.chunks(spark, sf_dir), 20)
+    """Dense, lexical and graph lists of the same queries over the same chunks, fused and grouped."""
+    out = search.grouped(_fused(spark, sf_dir), binding.chunks(spark, sf_dir))
     return out.select("query_id", "doc_id", "best_score", F.array_join(F.transform("chunk_ids", lambda x: x.cast("string")), ",").alias("chunks"), "place")
 
 
@@ -495,20 +568,6 @@ def article_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_articles(table(spark, sf_dir, "pages"))[0].select("page_id", "title", "markdown")
 
 
-@register()
-def ppr_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents ranked from the document of each query, over the whole corpus graph."""
-    asking = binding.chunks(spark, sf_dir).filter("vector_id % 100 = 0")
-    seeds = asking.select(F.col("vector_id").alias("query_id"), F.col("doc_id").alias("node"), F.lit(1.0).alias("weight"))
-    edges = _graph(spark, sf_dir).select(F.col("a").alias("src"), F.col("b").alias("dst"), "weight")
-    # Every hundredth vector is a query, each with its own mass on the one graph.
-    per_query = edges.crossJoin(seeds.select("query_id").distinct())
-    from .plans.lineage import cut
-
-    mass = graph.pagerank(per_query, seeds, cut=cut)
-    return ranking.ranked(mass.withColumn("score", F.round("rank_mass", 9)), "query_id", "score", "node").select("query_id", "node", "score", "rank")
-
-
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

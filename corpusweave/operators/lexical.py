@@ -1,11 +1,21 @@
-"""Postings and BM25 over chunks, with a simple or a caller's analyser."""
+"""Postings, stems, phrases and BM25 over chunks.
+
+Texts are analysed into terms: lower-cased runs of letters and digits, by the ``porter`` analyser without accents and cut to
+their stems. Stems are worked out once per distinct term and joined back. Stored postings are dealt out by term, so that a
+query reads the folders of its terms only.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 K1, B = 1.2, 0.75
+#: Folders of stored postings, by a hash of the term.
+TERM_FOLDERS = 64
 
 
 def tokens(text: Column) -> Column:
@@ -18,9 +28,12 @@ def query_terms(queries: DataFrame, query: str = "query_id", text: str = "query"
     return queries.select(query, F.explode(tokens(F.col(text))).alias("term")).distinct()
 
 
-def postings(chunks: DataFrame, item: str = "vector_id", text: str = "text") -> DataFrame:
-    """``item``, ``term``, ``tf`` and the item's length ``dl``."""
+def postings(chunks: DataFrame, item: str = "vector_id", text: str = "text", terms: DataFrame | None = None) -> DataFrame:
+    """``item``, ``term``, ``tf`` and the item's length ``dl``; with ``terms`` (``term``) of those only, before any shuffle of words
+    where they are few."""
     words = chunks.select(item, tokens(F.col(text)).alias("w")).select(item, F.size("w").alias("dl"), F.explode("w").alias("term"))
+    if terms is not None:
+        words = words.join(terms.select("term").distinct(), "term", "left_semi")
     return words.groupBy(item, "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
 
 
@@ -34,3 +47,105 @@ def bm25(queries: DataFrame, posted: DataFrame, n_items: int, mean_length: float
     tf = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / mean_length))
     scored = wanted.join(df, "term").withColumn("part", idf * tf)
     return scored.join(terms, "term").groupBy(query, item).agg(F.round(F.sum("part"), 6).alias("score"))
+
+
+def sizes(chunks: DataFrame, text: str = "text") -> tuple[int, float]:
+    """Items that hold a term, and their mean number of terms; one pass without a shuffle of texts."""
+    found = chunks.select(F.size(tokens(F.col(text))).alias("n")).filter("n > 0").agg(F.count(F.lit(1)), F.avg("n")).first()
+    return found[0], found[1] or 1.0
+
+
+def stem_map(terms: DataFrame, stemmer: Callable[[str], str]) -> DataFrame:
+    """``term`` and ``stem`` of distinct terms; each goes through the stemmer once, in Arrow batches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = batch.column("term")
+            yield pa.record_batch({"term": words, "stem": pa.array([stemmer(w) for w in words.to_pylist()], pa.string())})
+
+    return terms.select("term").distinct().mapInArrow(run, "term string, stem string")
+
+
+def _stemmed(rows: DataFrame, stemmer: Callable[[str], str] | None) -> DataFrame:
+    if stemmer is None:
+        return rows
+    return rows.join(stem_map(rows, stemmer), "term").drop("term").withColumnRenamed("stem", "term")
+
+
+def positional_postings(
+    chunks: DataFrame,
+    item: str = "vector_id",
+    text: str = "text",
+    stemmer: Callable[[str], str] | None = None,
+    terms: DataFrame | None = None,
+) -> DataFrame:
+    """``item``, ``term``, ``positions`` (rising, from 0) and ``dl``, the item's number of terms; with ``terms`` (``term``) of those
+    only.
+
+    Items without a term have no row; null texts count as empty. Each item's id is its own.
+    """
+    words = chunks.select(item, tokens(F.col(text)).alias("w")).select(item, F.size("w").alias("dl"), F.posexplode("w").alias("at", "term"))
+    listed = F.array_sort(F.collect_list("at")).alias("positions")
+    words = _stemmed(words, stemmer)
+    if terms is not None:
+        words = words.join(terms.select("term").distinct(), "term", "left_semi")
+    return words.groupBy(item, "term").agg(listed, F.first("dl").alias("dl"))
+
+
+def _folder(term: Column, folders: int) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(folders)).cast("int")
+
+
+def write_postings(posted: DataFrame, path: str, folders: int = TERM_FOLDERS) -> None:
+    """Postings in folders by a hash of the term, sorted by term within a file. A frequent term's items are spread over several
+    files of its folder."""
+    dealt = posted.withColumn("folder", _folder(F.col("term"), folders)).repartition("folder", F.pmod(F.xxhash64(*posted.columns[:1]), F.lit(8)))
+    dealt.sortWithinPartitions("folder", "term").write.partitionBy("folder").parquet(path)
+
+
+def read_postings(spark: SparkSession, path: str, terms: DataFrame | None = None, folders: int = TERM_FOLDERS) -> DataFrame:
+    """Stored postings; with ``terms`` (``term``, those of queries) only their folders are read, and only their rows."""
+    stored = spark.read.parquet(path)
+    if terms is not None:
+        own = terms.select("term").distinct()
+        used = [r[0] for r in own.select(_folder(F.col("term"), folders)).distinct().collect()]  # a row per folder
+        stored = stored.filter(F.col("folder").isin(used)).join(own, "term", "left_semi")
+    return stored.drop("folder")
+
+
+def query_phrases(
+    queries: DataFrame, query: str = "query_id", text: str = "query", stemmer: Callable[[str], str] | None = None
+) -> DataFrame:
+    """The terms of each blank-separated token of queries, each token a phrase: ``query``, ``phrase`` (its number), ``at`` (the
+    term's place in it), ``term``, ``size`` (terms of the phrase).
+
+    Tokens without a letter or digit fall away, so no query can be malformed. A token that holds other marks, as hyphens, is a
+    phrase of several terms. Repeated tokens are phrases of their own.
+    """
+    said = queries.select(query, F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), r"\s+")).alias("phrase", "token"))
+    terms = said.select(query, "phrase", tokens(F.col("token")).alias("w")).select(query, "phrase", F.size("w").alias("size"), F.posexplode("w").alias("at", "term"))
+    return _stemmed(terms, stemmer)
+
+
+def phrase_bm25(
+    phrases: DataFrame, posted: DataFrame, n_items: int, mean_length: float, item: str = "vector_id", query: str = "query_id"
+) -> DataFrame:
+    """``query``, ``item``, ``score`` by BM25, where a phrase's terms must stand one behind another.
+
+    ``posted``: :func:`positional_postings`, analysed as ``phrases`` (:func:`query_phrases`) are. A phrase's frequency in an item is
+    the number of places where it begins; its document frequency counts items that hold it whole. Phrases of a query add up.
+    """
+    # Equal phrases of all queries are looked up once.
+    named = phrases.groupBy(query, "phrase").agg(F.array_sort(F.collect_list(F.struct("at", "term"))).alias("t"))
+    named = named.select(query, F.transform("t", lambda x: x["term"]).alias("terms")).groupBy(query, "terms").agg(F.count(F.lit(1)).alias("times"))
+    distinct = named.select("terms").distinct().select("terms", F.size("terms").alias("size"), F.posexplode("terms").alias("at", "term"))
+    met = posted.join(distinct, "term").select(item, "dl", "terms", "size", F.explode("positions").alias("p"), "at")
+    starts = met.groupBy(item, "terms", F.col("p") - F.col("at")).agg(
+        F.count(F.lit(1)).alias("n"), F.first("size").alias("size"), F.first("dl").alias("dl")
+    )
+    held = starts.filter("n = size").groupBy(item, "terms").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
+    df = held.groupBy("terms").agg(F.count(F.lit(1)).alias("df"))
+    idf = F.greatest(F.lit(1e-6), F.log((n_items - F.col("df") + 0.5) / (F.col("df") + 0.5)))
+    tf = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / mean_length))
+    scored = held.join(df, "terms").withColumn("part", idf * tf)
+    return scored.join(named, "terms").groupBy(query, item).agg(F.round(F.sum(F.col("part") * F.col("times")), 6).alias("score"))

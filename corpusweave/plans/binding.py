@@ -64,6 +64,16 @@ def query_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts.select(F.col("doc_id").alias("query_id"), F.array_join(words, " ").alias("query"))
 
 
+def phrase_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same queries with a hyphen between their first two words."""
+    return query_texts(spark, sf_dir).select("query_id", F.regexp_replace("query", r"^(\S+) ", "$1-").alias("query"))
+
+
+def corpus_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queries with a text and a vector: every hundredth chunk that has both."""
+    return query_vectors(spark, sf_dir).join(query_texts(spark, sf_dir), "query_id")
+
+
 #: The same tables for SQL.
 SQL = f"""
 chunks AS (
