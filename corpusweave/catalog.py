@@ -306,12 +306,13 @@ edges AS (
     UNION SELECT least(x_id, y_id), greatest(x_id, y_id), 'cross_domain', cos, cos FROM pairs WHERE len(list_intersect(x_categories, y_categories)) = 0)"""
 
 
+def _edge_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    categories = binding.documents(spark, sf_dir).select("doc_id", "categories")
+    return binding.chunks(spark, sf_dir).select("vector_id", "doc_id", "section_type", "embedding").join(categories, "doc_id")
+
+
 def _surprises(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = binding.chunks(spark, sf_dir).select("vector_id", "doc_id", "section_type").join(
-        binding.documents(spark, sf_dir).select("doc_id", "categories"), "doc_id"
-    )
-    side = lambda p: c.select(F.col("vector_id").alias(f"{p}_id"), F.col("doc_id").alias(f"{p}_doc"), F.col("section_type").alias(f"{p}_section"), F.col("categories").alias(f"{p}_categories"))
-    return graph.surprise_edges(_neighbours(spark, sf_dir).join(side("x"), "x_id").join(side("y"), "y_id"), 0.3)
+    return graph.surprise_edges(graph.edge_pairs(_edge_chunks(spark, sf_dir), 6), 0.3)
 
 
 @register(f"WITH {SQL}, {_PAIRS} SELECT * FROM edges")
@@ -319,6 +320,25 @@ def surprise_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _surprises(spark, sf_dir).select("src_chunk", "dst_chunk", "kind", "similarity", "surprise")
 
 
+_MOVED = "doc_id % 9 = 4"
+
+
+@register(f"""WITH {SQL}, {_PAIRS},
+    moved AS (SELECT doc_id FROM docs WHERE {_MOVED}), ends AS (SELECT e.*, s.doc_id AS src_doc, d.doc_id AS dst_doc FROM edges e
+        JOIN chunks s ON s.vector_id = src_chunk JOIN chunks d ON d.vector_id = dst_chunk),
+    asked AS (SELECT * FROM pairs WHERE x_doc IN (FROM moved))
+    SELECT src_chunk, dst_chunk, kind, similarity, surprise FROM ends WHERE src_doc NOT IN (FROM moved) AND dst_doc NOT IN (FROM moved)
+    UNION SELECT x_id, y_id, 'need_solution', cos, cos FROM asked WHERE x_section IN ('future_work', 'limitations') AND y_section IN ('method', 'experiments', 'applications')
+    UNION SELECT y_id, x_id, 'need_solution', cos, cos FROM asked WHERE y_section IN ('future_work', 'limitations') AND x_section IN ('method', 'experiments', 'applications')
+    UNION SELECT least(x_id, y_id), greatest(x_id, y_id), 'cross_domain', cos, cos FROM asked WHERE len(list_intersect(x_categories, y_categories)) = 0""")
+def refreshed_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges after every ninth document has changed: only chunks of those look for neighbours again."""
+    c = _edge_chunks(spark, sf_dir)
+    changed = c.filter(_MOVED).select("doc_id")
+    out = graph.refreshed_edges(_surprises(spark, sf_dir), changed, graph.edge_pairs(c, 6, changed), 0.3)
+    return out.select("src_chunk", "dst_chunk", "kind", "similarity", "surprise")
+
+
 @register(f"WITH {SQL}, {_PAIRS} SELECT src_chunk, dst_chunk, kind, surprise FROM edges ORDER BY surprise DESC, src_chunk, dst_chunk, kind LIMIT 50")
 def top_sparks(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _surprises(spark, sf_dir).select("src_chunk", "dst_chunk", "kind", "surprise")
@@ -517,11 +537,16 @@ def upsert_guarded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.upsert_candidates(old, new).select("cand_id", "status", "score", "inserted")
 
 
-@register(f"""WITH {SQL}, {_PAIRS} SELECT 'src_chunk without chunk' AS problem, count(*) AS n FROM edges WHERE src_chunk % 7 = 0 HAVING count(*) > 0
-    UNION ALL SELECT 'dst_chunk without chunk', count(*) FROM edges WHERE dst_chunk % 7 = 0 HAVING count(*) > 0""")
+@register(f"""WITH {SQL}, {_PAIRS}, problems AS (
+    SELECT 'no embedding' AS problem FROM embeddings WHERE embedding IS NULL UNION ALL SELECT 'wrong length' FROM embeddings WHERE len(embedding) <> 64
+    UNION ALL SELECT 'document gone' FROM chunks WHERE doc_id % 50 = 7
+    UNION ALL SELECT 'src_chunk without chunk' FROM edges WHERE src_chunk NOT IN (SELECT vector_id FROM chunks)
+    UNION ALL SELECT 'dst_chunk without chunk' FROM edges WHERE dst_chunk NOT IN (SELECT vector_id FROM chunks))
+    SELECT problem, count(*) AS n FROM problems GROUP BY problem""")
 def consistency_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = binding.chunks(spark, sf_dir).filter("vector_id % 7 <> 0")
-    return corpus.consistency(c, _surprises(spark, sf_dir), 64)
+    """All chunks and edges, where the metadata of every fiftieth document is gone."""
+    docs = binding.documents(spark, sf_dir).filter("doc_id % 50 <> 7")
+    return corpus.consistency(binding.chunks(spark, sf_dir), _surprises(spark, sf_dir), 64, docs)
 
 
 @register("""WITH RECURSIVE p AS (SELECT conv_id * 1000 + turn AS id, conv_id * 1000 + turn - 1 AS parent FROM conversations WHERE turn > (SELECT min(turn) FROM conversations)),

@@ -80,13 +80,15 @@ def merge_notes(old: DataFrame, new: DataFrame, keep_links: bool, key: str = "do
     return replace_by_key(old.select(*new.columns), kept, [key]), rejected
 
 
-def consistency(chunks: DataFrame, edges: DataFrame, dim: int) -> DataFrame:
-    """Counts of what doesn't fit: ``problem``, ``n``."""
+def consistency(chunks: DataFrame, edges: DataFrame, dim: int, docs: DataFrame | None = None) -> DataFrame:
+    """Counts of what doesn't fit: ``problem``, ``n``. With ``docs`` (``doc_id``) chunks of other documents are told too."""
     ids = chunks.select(F.col("vector_id").alias("id"))
     lost = lambda end: edges.join(ids, F.col(end) == F.col("id"), "left_anti").select(F.lit(f"{end} without chunk").alias("problem"))
     found = chunks.filter("embedding is null").select(F.lit("no embedding").alias("problem"))
     found = found.unionByName(chunks.filter(F.size("embedding") != dim).select(F.lit("wrong length").alias("problem")))
     found = found.unionByName(lost("src_chunk")).unionByName(lost("dst_chunk"))
+    if docs is not None:
+        found = found.unionByName(orphans(chunks, docs, "doc_id").select(F.lit("document gone").alias("problem")))
     return found.groupBy("problem").agg(F.count(F.lit(1)).alias("n"))
 
 

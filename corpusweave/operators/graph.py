@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .vectors import knn_join
+
 NEEDS = ("future_work", "limitations")
 SOLUTIONS = ("method", "experiments", "applications")
 
@@ -50,19 +52,41 @@ def surprise_edges(pairs: DataFrame, min_similarity: float, min_distance: float
     A pair may earn both; an edge found from both sides is one edge.
     """
     close = pairs.filter((F.col("cos") >= min_similarity) & (F.col("x_doc") != F.col("y_doc")))
-    need = lambda p, q: F.col(f"{p}_section").isin(*NEEDS) & F.col(f"{q}_section").isin(*SOLUTIONS)
-    edge = lambda p, q, kind, surprise: (
-        F.col(f"{p}_id").alias("src_chunk"), F.col(f"{q}_id").alias("dst_chunk"), F.col(f"{p}_doc").alias("src_doc"),
-        F.col(f"{q}_doc").alias("dst_doc"), F.lit(kind).alias("kind"), F.col("cos").alias("similarity"), surprise.alias("surprise"),
-    )
-    distance = category_distance(F.col("x_categories"), F.col("y_categories"))
-    far = close.withColumn("distance", distance).filter(F.col("distance") >= min_distance)
-    surprise = F.round(F.col("cos") * F.col("distance"), 6)
-    out = close.filter(need("x", "y")).select(*edge("x", "y", "need_solution", F.col("cos")))
-    out = out.unionByName(close.filter(need("y", "x")).select(*edge("y", "x", "need_solution", F.col("cos"))))
-    out = out.unionByName(far.filter("x_id < y_id").select(*edge("x", "y", "cross_domain", surprise)))
-    out = out.unionByName(far.filter("x_id > y_id").select(*edge("y", "x", "cross_domain", surprise)))
-    return out.dropDuplicates(["src_chunk", "dst_chunk", "kind"])
+    close = close.withColumn("distance", category_distance(F.col("x_categories"), F.col("y_categories")))
+
+    def edge(p: str, q: str, kind: str, surprise: Column) -> Column:
+        ends = [F.col(f"{side}_{what}").alias(f"{end}_{name}") for what, name in (("id", "chunk"), ("doc", "doc")) for side, end in ((p, "src"), (q, "dst"))]
+        return F.struct(*ends, F.lit(kind).alias("kind"), F.col("cos").alias("similarity"), surprise.alias("surprise"))
+
+    needs = lambda p, q: F.col(f"{p}_section").isin(*NEEDS) & F.col(f"{q}_section").isin(*SOLUTIONS)
+    far, surprise = F.col("distance") >= min_distance, F.round(F.col("cos") * F.col("distance"), 6)
+    earned = F.array(
+        F.when(needs("x", "y"), edge("x", "y", "need_solution", F.col("cos"))),
+        F.when(needs("y", "x"), edge("y", "x", "need_solution", F.col("cos"))),
+        F.when(far & (F.col("x_id") < F.col("y_id")), edge("x", "y", "cross_domain", surprise)),
+        F.when(far & (F.col("x_id") > F.col("y_id")), edge("y", "x", "cross_domain", surprise)),
+    )
+    return close.select(F.inline(F.array_compact(earned))).dropDuplicates(["src_chunk", "dst_chunk", "kind"])
+
+
+def edge_pairs(chunks: DataFrame, neighbors: int, changed: DataFrame | None = None, **knn) -> DataFrame:
+    """What :func:`surprise_edges` reads: each chunk (``vector_id``, ``doc_id``, ``section_type``, ``categories``, ``embedding``) with
+    its nearest ``neighbors`` of other documents. With ``changed`` (``doc_id``) only chunks of those documents ask.
+    ``knn``: further arguments of :func:`.vectors.knn_join`."""
+    asking = chunks if changed is None else chunks.join(changed.select("doc_id").distinct(), "doc_id", "left_semi")
+    named = {"vector_id": "id", "doc_id": "doc", "section_type": "section", "categories": "categories"}
+    side = lambda rows, p: rows.select(*(F.col(c).alias(f"{p}_{n}") for c, n in named.items()))
+    vectors = lambda rows, p: rows.select(F.col("vector_id").alias(f"{p}_id"), F.col("doc_id").alias(f"{p}_doc"), "embedding")
+    near = knn_join(vectors(asking, "x"), vectors(chunks, "y"), neighbors, "x_id", "y_id", "x_doc", "y_doc", **knn)
+    return near.join(side(asking, "x"), "x_id").join(side(chunks, "y"), "y_id")
+
+
+def refreshed_edges(edges: DataFrame, changed: DataFrame, pairs: DataFrame, min_similarity: float, min_distance: float = 1.0) -> DataFrame:
+    """``edges`` brought up to date for documents that ``changed`` (``doc_id``) or are gone: those with an end in one go, those
+    of ``pairs`` (:func:`edge_pairs` with the same ``changed``) come. Edges that only chunks of other documents would find come
+    with the next full build."""
+    kept = drop_incident(edges, changed)
+    return kept.unionByName(surprise_edges(pairs, min_similarity, min_distance).select(*kept.columns)).dropDuplicates(["src_chunk", "dst_chunk", "kind"])
 
 
 def drop_incident(edges: DataFrame, docs: DataFrame) -> DataFrame:
