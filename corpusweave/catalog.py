@@ -446,7 +446,7 @@ _PATHS = ["d{0}/notes.md", "d{0}/source/main.tex", ".cache/x.md", "inbox/{0}.txt
 
 
 @register("""WITH p AS (SELECT event_id, 'd' || user_id AS d, CASE WHEN event_id % 5 = 0 THEN 'remove' ELSE 'upsert' END AS op, event_id % 7 AS k FROM events)
-    SELECT event_id, d AS doc_id, op FROM p WHERE k IN (0, 4) OR op = 'remove' AND k IN (1, 5, 6)""")
+    SELECT event_id, d AS doc_id, op FROM p WHERE k IN (0, 4, 6) OR op = 'remove' AND k IN (1, 5)""")
 def change_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events of the table as changes of files below a root; those that concern a document."""
     from .streaming.changes import document_events

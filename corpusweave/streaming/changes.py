@@ -14,16 +14,17 @@ WATCHED = ("notes.md", "sections.md", "metadata.json", "idea.md")
 def document_events(events: DataFrame, root: str = "") -> DataFrame:
     """``doc_id``, ``op``, ``ts`` of events (``path``, ``op``, ``ts``) on documents, the folders right below ``root``.
 
-    Removals of anything in a folder, or of itself, always count, other changes only of watched files; hidden folders,
-    the inbox and paths elsewhere are ignored.
+    Removals of anything in a folder, and every change of the folder itself, always count, other changes only of watched
+    files; hidden folders, the inbox and paths elsewhere are ignored.
     """
     base = F.lit(root.rstrip("/") + "/" if root else "")
     inside = F.regexp_replace(F.expr("substring(path, length(base) + 1)"), "^/+", "")
     rows = events.withColumn("base", base).filter(F.startswith("path", "base")).withColumn("inside", inside)
     doc, name = F.regexp_extract("inside", r"^([^/]+)", 1), F.regexp_extract("inside", r"([^/]+)/*$", 1)
-    rows = rows.select(doc.alias("doc_id"), "op", "ts", name.alias("name"))
+    itself = ~F.col("inside").rlike("^[^/]+/+[^/]")
+    rows = rows.select(doc.alias("doc_id"), "op", "ts", name.alias("name"), itself.alias("itself"))
     rows = rows.filter((F.col("doc_id") != "") & ~F.startswith("doc_id", F.lit(".")) & (F.col("doc_id") != "inbox"))
-    return rows.filter((F.col("op") == "remove") | F.col("name").isin(*WATCHED)).drop("name")
+    return rows.filter((F.col("op") == "remove") | F.col("itself") | F.col("name").isin(*WATCHED)).drop("name", "itself")
 
 
 def debounce(events: DataFrame, quiet: str = "2 seconds", key: str = "doc_id", at: str = "ts") -> DataFrame:
