@@ -3,8 +3,8 @@
 Each page is read into a tree of elements. Every element has the characters and tags of its subtree, and those
 of links in it; its composite density is characters per tag, lowered by a logarithm that grows with the links.
 The element whose children have the largest sum of densities is the core of the article; where it is a line of text or
-a part of one, its container is. The lowest density on
-the path from the body to it is the threshold that text outside it must reach to belong to the article as well.
+a part of one, its container is. Text outside
+it belongs to the article as the path from the body to it tells (:func:`_taken`).
 Elements that by their name or role are no article (menus, headers, footers, forms, scripts), and hidden ones, are
 left out before densities are computed. Words of a class or an id (sidebars, notices, adverts, comments of readers)
 only mark a candidate: it is left out if links hold half of its text or more, or if it is short or less dense than
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _TOKEN = re.compile(
-    r"(?P<skip><!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(?P<raw>script|style|noscript|template|textarea|iframe|svg|math|select)\b"
+    r"(?P<skip><!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(?P<raw>script|style|noscript|template|textarea|iframe|svg|select)\b"
     r"(?:\"[^\"]*\"|'[^']*'|[^>\"'])*>.*?(?:</(?P=raw)\s*>|\Z)|<[!?][^>]*>)"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>"
     r"|<(?P<end2>/?)(?P<tag2>[a-zA-Z][^\s/>]*)[^>]*>"
@@ -39,14 +39,17 @@ _SPACE = re.compile(r"\s+")
 
 # Elements without content, with no article text, and those that start a new block of text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-NOISE_TAGS = frozenset("nav footer aside form button dialog menu head object audio video canvas label fieldset".split())
+NOISE_TAGS = frozenset("nav footer aside form button dialog menu head object audio video canvas label fieldset annotation annotation-xml".split())
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar".split())
 NOISE_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice"
     " notification alert popup modal overlay paywall nav navbar navigation menu breadcrumb breadcrumbs header masthead footer sidebar aside"
     " widget comment comments disqus respond reply replies share sharing social related recommended newsletter subscribe subscription"
-    " signup login toolbar pagination pager skip".split()
+    " signup login toolbar pagination pager skip discussion thread".split()
 )
+# Of these, what readers say: no part of an article, however long. Of the others in TOLD, a paragraph in an article is its prose.
+TALK_WORDS = frozenset("comment comments disqus respond reply replies discussion thread".split())
+TOLD_WORDS = frozenset("notice alert header masthead related aside share recommended".split())
 BLOCKS = frozenset(
     "address article blockquote body center dd details div dl dt fieldset figcaption figure h1 h2 h3 h4 h5 h6 header hgroup hr html li"
     " main ol p pre section summary table tbody td tfoot th thead tr ul caption".split()
@@ -70,14 +73,20 @@ def _is_noise(tag: str, attrs: dict[str, str], in_article: bool) -> bool:
 
 
 def _mark(tag: str, attrs: dict[str, str], in_article: bool) -> int:
-    """2: a name of the class or the id consists of noise words; 1: one holds such a word; 0: none does."""
+    """Of the names in the class and the id: 3 if one is of talk alone, 2 if one consists of noise words, 4 if those are words
+    that an article's own paragraphs bear as well, 1 if one holds a noise word, else 0."""
     if tag in ("html", "body", "article", "main") or tag in HEADINGS:
         return 0
     mark = 0
     for name in (attrs.get("class", "") + " " + attrs.get("id", "")).split():
         words = [w for w in re.split(r"[^a-z]+", name) if w]
         noise = [w in NOISE_WORDS and not (in_article and w in ("header", "masthead")) for w in words]
-        mark = max(mark, 2 if words and all(noise) else int(any(noise)))
+        if words and all(noise):
+            if all(w in TALK_WORDS for w in words):
+                return 3
+            mark = 4 if mark in (0, 1, 4) and all(w in TOLD_WORDS for w in words) else 2
+        elif any(noise):
+            mark = max(mark, 1)
     return mark
 
 
@@ -227,7 +236,7 @@ class _Page:
         titled = [self.tag[k] in ("h1", "main") and not self.quiet[k] for k in range(n)]
         for k in range(n - 1, 0, -1):
             titled[self.parent[k]] |= titled[k]
-        named = {k for k in marked if self.mark[k] == 2 and not (k in most and titled[k])}
+        named = {k for k in marked if self.mark[k] >= 2 and not (k in most and titled[k])}
         trial = self.leave_out(named, self.quiet)
         outside = any(self.tag[k] in ("article", "main") and prose[k] and not trial[k] for k in range(n))
         if outside:
@@ -245,37 +254,103 @@ class _Page:
             of = line[k] or k  # the length of a piece of a line says nothing, only what share of the line is links
             if k in spared or k in most or self.tag[of] in HEADINGS:
                 continue
-            if 2 * link_chars[of] >= chars[of]:
+            if 2 * link_chars[of] >= chars[of] or self.mark[k] == 3 and of == k:
                 gone.add(k)
-            elif self.mark[k] == 2:
-                if of == k and (outside and not self.in_article[k] or prose[k] < SHORT or 2 * density[k] < usual):
+            elif self.mark[k] >= 2:
+                told = self.mark[k] == 4 and self.tag[k] in _LINES and self.in_article[k] and prose[k] >= SHORT
+                if not told and of == k and (outside and not self.in_article[k] or prose[k] < SHORT or 2 * density[k] < usual):
                     gone.add(k)
             elif of == k and not self.in_article[k] and not within[k] and density[k] < least:
                 gone.add(k)
         return self.leave_out(gone, self.quiet), path if outside else None
 
 
+def _taken(page: _Page, quiet: list[bool], path: list[int], body: int, chars: list[int], link_chars: list[int]) -> list[bool]:
+    """Elements whose text belongs to the article around the core, the first of ``path``, which leads up to the body.
+
+    The article is the outermost ``article`` or ``main`` on the path, else what can be reached from the core: there, text
+    outside the core belongs to it if it has half as many characters outside links per tag as the element of the path that it
+    stands beside, or if it stands in a container with the core to which links add little. That measure doesn't depend on an
+    element's size, so titles, leads and short sections aren't judged by the length of the longest one. Blocks of links
+    alone are menus anywhere. A heading goes with the block behind it.
+    """
+    n = len(page.tag)
+    children: list[list[int]] = [[] for _ in range(n)]
+    tags = [0] * n
+    for k in range(1, n):
+        children[page.parent[k]].append(k)
+    for k in range(n - 1, 0, -1):
+        tags[page.parent[k]] += tags[k] + (not quiet[k])
+    prose = [c - x for c, x in zip(chars, link_chars)]
+    plain = [x / max(1, t) for x, t in zip(prose, tags)]
+    on_path = set(path)
+    root = next((k for k in reversed(path) if page.tag[k] in ("article", "main")), None)
+    inside = [False] * n  # of the article
+    for k in range(n):
+        inside[k] = k == path[0] or k == root or k > 0 and inside[page.parent[k]]
+    titled = [0] * n  # characters in titles
+    for k in range(n - 1, 0, -1):
+        titled[k] = chars[k] if page.tag[k] == "h1" and not quiet[k] and 2 * link_chars[k] < chars[k] else titled[k]
+        titled[page.parent[k]] += titled[k]
+    title = any(titled[k] for k in range(n) if inside[k])
+
+    def links_only(k: int) -> bool:
+        return page.tag[k] in BLOCKS and page.tag[k] not in _LINES and chars[k] > 0 and 10 * link_chars[k] >= 9 * chars[k]
+
+    def belongs(k: int, friendly: bool) -> bool:
+        if quiet[k]:
+            return False
+        if page.tag[k] not in BLOCKS and friendly:
+            return True
+        if links_only(k):
+            return False
+        if inside[k]:
+            return True
+        if 2 * link_chars[k] >= chars[k]:
+            return False
+        rows = root is None and page.tag[k] in beside and any(page.tag[c] in HEADINGS for c in children[k])
+        return friendly or rows or 2 * plain[k] >= plain[inner or at]
+
+    taken = [False] * n
+    taken[body] = True
+    todo = [body]
+    while todo:
+        at = todo.pop()
+        own = children[at]
+        beside = {page.tag[c] for c in own if c in on_path}
+        inner = next((c for c in own if c in on_path), None)
+        added = chars[at] - (chars[inner] if inner else 0)
+        added_links = link_chars[at] - (link_chars[inner] if inner else 0)
+        friendly = inside[at] or at != body and root is None and 2 * added_links < added
+        follows: bool | None = None  # whether the block behind is taken
+        for c in reversed(own):
+            heading = page.tag[c] in HEADINGS and c not in on_path
+            if c in on_path or not title and titled[c] and titled[c] == chars[c]:  # the title stands beside the article
+                ok = True
+            elif heading and not quiet[c]:
+                ok = (inside[at] or root is None) and (inside[at] or friendly if follows is None else follows)
+            else:
+                ok = belongs(c, friendly)
+            if not quiet[c] and page.tag[c] in BLOCKS and chars[c] and not heading:
+                follows = ok
+            if ok:
+                taken[c] = True
+                todo.append(c)
+    return taken
+
+
 def main_text(source: str) -> str:
     """The main text of one page; empty if there is none."""
     page = _Page(source)
     if not page.pieces:
         return ""
     quiet, path = page.without_noise()
-    density, total, body, *_ = page.measure(quiet)
-    n = len(page.tag)
+    density, total, body, chars, link_chars = page.measure(quiet)
     path = path or page.core(density, total, body)
-    core = path[0]
-    threshold = min((density[k] for k in path), default=0.0)
     # A single line of text, or a part of one, is no article: its container is.
-    while core != body and (page.tag[core] in _LINES or page.tag[core] not in BLOCKS):
-        core = page.parent[core]
-    taken, within, above = [False] * n, [False] * n, set(path)
-    for k in range(n):
-        within[k] = k == core or k > 0 and within[page.parent[k]]
-        if k == body:
-            taken[k] = True
-        elif k and taken[page.parent[k]] and not quiet[k]:
-            taken[k] = k in above or within[k] or density[k] >= threshold
+    while path[0] != body and (page.tag[path[0]] in _LINES or page.tag[path[0]] not in BLOCKS):
+        path = path[1:]
+    taken = _taken(page, quiet, path, body, chars, link_chars)
     blocks: list[list[str]] = []
     for node, text, fresh in page.pieces:
         if fresh or not blocks:
@@ -290,8 +365,10 @@ def extract_pages(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...
     """``keep`` and ``text`` for every page; whole pages.
 
     Null and empty pages, and pages without an article, have an empty text. Broken markup is read as far as it
-    goes. Repeated pages each get their row; an empty table gives an empty result; other columns are ignored.
+    goes. Repeated pages each get their row; an empty table gives an empty result; other columns are ignored. Of a kept
+    column called ``text`` the extracted text takes the place. Of elements with equal densities the first one counts.
     """
+    keep = tuple(c for c in keep if c != "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -266,6 +266,49 @@ def test_html_keeps_what_only_looks_like_noise():
     assert main_text(f'<body><div><h1>H</h1>{p}{rest}{p}<div class="comments"><p>Nice!</p><p>So true</p></div></div></body>') == f"H {prose} {prose}"
 
 
+def test_html_of_nested_articles(spark):
+    said = "Some long and telling prose stands here, in many words, for readers who like it. "
+    long, short = f"<p>{said * 3}</p>", f"<p>{said}</p>"
+    P, Q = (said * 3).strip(), said.strip()
+    items = "".join(f"<li>{said}</li>" for _ in range(8))
+    more = "<ul>" + "".join(f"<li><a href={k}>Another story {k}</a></li>" for k in range(6)) + "</ul>"
+    talk = "".join(f"<div><b>Ann</b>{short}</div>" for _ in range(12))
+    lead = f'<h1>T</h1><p class="lead">{said}</p><div class="body">{long * 5}</div><p>Written by me.</p>'
+    pages = {
+        f"<article>{lead}</article>": ["T", Q, *[P] * 5, "Written by me."],
+        f'<div id="content">{lead}</div>': ["T", Q, *[P] * 5, "Written by me."],
+        f"<article><h1>T</h1><section><h2>A</h2>{long}</section><section><h2>B</h2>{long * 3}</section><section><h2>C</h2><p>Short end here.</p></section></article>": [
+            "T", "A", P, "B", P, P, P, "C", "Short end here.",
+        ],
+        f"<h1>T</h1>{short}<ol>{items}</ol>{short}": ["T", *[Q] * 10],
+        f"<main><article><h1>A</h1>{long}</article><article><h1>B</h1>{long * 3}</article></main>": ["A", P, "B", P, P, P],
+        f"<h1>T</h1><article>{long * 3}</article>": ["T", P, P, P],
+        f"<div><h1>T</h1></div><article>{long * 3}</article>": ["T", P, P, P],
+        f"<div><h2>A</h2>{long}</div><div><h2>B</h2>{long * 2}</div><div><h2>C</h2>{short}</div>": ["A", P, "B", P, P, "C", Q],
+        f"<article><div><div><h1>T</h1></div><div><div>{long}</div><div>{long}</div></div></div></article>": ["T", P, P],
+        f"<article><header><h1>T</h1><p>By me, today</p></header>{long * 2}<blockquote>{said}</blockquote><table><tr><td>a</td><td>b</td></tr></table></article>": [
+            "T", "By me, today", P, P, Q, "a", "b",
+        ],
+        # Not of the article: lists of links with their headings, readers' threads, adverts, what stands beside it.
+        f"<main><h1>T</h1>{long * 3}<h3>More stories</h3>{more}</main>": ["T", P, P, P],
+        f"<main><h1>T</h1>{long * 3}<div><h3>More stories</h3>{more}</div></main>": ["T", P, P, P],
+        f'<main><h1>T</h1>{long * 3}</main><div id="discussion">{talk}</div>': ["T", P, P, P],
+        f'<main><h1>T</h1>{long * 3}<div id="discussion">{talk}</div></main>': ["T", P, P, P],
+        f'<article>{long}<div class="ad">{said}</div>{long}</article>': [P, P],
+        f'<div class="page"><div class="left">{more}</div><div class="mid"><h1>T</h1>{long * 3}</div><div class="foot">All rights reserved.</div></div>': ["T", P, P, P],
+        # Prose all the same.
+        f'<article><h1>T</h1>{long * 2}<p class="notice">{said}{said}</p></article>': ["T", P, P, Q, Q],
+        f"<article>{long}<p>Then <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds.</p></article>": [P, "Then x=1 holds."],
+        f"<div>{short}</div>": [Q],
+        f"<div>{short}</div><div>{short}</div>": [Q, Q],  # a tie of densities
+    }
+    for page, want in pages.items():
+        whole = f"<html><body><nav><a href=1>Home</a><a href=2>About</a></nav>{page}<footer>Copyright</footer></body></html>"
+        assert main_text(whole) == " ".join(want), page
+    rows = spark.createDataFrame([(1, "u", "<p>one</p>", "old")] * 3, "page_id long, url string, html string, text string")
+    assert [tuple(r) for r in extract_pages(rows, keep=("page_id", "text")).collect()] == [(1, "one")] * 3
+
+
 def test_licenses(spark):
     rows = [
         ("a/LICENSE", "Released under the MIT License."), ("a/x/f.txt", "code\n# Licensed under the Apache License, Version 2.0.\nmore"), ("a/x/g.txt", "nothing"),
