@@ -9,9 +9,14 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+
+from ..plans.lineage import cut
 
 K1, B = 1.2, 0.75
 #: Folders of stored postings, by a hash of the term.
@@ -149,3 +154,179 @@ def phrase_bm25(
     tf = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / mean_length))
     scored = held.join(df, "terms").withColumn("part", idf * tf)
     return scored.join(named, "terms").groupBy(query, item).agg(F.round(F.sum(F.col("part") * F.col("times")), 6).alias("score"))
+
+
+#: Queries that one pass over the texts answers; more are answered in several passes. Items scored at once in a task.
+QUERIES_A_PASS, ITEMS_TOGETHER = 20_000, 2048
+
+
+class _Asked:
+    """The phrases of some queries as numbers: which terms they consist of, and which queries ask them how often."""
+
+    def __init__(self, said: list[tuple[list[str], list[tuple[int, int]]]]):
+        self.phrases = [p for p, _ in said]
+        number: dict[str, int] = {}
+        self.codes = [[number.setdefault(t, len(number)) for t in p] for p in self.phrases]
+        self.terms = pa.array(list(number), pa.string())
+        self.size = len(number)
+        self.single = np.full(self.size, -1, np.int64)  # the phrase that a term is alone
+        pairs = []
+        for k, c in enumerate(self.codes):
+            if len(c) == 1:
+                self.single[c[0]] = k
+            else:
+                pairs.append((c[0] * self.size + c[1], k))
+        pairs.sort()
+        self.pair_keys, self.pair_phrases = (np.array([x[j] for x in pairs], np.int64) for j in (0, 1))
+        counts = [len(q) for _, q in said]
+        self.bounds = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
+        self.queries = np.array([q for _, asked in said for q, _ in asked], np.int64)
+        self.times = np.array([n for _, asked in said for _, n in asked], np.float64)
+
+    def places(self, codes: np.ndarray, item: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Item and phrase of every place where a phrase begins. ``codes``: numbers of terms, -1 for others."""
+        at = np.flatnonzero(codes >= 0)
+        alone = self.single[codes[at]] if len(at) else at
+        found = [(item[at][alone >= 0], alone[alone >= 0])]
+        if len(self.pair_keys) and len(codes) > 1:
+            both = np.flatnonzero((codes[:-1] >= 0) & (codes[1:] >= 0) & (item[:-1] == item[1:]))
+            key = codes[both].astype(np.int64) * self.size + codes[both + 1]
+            first, last = np.searchsorted(self.pair_keys, key), np.searchsorted(self.pair_keys, key, side="right")
+            n = last - first
+            start = np.repeat(both, n)
+            phrase = self.pair_phrases[np.arange(n.sum()) + np.repeat(first - (np.cumsum(n) - n), n)]
+            ok = np.ones(len(start), bool)
+            for k in np.flatnonzero(np.array([len(c) > 2 for c in self.codes], bool)[phrase]):
+                c = self.codes[phrase[k]]
+                end = start[k] + len(c)
+                ok[k] = end <= len(codes) and item[end - 1] == item[start[k]] and codes[start[k] : end].tolist() == c
+            found.append((item[start[ok]], phrase[ok]))
+        return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def _phrase_counts(asked: _Asked, stemmer: Callable[[str], str] | None, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each item that holds a phrase: which ones, and how often."""
+    stems: dict[str, str] = {}
+    for batch in batches:
+        for at in range(0, batch.num_rows, ITEMS_TOGETHER):
+            some = batch.slice(at, ITEMS_TOGETHER)
+            words = some.column("w")
+            off = np.asarray(words.offsets, np.int64)
+            flat = words.values.slice(off[0], off[-1] - off[0])
+            if stemmer is None:
+                codes = pc.index_in(flat, value_set=asked.terms)
+            else:
+                coded = pc.dictionary_encode(flat)
+                for t in coded.dictionary.to_pylist():
+                    if t not in stems:
+                        stems[t] = stemmer(t)
+                known = [stems[t] for t in coded.dictionary.to_pylist()]
+                codes = pc.index_in(pa.array(known, pa.string()), value_set=asked.terms).take(coded.indices)
+                if len(stems) > 1_000_000:  # only a memory of what has been worked out
+                    stems.clear()
+            codes = codes.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+            sizes = np.diff(off)
+            item, phrase = asked.places(codes, np.repeat(np.arange(len(sizes)), sizes))
+            key, tf = np.unique(item * max(1, len(asked.phrases)) + phrase, return_counts=True)
+            row, phrase = key // max(1, len(asked.phrases)), key % max(1, len(asked.phrases))
+            cut = np.searchsorted(row, np.arange(len(sizes) + 1))
+            yield pa.record_batch(
+                {
+                    "item": some.column("item"),
+                    "dl": pa.array(sizes.astype(np.int32)),
+                    "phrases": pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(phrase.astype(np.int32))),
+                    "tfs": pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(tf.astype(np.int32))),
+                }
+            )
+
+
+def _best_matches(
+    asked: _Asked, n_queries: int, idf: np.ndarray, mean_length: float, k: int, item_type: pa.DataType, batches: Iterator[pa.RecordBatch]
+) -> Iterator[pa.RecordBatch]:
+    """The ``k`` best items of every query among a task's items."""
+    best_q, best_s = np.zeros(0, np.int64), np.zeros(0)
+    best_i = pa.array([], item_type)
+
+    def kept(q: np.ndarray, s: np.ndarray, ids: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+        place = np.empty(len(ids), np.int64)
+        place[np.asarray(pc.sort_indices(ids))] = np.arange(len(ids))
+        order = np.lexsort((place, -s, q))
+        first = np.searchsorted(q[order], q[order])
+        order = order[np.arange(len(order)) - first < k]
+        return q[order], s[order], ids.take(pa.array(order))
+
+    for batch in batches:
+        for at in range(0, batch.num_rows, ITEMS_TOGETHER):
+            some = batch.slice(at, ITEMS_TOGETHER)
+            off = np.asarray(some.column("phrases").offsets, np.int64)
+            phrase, tf = (np.asarray(some.column(c).values.slice(off[0], off[-1] - off[0]), np.int64) for c in ("phrases", "tfs"))
+            dl = np.asarray(some.column("dl"), np.float64)
+            rows = np.repeat(np.arange(len(dl)), np.diff(off))
+            part = idf[phrase] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl[rows] / mean_length))
+            fan = np.diff(asked.bounds)[phrase]
+            matrix = np.zeros(n_queries * len(dl))
+            ends = np.cumsum(fan)
+            x = 0
+            while x < len(fan):  # some millions of scores at a time
+                y = max(x + 1, int(np.searchsorted(ends, ends[x] + 4_000_000)))
+                n = fan[x:y]
+                j = np.arange(n.sum()) + np.repeat(asked.bounds[phrase[x:y]] - (np.cumsum(n) - n), n)
+                np.add.at(matrix, asked.queries[j] * len(dl) + np.repeat(rows[x:y], n), np.repeat(part[x:y], n) * asked.times[j])
+                x = y
+            matrix = np.round(matrix.reshape(n_queries, len(dl)), 6)
+            if len(dl) > k:
+                least = np.partition(matrix, len(dl) - k, axis=1)[:, len(dl) - k, None]
+                q, d = np.nonzero((matrix >= least) & (matrix > 0))
+            else:
+                q, d = np.nonzero(matrix > 0)
+            ids = pa.concat_arrays([best_i, some.column("item").take(pa.array(d))])
+            best_q, best_s, best_i = kept(np.concatenate([best_q, q]), np.concatenate([best_s, matrix[q, d]]), ids)
+    if len(best_q):
+        yield pa.record_batch({"number": pa.array(best_q), "item": best_i, "score": pa.array(best_s)})
+
+
+def top_matches(
+    queries: DataFrame,
+    chunks: DataFrame,
+    k: int,
+    stemmer: Callable[[str], str] | None = None,
+    query: str = "query_id",
+    text: str = "query",
+    item: str = "vector_id",
+    item_text: str = "text",
+) -> DataFrame:
+    """The ``k`` best items of every query by :func:`phrase_bm25`, whole texts of all items: ``query``, ``item``, ``score``, ``rank``.
+
+    Words of an item stay in one task: it counts the phrases asked (one pass, whose counts are written to the shared folder),
+    and with the document frequencies of all tasks it scores its items against all queries and hands on its ``k`` best of
+    each. So what is shuffled is ``k`` rows per query and task, however often words occur. ``QUERIES_A_PASS`` queries go along
+    with a task; of more, each pass takes as many. Ties go to the smaller item; scores of 0 are no match.
+    """
+    said = query_phrases(queries, query, text, stemmer)
+    named = said.groupBy(query, "phrase").agg(F.array_sort(F.collect_list(F.struct("at", "term"))).alias("t"))
+    named = cut(named.select(query, F.transform("t", lambda x: x["term"]).alias("terms")).groupBy(query, "terms").agg(F.count(F.lit(1)).alias("times")))
+    passes = max(1, -(-named.select(query).distinct().count() // QUERIES_A_PASS))
+    rows = chunks.select(F.col(item).alias("item"), tokens(F.col(item_text)).alias("w")).filter(F.size("w") > 0)
+    n_items, mean_length = sizes(chunks, item_text)
+    id_type, item_type = queries.schema[query].dataType.simpleString(), chunks.schema[item].dataType
+    arrow_item = to_arrow_type(item_type)
+    out = None
+    for number in range(passes):
+        own = named.filter(F.pmod(F.xxhash64(query), F.lit(passes)) == number).groupBy("terms").agg(F.collect_list(F.struct(query, "times")).alias("asked"))
+        held = sorted((list(r["terms"]), [(x[0], x[1]) for x in r["asked"]]) for r in own.collect())  # phrases of QUERIES_A_PASS queries
+        ids = sorted({q for _, asked in held for q, _ in asked})
+        place = {q: j for j, q in enumerate(ids)}
+        asked = _Asked([(p, [(place[q], n) for q, n in x]) for p, x in held])
+        counts = cut(rows.mapInArrow(lambda b, a=asked: _phrase_counts(a, stemmer, b), f"item {item_type.simpleString()}, dl int, phrases array<int>, tfs array<int>"))
+        df = np.zeros(max(1, len(held)))
+        for r in counts.select(F.explode("phrases").alias("p")).groupBy("p").count().collect():  # a row per phrase
+            df[r["p"]] = r["count"]
+        idf = np.maximum(1e-6, np.log((n_items - df + 0.5) / (df + 0.5)))
+        best = counts.filter(F.size("phrases") > 0).mapInArrow(
+            lambda b, a=asked, i=idf, n=len(ids): _best_matches(a, n, i, mean_length, k, arrow_item, b), f"number long, item {item_type.simpleString()}, score double"
+        )
+        numbered = queries.sparkSession.createDataFrame(list(enumerate(ids)), f"number long, `{query}` {id_type}")  # QUERIES_A_PASS rows
+        found = best.join(F.broadcast(numbered), "number").select(query, F.col("item").alias(item), "score")
+        out = found if out is None else out.unionByName(found)
+    order = F.row_number().over(Window.partitionBy(query).orderBy(F.desc("score"), item))
+    return out.withColumn("rank", order).filter(F.col("rank") <= k)

@@ -42,9 +42,7 @@ def phrase_list(
 ) -> DataFrame:
     """As :func:`lexical_list`, where a token with marks inside must be found as a phrase, and terms may be stemmed. Where ``allowed``
     has gaps the ranks keep theirs from before: the list is cut first."""
-    phrases = lexical.query_phrases(queries, stemmer=stemmer)
-    posted = lexical.positional_postings(chunks, stemmer=stemmer, terms=phrases)
-    out = ranking.ranked(lexical.phrase_bm25(phrases, posted, *lexical.sizes(chunks)), "query_id", "score", "vector_id", limit)
+    out = lexical.top_matches(queries, chunks, limit, stemmer)
     if allowed is None:
         return out
     kept = out.join(allowed.select("vector_id"), "vector_id", "left_semi").drop("rank")

@@ -73,6 +73,11 @@ def test_phrases(spark, chunks, stemmer, tmp_path):
     rows = [(i if k < 8 else 9, t) for k, (i, t) in enumerate(TEXTS)]
     want = brute(rows, queries, stemmer is not None)
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-5 for k in want)
+    for k in (1, 2, 20):
+        top = [(r.query_id, r.vector_id, r["rank"]) for r in lexical.top_matches(asked, chunks, k, stemmer).collect()]
+        best = {q: sorted(((-round(s, 6), i) for (p, i), s in want.items() if p == q and round(s, 6) > 0))[:k] for q, _ in queries}
+        assert sorted(top) == sorted((q, i, n + 1) for q, x in best.items() for n, (_, i) in enumerate(x))
+    assert lexical.top_matches(asked.limit(0), chunks, 3).count() == 0 and lexical.top_matches(asked, chunks.limit(0), 3).count() == 0
     # A token with hyphens is found as a phrase only: text 7 has all its words, none in that order.
     assert {i for q, i in got if q == 3} == {3, 4} and not [q for q, _ in got if q in (2, 5, 6)]
     assert max((s, -i) for (q, i), s in got.items() if q == 1)[1] == -1
