@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -86,6 +88,57 @@ def block_top(k: int, left: pa.Table, right: pa.Table) -> pa.Table:
     return pa.table({"l_id": left["l_id"].take(take_l), "r_id": right["r_id"].take(take_r), "cos": pa.array(cos, pa.float64())})
 
 
+#: Right rows that a left block is compared with at once.
+STEP = 2048
+
+
+def stream_top(k: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The ``k`` best right rows of each row of one left block, as :func:`block_top` has them. Rows come in the order of
+    ``side``: the left block first (0), then any number of right rows, of which some are held at a time."""
+    left: list[pa.RecordBatch] = []
+    unit, best, least = None, None, None
+
+    def merged(parts: list[tuple[np.ndarray, np.ndarray, pa.Array]]) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+        i, cos = (np.concatenate([x[j] for x in parts]) for j in (0, 1))
+        ids = pa.concat_arrays([x[2] for x in parts])
+        place = np.empty(len(ids), np.int64)
+        place[np.asarray(pc.sort_indices(ids))] = np.arange(len(ids))
+        order = np.lexsort((place, -cos, i))
+        order = order[np.arange(len(order)) - np.searchsorted(i[order], i[order]) < k]
+        return i[order], cos[order], ids.take(pa.array(order))
+
+    for batch in batches:
+        at = int(np.searchsorted(np.asarray(batch.column("side")), 1))
+        if at:
+            if unit is not None:
+                raise RuntimeError("a left row came behind right ones")
+            left.append(batch.slice(0, at))
+        for start in range(at, batch.num_rows, STEP):
+            if not left:
+                return
+            if unit is None:
+                rows = pa.Table.from_batches(left)
+                unit, skips = matrix(rows["vec"]), rows["skip"].to_numpy() if "skip" in rows.column_names else None
+                least = np.full(len(unit), -np.inf)
+            some = batch.slice(start, STEP)
+            scores = np.round(unit @ matrix(pa.chunked_array([some.column("vec")])).T, 6)
+            if skips is not None:
+                scores[skips[:, None] == some.column("skip").to_numpy(zero_copy_only=False)[None, :]] = -np.inf
+            if scores.shape[1] > k:
+                bound = np.maximum(least, np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k])
+            else:
+                bound = least
+            i, j = np.nonzero((scores >= bound[:, None]) & np.isfinite(scores))
+            found = (i, scores[i, j], some.column("r_id").take(pa.array(j)))
+            best = merged([found] if best is None else [best, found])
+            full = np.bincount(best[0], minlength=len(unit)) >= k
+            lowest = np.full(len(unit), np.inf)
+            np.minimum.at(lowest, best[0], best[1])
+            least = np.where(full, lowest, -np.inf)
+    if best is not None:
+        yield pa.record_batch({"l_id": rows["l_id"].combine_chunks().take(pa.array(best[0])), "r_id": best[2], "cos": pa.array(best[1])})
+
+
 def sides(df: DataFrame, side: str, own_id: str, skip: str | None, vector: str) -> DataFrame:
     """Rows with a vector, under the names that :func:`block_top` reads."""
     named = [F.col(own_id).alias(f"{side}_id"), F.col(vector).alias(f"{side}_vec")]
@@ -123,8 +176,8 @@ def knn_join(
     has don't matter. Fewer candidates than ``k`` give as many rows, ``k`` of 0 none. Null vectors have no neighbours;
     vectors of several lengths, and components that aren't finite, are a ValueError.
 
-    ``method="blocks"`` compares every pair of blocks by a matrix product in one task, which returns ``k`` rows per left
-    row. ``method="cells"`` goes through an inverted file of cells (:func:`.vector_index.cell_join`, which takes ``cells``).
+    ``method="blocks"`` compares each block of left rows with shares of the right side, which a task streams past it; it
+    returns ``k`` rows per left row and share. ``method="cells"`` goes through an inverted file of cells (:func:`.vector_index.cell_join`, which takes ``cells``).
     """
     if method == "cells":
         from .vector_index import build_index, cell_join
@@ -138,14 +191,32 @@ def knn_join(
     (n_left, dim_left), (n_right, dim_right) = measure(left, vector), measure(right, vector)
     if n_left and n_right and dim_left != dim_right:
         raise ValueError(f"the left vectors have {dim_left} dimensions, the right ones {dim_right}")
-    blocks_l, blocks_r = max(1, math.ceil(n_left / block)), max(1, math.ceil(n_right / block))
-    a = sides(left, "l", left_id, left_skip, vector).withColumn("l_lb", F.pmod(F.xxhash64("l_id"), F.lit(blocks_l)))
-    a = a.withColumn("l_rb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks_r - 1).cast("long"))))
-    b = sides(right, "r", right_id, right_skip, vector).withColumn("r_rb", F.pmod(F.xxhash64("r_id"), F.lit(blocks_r)))
-    b = b.withColumn("r_lb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks_l - 1).cast("long"))))
-    found = (
-        a.groupBy("l_lb", "l_rb").cogroup(b.groupBy("r_lb", "r_rb")).applyInArrow(lambda x, y: block_top(k, x, y), found_schema(a, b))
-    )
+    if not n_left or not n_right or k < 1:
+        a, b = sides(left, "l", left_id, left_skip, vector), sides(right, "r", right_id, right_skip, vector)
+        none = left.sparkSession.createDataFrame([], found_schema(a, b))
+        return best_of(none, k).select(F.col("l_id").alias(left_id), F.col("r_id").alias(right_id), "cos", "rank")
+    blocks = max(1, math.ceil(n_left / block))
+    # As many shares of the right side as keep all tasks busy: a share is streamed, so its size doesn't matter.
+    tasks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shares = max(1, min(math.ceil(tasks / blocks), math.ceil(n_right / block)))
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    a, b = sides(left, "l", left_id, left_skip, vector), sides(right, "r", right_id, right_skip, vector)
+    schema, id_l, id_r = found_schema(a, b), a.schema["l_id"].dataType, b.schema["r_id"].dataType
+    named = lambda p: [F.col(f"{p}_vec").alias("vec"), *([F.col(f"{p}_skip").alias("skip")] if left_skip else [])]
+    a = a.select(
+        F.pmod(F.xxhash64("l_id"), F.lit(blocks)).cast("int").alias("block"), upto(shares).alias("share"), F.lit(0).alias("side"),
+        "l_id", F.lit(None).cast(id_r).alias("r_id"), *named("l"),
+    )
+    b = b.select(
+        upto(blocks).alias("block"), F.pmod(F.xxhash64("r_id"), F.lit(shares)).cast("int").alias("share"), F.lit(1).alias("side"),
+        F.lit(None).cast(id_l).alias("l_id"), "r_id", *named("r"),
+    )
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from stream_top(k, batches)
+
+    dealt = a.unionByName(b).repartition("block", "share").sortWithinPartitions("block", "share", "side")
+    found = dealt.groupBy("block", "share").applyInArrow(best, schema)
     return best_of(found, k).select(F.col("l_id").alias(left_id), F.col("r_id").alias(right_id), "cos", "rank")
 
 
