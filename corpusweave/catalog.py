@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 
 from .functions import scalars
 from .functions.stemming import porter
-from .operators import chunking, context, corpus, graph, graph_rank, lexical, ranking
+from .operators import brief as brief_ops
+from .operators import chunking, context, corpus, graph, graph_rank, lexical, quantised, ranking
 from .operators.vectors import centroids, knn_join
-from .plans import binding, search
+from .plans import binding, modes, search
 from .plans.binding import AS_OF, SQL, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -72,6 +73,26 @@ def knn_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.withColumn("rank", F.col("rank").cast("long"))
 
 
+@register(f"""WITH {SQL}, {_NEAR}, modes AS (SELECT *, CASE WHEN query_id % 300 = 0 THEN 7 WHEN query_id % 200 = 0 THEN 40 ELSE 10 END AS k, CASE WHEN query_id % 200 = 0 THEN 0.0 ELSE 0.3 END AS floor FROM near),
+    pool AS (SELECT *, round(0.85 * cos + 0.05 * {_RECENCY} + 0.10 * {_IMPORTANCE}, 6) AS score FROM modes WHERE rank <= 4 * k AND cos >= floor),
+    placed AS (SELECT * EXCLUDE (rank), row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vector_id) AS rank FROM pool)
+    SELECT query_id, vector_id, cos, score, rank FROM placed WHERE rank <= k""")
+def mode_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Narrow and wide queries, and some with a number of hits of their own, in one search."""
+    q = F.col("query_id")
+    asked = binding.query_vectors(spark, sf_dir).withColumn("mode", F.when(q % 200 == 0, "wide")).withColumn("k", F.when(q % 300 == 0, 7))
+    out = modes.mode_search(asked, binding.chunks(spark, sf_dir), F.lit(AS_OF).cast("timestamp"))
+    return out.withColumn("rank", F.col("rank").cast("long"))
+
+
+@register(f"""WITH {SQL}, pairs AS (SELECT q.vector_id AS query_id, c.vector_id, {_QC} AS cos, row_number() OVER (PARTITION BY q.vector_id ORDER BY {_QC} DESC, c.vector_id) AS rank
+    FROM chunks q JOIN chunks c ON q.doc_id <> c.doc_id WHERE q.vector_id % 100 = 0) SELECT query_id, vector_id, cos, rank FROM pairs WHERE rank <= 10""")
+def quantised_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nearest chunks of other documents over 4-bit codes, with exact cosines for what can still win."""
+    near = quantised.quantised_join(binding.query_vectors(spark, sf_dir), binding.chunks(spark, sf_dir), 10, "query_id", "vector_id", "query_doc", "doc_id")
+    return near.withColumn("rank", F.col("rank").cast("long"))
+
+
 def _neighbours(spark: SparkSession, sf_dir: str, k: int = 6) -> DataFrame:
     c = binding.chunks(spark, sf_dir).select("vector_id", "doc_id", "embedding")
     left = c.select(F.col("vector_id").alias("x_id"), F.col("doc_id").alias("x_doc"), "embedding")
@@ -345,6 +366,59 @@ def top_sparks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.orderBy(F.desc("surprise"), "src_chunk", "dst_chunk", "kind").limit(50)
 
 
+def _titled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = binding.documents(spark, sf_dir)
+    return docs.withColumn("title", F.when(F.col("doc_id") % 3 != 0, F.concat(F.lit("Title "), "doc_id")))
+
+
+def _listed(spark: SparkSession, sf_dir: str, kind: str | None) -> DataFrame:
+    snippet = binding.chunks(spark, sf_dir, text=True).withColumn("snippet", scalars.char_snippet(F.coalesce("text", F.lit("")), 40))
+    return brief_ops.list_sparks(_surprises(spark, sf_dir), snippet, _titled(spark, sf_dir), kind=kind)
+
+
+_TITLE = "CASE WHEN {0} % 3 <> 0 THEN 'Title ' || {0} ELSE CAST({0} AS VARCHAR) END"
+_LISTED = f"""snippets AS (SELECT vector_id, c.doc_id, section_type, CASE WHEN length(coalesce(text, '')) <= 40 THEN coalesce(text, '') ELSE text[1:40] || '…' END AS snippet
+    FROM chunks c LEFT JOIN documents d ON d.doc_id = vector_id),
+listed AS (SELECT e.kind, e.kind = 'need_solution' AS directed, surprise, similarity, s.doc_id AS src_doc, {_TITLE.format("s.doc_id")} AS src_title, s.section_type AS src_section, src_chunk, s.snippet AS src_snippet,
+    d.doc_id AS dst_doc, {_TITLE.format("d.doc_id")} AS dst_title, d.section_type AS dst_section, dst_chunk, d.snippet AS dst_snippet
+    FROM edges e JOIN snippets s ON s.vector_id = src_chunk JOIN snippets d ON d.vector_id = dst_chunk)"""
+
+
+@register(f"WITH {SQL}, {_PAIRS}, {_LISTED} SELECT * FROM listed WHERE kind = 'cross_domain' ORDER BY surprise DESC, src_chunk, dst_chunk, kind LIMIT 50")
+def spark_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The most surprising edges across domains, with titles and snippets."""
+    return _listed(spark, sf_dir, "cross_domain")
+
+
+@register(f"""WITH {SQL}, {_PAIRS}, {_LISTED},
+    cands AS (SELECT vector_id AS cand_id, label / 10.0 AS score, embedded_at, CASE vector_id % 3 WHEN 0 THEN 'new' ELSE 'dismissed' END AS status FROM chunks),
+    best AS (SELECT * FROM cands WHERE status = 'new' ORDER BY score DESC, embedded_at DESC NULLS LAST, cand_id LIMIT 12),
+    top AS (SELECT * FROM listed ORDER BY surprise DESC, src_chunk, dst_chunk, kind LIMIT 5),
+    shown AS (SELECT d.doc_id, d.kind, trim(coalesce(text, '')) AS body FROM docs d LEFT JOIN documents t ON t.doc_id = d.doc_id * 5
+        WHERE kind IN ('note', 'reflection') ORDER BY CASE WHEN d.doc_id % 40 < 20 THEN '2024' || CAST(d.doc_id % 7 AS VARCHAR) END NULLS FIRST, d.doc_id LIMIT 1)
+    SELECT (SELECT string_agg(CAST(cand_id AS VARCHAR), ',' ORDER BY score DESC, embedded_at DESC NULLS LAST, cand_id) FROM best) AS new_ids,
+        (SELECT string_agg(src_title || '/' || dst_title || '/' || kind, ',' ORDER BY surprise DESC, src_chunk, dst_chunk, kind) FROM top) AS sparks,
+        (SELECT doc_id FROM shown) AS shown_doc, (SELECT kind FROM shown) AS shown_kind,
+        (SELECT CASE WHEN length(body) <= 280 THEN body ELSE body[1:280] || '…' END FROM shown) AS snippet,
+        (SELECT count(*) FROM docs) AS n_documents, (SELECT count(*) FROM cands WHERE status = 'new') AS n_new, (SELECT count(DISTINCT label) FROM embeddings) AS n_watches""")
+def daily_brief(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row: new candidates, sparks, a note or reflection not seen for long, and counts."""
+    c, d = binding.chunks(spark, sf_dir, text=True), F.col("doc_id")
+    cands = c.select(F.col("vector_id").alias("cand_id"), (F.col("label") / 10.0).alias("score"), F.col("embedded_at").alias("published_at"), F.when(F.col("vector_id") % 3 == 0, "new").otherwise("dismissed").alias("status"))
+    bodies = c.filter("vector_id % 5 = 0").select("doc_id", F.col("text").alias("body"))
+    docs = _titled(spark, sf_dir).join(bodies, "doc_id", "left")
+    cursor = docs.filter(d % 40 < 20).select("doc_id", F.concat(F.lit("2024"), d % 7).alias("shown_at"))
+    watches = c.select("label").distinct()
+    out, _ = brief_ops.brief(cands, _listed(spark, sf_dir, None), docs, watches, cursor, F.lit(AS_OF))
+    joined = lambda c, x: F.array_join(F.transform(c, x), ",")
+    return out.select(
+        joined("new_documents", lambda x: x["cand_id"].cast("string")).alias("new_ids"),
+        joined("sparks", lambda x: F.concat_ws("/", x["src_title"], x["dst_title"], x["kind"])).alias("sparks"),
+        F.col("resurfaced.doc_id").alias("shown_doc"), F.col("resurfaced.kind").alias("shown_kind"), F.col("resurfaced.snippet").alias("snippet"),
+        F.col("stats.documents").alias("n_documents"), F.col("stats.new_candidates").alias("n_new"), F.col("stats.watches").alias("n_watches"),
+    )
+
+
 @register(f"""WITH {SQL}, found AS (
     SELECT q.vector_id AS problem, c.vector_id AS solution, c.doc_id, {_QC} AS cos FROM chunks q JOIN chunks c ON q.doc_id <> c.doc_id
     WHERE q.section_type IN ('limitations', 'future_work') AND c.section_type IN ('method', 'applications')),
