@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .functions import scalars
 from .functions.stemming import porter
 from .operators import brief as brief_ops
-from .operators import chunking, context, corpus, graph, graph_rank, lexical, quantised, ranking
+from .operators import chunking, context, corpus, graph, graph_rank, lexical, library, quantised, ranking
 from .operators.vectors import centroids, knn_join
 from .plans import binding, modes, search
 from .plans.binding import AS_OF, SQL, table
@@ -419,6 +419,63 @@ def daily_brief(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@register(f"""WITH {SQL}, {_SIMILAR}, {_EDGES}, weighted AS (SELECT a, b, CASE is_link WHEN 1 THEN 101.0 ELSE similar_weight END AS strength FROM graph_edges),
+    ends AS (SELECT a AS node, b AS neighbour, strength FROM weighted UNION ALL SELECT b, a, strength FROM weighted)
+    SELECT node, neighbour, strength, row_number() OVER (PARTITION BY node ORDER BY strength DESC, neighbour) AS place FROM ends""")
+def graph_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Neighbours of every document, links first."""
+    nodes = binding.documents(spark, sf_dir).select(F.col("doc_id").alias("node"))
+    return library.neighbours(_graph(spark, sf_dir), nodes).withColumn("place", F.col("place").cast("long"))
+
+
+@register(f"""WITH {SQL}, t AS (SELECT d.doc_id, coalesce(d.project, 'global') AS project, substr(trim(coalesce(text, '')), 1, 200) AS preview, d.n_chunks
+    FROM docs d LEFT JOIN documents x ON x.doc_id = d.doc_id * 5 WHERE d.kind = 'note') SELECT doc_id, project, preview FROM t""")
+def note_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Standalone notes with previews."""
+    bodies = binding.chunks(spark, sf_dir, text=True).filter("vector_id % 5 = 0").select("doc_id", F.trim("text").alias("body"))
+    docs = binding.documents(spark, sf_dir).join(bodies, "doc_id", "left").withColumns({"title": F.lit("t"), "updated_at": F.lit("2024")})
+    return library.list_notes(docs).select("doc_id", "project", "preview")
+
+
+@register(f"""WITH {SQL}, marks AS (SELECT user_id AS doc_id, min(epoch_us(ts)) AS created_at FROM events GROUP BY user_id)
+    SELECT doc_id, created_at, n_chunks FROM marks JOIN docs USING (doc_id)""")
+def bookmark_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that a user's first event marks; marks of other documents are dropped."""
+    at = F.unix_micros(F.col("ts").cast("timestamp_ltz"))
+    first = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("doc_id")).agg(F.min(at).alias("created_at"))
+    marks = library.insert_or_ignore(first.limit(0), first, ["doc_id"])
+    return library.list_bookmarks(marks, binding.documents(spark, sf_dir)).select("doc_id", "created_at", "n_chunks")
+
+
+@register("""WITH n AS (SELECT conv_id * 1000 + turn AS id FROM conversations) SELECT p.id AS parent, c.id FROM n p JOIN n c ON c.id = p.id + 1""")
+def turn_children(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of conversations with those that stem from them."""
+    turns = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"))
+    nodes = turns.withColumn("parents", F.array(F.col("id") - 1))
+    return library.children(nodes, turns).select("parent", "id")
+
+
+@register(f"""WITH {SQL}, ids AS (SELECT vector_id, row_number() OVER (ORDER BY vector_id) - 1 AS nth, count(*) OVER () AS n FROM chunks),
+    looked AS (SELECT vector_id FROM ids WHERE nth % greatest(1, n // 10) = 0 AND nth < 10 * greatest(1, n // 10)),
+    indexed AS (SELECT vector_id FROM chunks WHERE vector_id % 50 <> 0)
+    SELECT (SELECT count(*) FROM chunks) AS n_chunks, (SELECT count(*) FROM indexed) AS n_indexed, (SELECT count(*) FROM looked) AS checked,
+        (SELECT count(*) FROM looked WHERE vector_id NOT IN (SELECT vector_id FROM indexed)) AS missing,
+        (SELECT count(*) FROM chunks) = (SELECT count(*) FROM indexed) AND (SELECT count(*) FROM looked WHERE vector_id NOT IN (SELECT vector_id FROM indexed)) = 0 AS ok""")
+def verify_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A spot check of an index that lacks every fiftieth chunk."""
+    c = binding.chunks(spark, sf_dir).select("vector_id")
+    return library.verify(c, c.filter("vector_id % 50 <> 0"))
+
+
+@register("""WITH n AS (SELECT conv_id AS doc_id, string_agg(chr(10) || '---' || chr(10) || '_' || lpad(CAST(turn AS VARCHAR), 4, '0') || ' (added via HTTP)_' || chr(10) || chr(10) || text || chr(10), '' ORDER BY turn) AS more
+    FROM conversations WHERE text IS NOT NULL GROUP BY conv_id) SELECT d.doc_id, sha256('# Notes' || coalesce(more, '')) AS notes_sha256 FROM documents d LEFT JOIN n USING (doc_id)""")
+def appended_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of conversations as notes on the document with their number."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.lit("# Notes").alias("notes_md"))
+    notes = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("text").alias("note"), F.lpad(F.col("turn").cast("string"), 4, "0").alias("at"))
+    return library.append_notes(docs, notes).select("doc_id", F.sha2("notes_md", 256).alias("notes_sha256"))
+
+
 @register(f"""WITH {SQL}, found AS (
     SELECT q.vector_id AS problem, c.vector_id AS solution, c.doc_id, {_QC} AS cos FROM chunks q JOIN chunks c ON q.doc_id <> c.doc_id
     WHERE q.section_type IN ('limitations', 'future_work') AND c.section_type IN ('method', 'applications')),
