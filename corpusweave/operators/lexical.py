@@ -241,9 +241,10 @@ def _phrase_counts(asked: _Asked, stemmer: Callable[[str], str] | None, batches:
 
 
 def _best_matches(
-    asked: _Asked, n_queries: int, idf: np.ndarray, mean_length: float, k: int, item_type: pa.DataType, batches: Iterator[pa.RecordBatch]
+    asked: _Asked, floor: np.ndarray, idf: np.ndarray, mean_length: float, k: int, item_type: pa.DataType, batches: Iterator[pa.RecordBatch]
 ) -> Iterator[pa.RecordBatch]:
-    """The ``k`` best items of every query among a task's items."""
+    """The ``k`` best items of every query among a task's items, of those that reach the query's ``floor``."""
+    n_queries = len(floor)
     best_q, best_s = np.zeros(0, np.int64), np.zeros(0)
     best_i = pa.array([], item_type)
 
@@ -274,11 +275,8 @@ def _best_matches(
                 np.add.at(matrix, asked.queries[j] * len(dl) + np.repeat(rows[x:y], n), np.repeat(part[x:y], n) * asked.times[j])
                 x = y
             matrix = np.round(matrix.reshape(n_queries, len(dl)), 6)
-            if len(dl) > k:
-                least = np.partition(matrix, len(dl) - k, axis=1)[:, len(dl) - k, None]
-                q, d = np.nonzero((matrix >= least) & (matrix > 0))
-            else:
-                q, d = np.nonzero(matrix > 0)
+            least = np.partition(matrix, len(dl) - k, axis=1)[:, len(dl) - k] if len(dl) > k else np.zeros(n_queries)
+            q, d = np.nonzero((matrix >= np.maximum(least, floor)[:, None]) & (matrix > 0))
             ids = pa.concat_arrays([best_i, some.column("item").take(pa.array(d))])
             best_q, best_s, best_i = kept(np.concatenate([best_q, q]), np.concatenate([best_s, matrix[q, d]]), ids)
     if len(best_q):
@@ -299,7 +297,7 @@ def top_matches(
 
     Words of an item stay in one task: it counts the phrases asked (one pass, whose counts are written to the shared folder),
     and with the document frequencies of all tasks it scores its items against all queries and hands on its ``k`` best of
-    each. So what is shuffled is ``k`` rows per query and task, however often words occur. ``QUERIES_A_PASS`` queries go along
+    each. So what is shuffled is ``k`` rows per query and task at most, however often words occur. ``QUERIES_A_PASS`` queries go along
     with a task; of more, each pass takes as many. Ties go to the smaller item; scores of 0 are no match.
     """
     said = query_phrases(queries, query, text, stemmer)
@@ -322,9 +320,17 @@ def top_matches(
         for r in counts.select(F.explode("phrases").alias("p")).groupBy("p").count().collect():  # a row per phrase
             df[r["p"]] = r["count"]
         idf = np.maximum(1e-6, np.log((n_items - df + 0.5) / (df + 0.5)))
-        best = counts.filter(F.size("phrases") > 0).mapInArrow(
-            lambda b, a=asked, i=idf, n=len(ids): _best_matches(a, n, i, mean_length, k, arrow_item, b), f"number long, item {item_type.simpleString()}, score double"
-        )
+        filled, schema = counts.filter(F.size("phrases") > 0), f"number long, item {item_type.simpleString()}, score double"
+        # A quarter of the tasks' files first: a query's k-th best score there is a floor for the others, which then have little
+        # to hand on, however many they are.
+        early = F.pmod(F.xxhash64("_metadata.file_path"), F.lit(4)) == 0
+        floor = np.zeros(len(ids))
+        scored = lambda rows, f: rows.drop("file").mapInArrow(lambda b, a=asked, i=idf: _best_matches(a, f, i, mean_length, k, arrow_item, b), schema)
+        first = cut(scored(filled.filter(early), floor))
+        order = Window.partitionBy("number").orderBy(F.desc("score"))
+        for r in first.withColumn("n", F.row_number().over(order)).filter(F.col("n") == k).collect():  # a row per query of the pass
+            floor[r["number"]] = r["score"]
+        best = first.unionByName(scored(filled.filter(~early), floor))
         numbered = queries.sparkSession.createDataFrame(list(enumerate(ids)), f"number long, `{query}` {id_type}")  # QUERIES_A_PASS rows
         found = best.join(F.broadcast(numbered), "number").select(query, F.col("item").alias(item), "score")
         out = found if out is None else out.unionByName(found)
