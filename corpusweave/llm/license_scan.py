@@ -32,11 +32,18 @@ TEMPLATES = [
     ("MIT", "Released under the MIT License."),
     ("MIT", "SPDX-License-Identifier: MIT"),
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met."),
+    ("BSD-2-Clause", "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."),
+    ("BSD-3-Clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("ISC", "ISC License"),
     ("BSD-3-Clause", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."),
-    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License, either version 3 of the License, or any later version."),
+    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License, version 2."),
-    ("LGPL-3.0", "This library is free software; you can redistribute it under the terms of the GNU Lesser General Public License, version 3."),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation."),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("LGPL-3.0", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 3 of the License, or (at your option) any later version."),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
@@ -58,6 +65,10 @@ TEMPLATES = [
     ("CC-BY-SA-4.0", "Creative Commons Attribution-ShareAlike 4.0 International Public License"),
 ]
 
+#: How templates begin that stand in other licences too: a notice of theirs counts where no other one is found. The later of
+#: these says more than the earlier.
+GENERAL = ("Redistribution and use in source and binary forms", "Redistributions in binary form must reproduce")
+
 # Fixed value: a term is a run of letters and digits, with dots inside numbers.
 TERM = r"[0-9]+(?:\.[0-9]+)*|[a-z]+"
 
@@ -134,7 +145,8 @@ def scan(
 ) -> DataFrame:
     """The best licence per path: ``path``, ``license``, ``score``, ``line`` (from 1; of a run the first; 0: the whole text).
 
-    Paths without a notice of at least ``threshold`` are absent. Ties go to the earliest line, then to the name.
+    Paths without a notice of at least ``threshold`` are absent. Notices of ``GENERAL`` templates come behind all others. Ties
+    go to the earliest line, then to the name. Of several texts with one path each is scored by itself, and the best counts.
     """
     spark = files.sparkSession
     entries = template_vectors(spark, templates, threshold)
@@ -145,16 +157,17 @@ def scan(
     any_heavy = "(?<![0-9a-z])(?:" + "|".join(t.replace(".", "\\.") for t in heavy) + ")(?![0-9a-z])"
     text = F.lower(F.coalesce(F.col(text_col), F.lit("")))
     some = files.select(F.col(path_col).alias("path"), text.alias("t")).filter(F.col("t").rlike(any_heavy))
+    some = some.withColumn("own", F.sha2("t", 256))  # a path may have several texts
     known, heavy = F.array(*[F.lit(t) for t in sorted({r.term for r in table})]), F.array(*[F.lit(t) for t in heavy])
     longest = max(len(re.findall(TERM, body.lower())) for _, body in templates)
     reaches = lambda w: _reaches(F.array_intersect(w, known), table, threshold)
     # Explodes of one element, so that terms are worked out once. No part reaches what the text doesn't.
-    some = some.select("path", "t", F.explode(F.array(terms(F.col("t")))).alias("all")).filter(reaches(F.col("all")))
+    some = some.select("path", "own", "t", F.explode(F.array(terms(F.col("t")))).alias("all")).filter(reaches(F.col("all")))
     lines = F.filter(
         F.transform(F.split("t", "\n", -1), lambda x, i: F.struct((i + 1).alias("line"), terms(x).alias("w"))),
         lambda s: F.size(s["w"]) > 0,
     )
-    some = some.select("path", "all", F.explode(F.array(lines)).alias("lines"))
+    some = some.select("path", "own", "all", F.explode(F.array(lines)).alias("lines"))
     part = lambda line, upto, w: F.struct(line.alias("line"), upto.alias("upto"), w.alias("w"))
     singles = F.transform(F.filter("lines", lambda s: F.arrays_overlap(s["w"], heavy)), lambda s: part(s["line"], F.size(s["w"]), s["w"]))
     # From each line on: the terms of the longest run, and where its lines end, each as a run's end.
@@ -181,9 +194,9 @@ def scan(
         )
     )
     whole = F.array(part(F.lit(0), F.lit(0), F.col("all")))
-    near = some.select("path", F.inline(F.concat(whole, singles, runs))).filter(reaches(F.col("w")))
+    near = some.select("path", "own", F.inline(F.concat(whole, singles, runs))).filter(reaches(F.col("w")))
     near = near.filter(_close(F.col("w"), known, table, unknown, threshold))
-    of = ["path", "line", "upto"]
+    of = ["path", "own", "line", "upto"]
     parts = near.select(*of, F.explode("w").alias("term"))
     tf = parts.groupBy(*of, "term").agg(F.count(F.lit(1)).alias("tf"))
     idf = spark.createDataFrame(
@@ -202,12 +215,15 @@ def scan(
     )
     per_line = dots.groupBy(*of).agg(
         F.max("square").alias("square"),
-        F.min(F.when(F.col("template") >= 0, F.struct((-F.col("dot")).alias("d"), "license"))).alias("best"),
+        F.min(F.when(F.col("template") >= 0, F.struct((-F.col("dot")).alias("d"), "license", "template"))).alias("best"),
     )
+    general = lambda body: next((len(GENERAL) - k for k, g in enumerate(GENERAL) if body.startswith(g)), 0)
+    ranks = [general(body) for _, body in templates]
+    rank = F.element_at(F.array(*map(F.lit, ranks)), F.col("best.template") + 1)
     scored = per_line.select(
-        "path", "line", F.col("best.license").alias("license"), F.round(-F.col("best.d") / F.sqrt("square"), 6).alias("score")
+        "path", "line", F.col("best.license").alias("license"), F.round(-F.col("best.d") / F.sqrt("square"), 6).alias("score"), rank.alias("rank")
     ).filter(F.col("score") >= threshold)
-    best = scored.groupBy("path").agg(F.min(F.struct((-F.col("score")).alias("s"), "line", "license")).alias("b"))
+    best = scored.groupBy("path").agg(F.min(F.struct("rank", (-F.col("score")).alias("s"), "line", "license")).alias("b"))
     return best.select("path", F.col("b.license").alias("license"), (-F.col("b.s")).alias("score"), F.col("b.line").alias("line"))
 
 
@@ -260,7 +276,7 @@ def license_scan(files: DataFrame, path_col: str = "path", text_col: str = "text
     """Scan and inheritance for a table of files; one row per row of ``files``.
 
     * Null and empty texts have no notice; a null path gets a row without licence.
-    * Repeated paths should hold one text: each of their rows gets the best notice among them.
+    * Repeated paths: each of their texts is scored by itself, and each of their rows gets the best notice among them.
     * Ties: see :func:`scan`. An empty table gives an empty result; further columns are ignored.
     """
     return inherit(files, scan(files.filter(F.col(path_col).isNotNull()), path_col, text_col, templates, threshold), path_col)

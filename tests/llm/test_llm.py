@@ -348,6 +348,113 @@ def test_wrapped_licenses(spark):
     assert got == {"a/f.py": ("LGPL-3.0", 3), "a/g.py": ("MIT", 121), "a/h.py": ("GPL-3.0", 1), "a/i.py": ("MIT", 1), "b/COPYING": ("GPL-3.0", 1)}
 
 
+# Notices as they stand in files.
+HEADERS = {
+    "GPL-3.0": """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.""",
+    "GPL-2.0": """Frobnicate is free software; you can redistribute it and/or
+modify it under the terms of the GNU General Public License
+as published by the Free Software Foundation; either version 2
+of the License, or (at your option) any later version.""",
+    "AGPL-3.0": """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU Affero General Public License as
+published by the Free Software Foundation, either version 3 of the
+License, or (at your option) any later version.""",
+    "LGPL-2.1": """This library is free software; you can redistribute it and/or
+modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation; either
+version 2.1 of the License, or (at your option) any later version.""",
+    "LGPL-3.0": """Frob is free software: you can redistribute it and/or modify it under the terms
+of the GNU Lesser General Public License as published by the Free Software Foundation,
+either version 3 of the License, or (at your option) any later version.""",
+    "BSD-2-Clause": """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.""",
+    "ISC": """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES""",
+    "MPL-2.0": """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/.""",
+    "Apache-2.0": """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at""",
+    "MIT": """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction""",
+}
+HEADERS["BSD-3-Clause"] = HEADERS["BSD-2-Clause"] + """
+
+3. Neither the name of the Frob Company nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission."""
+
+
+def cosine_scan(rows, templates=license_scan.TEMPLATES, threshold=license_scan.THRESHOLD):
+    """Every line, run of lines and whole text against every template, by plain dictionaries."""
+    split = lambda t: re.findall(license_scan.TERM, t.lower())
+    bags = [collections.Counter(split(b)) for _, b in templates]
+    df = collections.Counter(t for bag in bags for t in bag)
+    idf = lambda t: np.log((1 + len(bags)) / (1 + df[t])) + 1
+    vector = lambda bag: {t: n * idf(t) for t, n in bag.items()}
+    size = lambda v: sum(x * x for x in v.values()) ** 0.5
+    units = [{t: x / size(v) for t, x in v.items()} for v in map(vector, bags)]
+    rank = [next((len(license_scan.GENERAL) - k for k, g in enumerate(license_scan.GENERAL) if b.startswith(g)), 0) for _, b in templates]
+    longest, best = max(sum(b.values()) for b in bags), {}
+    for path, text in rows:
+        lines = [(n + 1, split(x)) for n, x in enumerate((text or "").split("\n"))]
+        lines = [x for x in lines if x[1]]
+        parts = [(0, [t for _, w in lines for t in w])]
+        for k in range(len(lines)):
+            run = []
+            for _, w in lines[k:]:
+                if len(run) >= longest:
+                    break
+                run = run + w
+                parts.append((lines[k][0], run))
+        for line, w in parts:
+            v = vector(collections.Counter(w))
+            scores = [(-sum(x * u.get(t, 0) for t, x in v.items()) / (size(v) or 1), templates[k][0], k) for k, u in enumerate(units)]
+            s, name, k = min(scores)
+            if round(-s, 6) >= threshold:
+                found = (rank[k], round(s, 6), line, name)
+                best[path] = min(best.get(path, found), found)
+    return {p: (name, line, -s) for p, (_, s, line, name) in best.items()}
+
+
+def test_license_headers(spark):
+    code = "def f(x):\n    return x + 1\n"
+    rows = [(f"{name}/{k}", f(text)) for name, text in HEADERS.items() for k, f in enumerate((
+        lambda t: t, lambda t: "Copyright 2020 A B\n\n" + t + "\n" + code, lambda t: code + "".join(f"# {x}\n" for x in t.split("\n")) + code,
+        lambda t: "/*\n" + "\n".join(" * " + x for x in textwrap.wrap(t, 40)) + "\n */\n" + code,
+    ))]
+    rng = random.Random(7)
+    words = [w for t in HEADERS.values() for w in t.split()]
+    rows += [(f"mixed/{k}", "".join(rng.choice(words) + rng.choice("   \n") for _ in range(rng.randrange(80)))) for k in range(40)]
+    rows += [("twice", "Licensed under CC BY 4.0."), ("twice", "Released under the MIT License."), ("twice", "Released under the MIT License."), ("tie", "Licensed under CC BY 4.0.\nReleased under the MIT License."), ("long", code * 3000 + HEADERS["MIT"]), ("none", None)]
+    got = {r.path: (r.license, r.line, r.score) for r in license_scan.scan(spark.createDataFrame(rows, "path string, text string")).collect()}
+    assert {p: got[p][0] for p, _ in rows if p.split("/")[0] in HEADERS} == {p: p.split("/")[0] for p, _ in rows if p.split("/")[0] in HEADERS}
+    want = cosine_scan([r for r in rows if r[0] != "long"])
+    assert {p: x[:2] for p, x in got.items() if p != "long"} == {p: x[:2] for p, x in want.items()}
+    assert all(abs(got[p][2] - want[p][2]) < 2e-6 for p in want)
+    assert got["twice"] == ("CC-BY-4.0", 0, 1.0) and got["tie"][:2] == ("CC-BY-4.0", 1) and got["long"][0] == "MIT"
+
+
 def test_classifiers(spark, empty):
     rng = random.Random(2)
     en = ["the", "and", "which", "thing", "with", "ought", "house", "over"]
