@@ -7,7 +7,6 @@ for all others the whole vectors are joined and compared. The result equals the
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..plans.lineage import cut
-from .vectors import BLOCK, STEP, best_of, cosine, matrix, measure, sides
+from .vectors import BLOCK, STEP, best_of, cosine, dealing, matrix, measure, sides
 
 #: Rounding of cosines to 6 digits, and of bounds in floating point.
 _MARGIN = 2e-6
@@ -92,8 +91,7 @@ def quantised_candidates(
     n, dim = measure(left, vector)
     n_right = codes.count()
     tasks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    blocks = max(1, math.ceil(n / block))
-    shares = max(1, min(math.ceil(tasks / blocks), math.ceil(n_right / block)))
+    blocks, shares = dealing(n, n_right, tasks, block)
     upto = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
     a, b = sides(left, "l", left_id, left_skip, vector), codes
     none = lambda c, t: F.lit(None).cast(t).alias(c)

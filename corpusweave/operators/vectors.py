@@ -88,8 +88,15 @@ def block_top(k: int, left: pa.Table, right: pa.Table) -> pa.Table:
     return pa.table({"l_id": left["l_id"].take(take_l), "r_id": right["r_id"].take(take_r), "cos": pa.array(cos, pa.float64())})
 
 
-#: Right rows that a left block is compared with at once.
-STEP = 2048
+#: Right rows that a left block is compared with at once, and rows of a left block at least where there are tasks for more.
+STEP, LEAST_BLOCK = 2048, 1024
+
+
+def dealing(n_left: int, n_right: int, tasks: int, block: int) -> tuple[int, int]:
+    """Blocks of the left side and shares of the right one: as many pairs as keep all tasks busy. Every share gives ``k`` rows for
+    each left row, so smaller blocks come first. A share is streamed, so its size doesn't matter."""
+    blocks = max(1, math.ceil(n_left / block), min(tasks, n_left // LEAST_BLOCK))
+    return blocks, max(1, min(math.ceil(tasks / blocks), math.ceil(n_right / block)))
 
 
 def stream_top(k: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,10 +202,8 @@ def knn_join(
         a, b = sides(left, "l", left_id, left_skip, vector), sides(right, "r", right_id, right_skip, vector)
         none = left.sparkSession.createDataFrame([], found_schema(a, b))
         return best_of(none, k).select(F.col("l_id").alias(left_id), F.col("r_id").alias(right_id), "cos", "rank")
-    blocks = max(1, math.ceil(n_left / block))
-    # As many shares of the right side as keep all tasks busy: a share is streamed, so its size doesn't matter.
     tasks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    shares = max(1, min(math.ceil(tasks / blocks), math.ceil(n_right / block)))
+    blocks, shares = dealing(n_left, n_right, tasks, block)
     upto = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     a, b = sides(left, "l", left_id, left_skip, vector), sides(right, "r", right_id, right_skip, vector)
     schema, id_l, id_r = found_schema(a, b), a.schema["l_id"].dataType, b.schema["r_id"].dataType

@@ -70,8 +70,8 @@ def phrase_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def corpus_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Queries with a text and a vector: every hundredth chunk that has both."""
-    return query_vectors(spark, sf_dir).join(query_texts(spark, sf_dir), "query_id")
+    """Every hundredth chunk with its vector, and the query of its text where it has one."""
+    return query_vectors(spark, sf_dir).join(query_texts(spark, sf_dir), "query_id", "left")
 
 
 #: The same tables for SQL.
