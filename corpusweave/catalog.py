@@ -583,10 +583,10 @@ def change_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .streaming.changes import document_events
 
     parts = [F.concat_ws("", *(F.lit(x) if k == 0 else F.concat(F.col("user_id").cast("string"), F.lit(x)) for k, x in enumerate(p.split("{0}")))) for p in _PATHS]
-    path = F.concat(F.lit("kb/"), F.element_at(F.array(*parts), (F.col("event_id") % len(_PATHS) + 1).cast("int")))
+    path = F.concat(F.lit("corpus/"), F.element_at(F.array(*parts), (F.col("event_id") % len(_PATHS) + 1).cast("int")))
     op = F.when(F.col("event_id") % 5 == 0, "remove").otherwise("upsert")
     rows = table(spark, sf_dir, "events").select(path.alias("path"), op.alias("op"), F.col("event_id").alias("ts"))
-    return document_events(rows, "kb").select(F.col("ts").alias("event_id"), "doc_id", "op")
+    return document_events(rows, "corpus").select(F.col("ts").alias("event_id"), "doc_id", "op")
 
 
 @register(f"""WITH {SQL} SELECT doc_id, kind, project, categories, n_chunks FROM docs

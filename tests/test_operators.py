@@ -210,8 +210,8 @@ def test_reading_windows(spark):
 def test_events_and_ids(spark):
     from corpusweave.streaming.changes import document_events
 
-    rows = [("/kb/d1/idea.md", "upsert"), ("/kb/d1/source/x.tex", "remove"), ("/kb/d2", "remove"), ("/kb/d3/reflection.md", "upsert"), ("/else/d4/notes.md", "upsert")]
-    got = document_events(spark.createDataFrame([(p, o, 1) for p, o in rows], "path string, op string, ts long"), "/kb")
+    rows = [("/corpus/d1/idea.md", "upsert"), ("/corpus/d1/source/x.tex", "remove"), ("/corpus/d2", "remove"), ("/corpus/d3/reflection.md", "upsert"), ("/else/d4/notes.md", "upsert")]
+    got = document_events(spark.createDataFrame([(p, o, 1) for p, o in rows], "path string, op string, ts long"), "/corpus")
     assert sorted((r.doc_id, r.op) for r in got.collect()) == [("d1", "remove"), ("d1", "upsert"), ("d2", "remove")]
     assert value(spark, scalars.arxiv_id(F.lit("https://arxiv.org/abs/2101.00001v3?x=1#y"))[1]) == "v3"
 
