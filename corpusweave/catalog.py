@@ -709,15 +709,56 @@ def line_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_lines"), F.sum(heading.cast("long")).alias("n_headings"))
 
 
-@register()
+_LAYOUT = ", ".join(f"'{w}'" for w in chunking.LAYOUT_WORDS)
+
+
+@register(rf"""WITH lines AS (SELECT doc_id, source, list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_replace(x, '\s+$', '')),
+        lambda x: trim(x, ' ' || chr(9)) <> '' AND NOT (len(list_filter(string_split_regex(trim(x, ' ' || chr(9)), '\s+'), lambda w: regexp_replace(w, '^[^A-Za-z0-9{{]+|[^A-Za-z0-9{{]+$', '', 'g') NOT IN ({_LAYOUT}))) = 0)) AS l
+        FROM documents),
+    parts AS (SELECT doc_id, 0 AS place, 'other' AS section_type, NULL AS heading, ['preamble ' || source] AS l FROM lines
+        UNION ALL SELECT doc_id, 1, 'introduction', 'Introduction', l FROM lines UNION ALL SELECT doc_id, 2, 'method', 'Our Method', [source, 'of ' || source] FROM lines
+        UNION ALL SELECT doc_id, 3, 'introduction', 'Introduction 2', ['tail'] FROM lines),
+    whole AS (SELECT * EXCLUDE (l), regexp_replace(array_to_string(l, chr(10) || chr(10)), '^\s+|\s+$', '', 'g') AS body, list_filter(list_transform(l, lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS p FROM parts),
+    packed AS (SELECT *, list_reduce(list_transform(p, lambda x: {{'done': []::VARCHAR[], 'now': x}}), lambda s, x: CASE WHEN strlen(s.now || chr(10) || chr(10) || x.now) // 4 <= 256
+        THEN {{'done': s.done, 'now': s.now || chr(10) || chr(10) || x.now}} ELSE {{'done': list_append(s.done, s.now), 'now': x.now}} END) AS r FROM whole WHERE body <> ''),
+    pieces AS (SELECT doc_id, place, section_type, heading, CASE WHEN strlen(body) // 4 <= 256 THEN [body] ELSE list_append(r.done, r.now) END AS t FROM packed),
+    flat AS (SELECT doc_id, place, section_type, heading, unnest(t) AS text, generate_subscripts(t, 1) AS piece FROM pieces),
+    numbered AS (SELECT *, CAST(row_number() OVER (PARTITION BY doc_id, section_type ORDER BY place, piece) - 1 AS INTEGER) AS ordinal FROM flat)
+    SELECT doc_id, section_type, heading, ordinal, doc_id || '_' || section_type || '_' || ordinal AS chunk_id, text, strlen(text) // 4 AS tokens, sha256(text) AS content_hash FROM numbered""")
 def chunk_build(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select(
-        "doc_id", F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("sections_md"), F.lit(None).cast("string").alias("abstract"), F.lit(None).cast("string").alias("notes_md"), F.lit(None).cast("string").alias("reflection_md")
-    )
+    """Chunks of all documents, whose lines stand as paragraphs below headings."""
+    source = F.col("source")
+    body = F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit("\n\n"))
+    md = [F.concat(F.lit("preamble "), source), F.lit("# Introduction"), body, F.lit("## Our Method {#m}"), source, F.lit("\n"), F.concat(F.lit("of "), source), F.lit("# Introduction 2 #\n\ntail\n")]
+    none = F.lit(None).cast("string")
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat_ws("\n", *md).alias("sections_md"), none.alias("abstract"), none.alias("notes_md"), none.alias("reflection_md"))
     return chunking.build_chunks(docs, 256).drop("place")
 
 
-@register()
+def _plain_sql(text: str) -> str:
+    for name, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " "), ("&amp;", "&")):
+        text = f"replace({text}, '{name}', '{sign}')"
+    return text
+
+
+def _article_sql() -> str:
+    left_out = "|".join(rf"<{t}\b.*?</{t}\s*>" for t in ("script", "style", "nav", "footer", "aside", "form", "head"))
+    text = "CASE WHEN article = '' THEN body ELSE article END"
+    for level in range(1, 7):
+        text = rf"regexp_replace({text}, '(?is)<h{level}[^>]*>\s*(.*?)\s*</h{level}\s*>', chr(10) || chr(10) || '{'#' * level} \1' || chr(10) || chr(10), 'g')"
+    blocks = "p|div|section|ul|ol|li|table|tr|blockquote"
+    text = rf"regexp_replace({text}, '(?i)<({blocks})\b[^>]*>|</({blocks})\s*>', chr(10) || chr(10), 'g')"
+    text = _plain_sql(rf"regexp_replace({text}, '(?s)<[^>]*>', ' ', 'g')")
+    text = rf"regexp_replace(regexp_replace({text}, '[ \t]*\n[ \t]*', chr(10), 'g'), '\n{{3,}}', chr(10) || chr(10), 'g')"
+    text = rf"regexp_replace(regexp_replace({text}, '^\s+|\s+$', '', 'g'), '[ \t]+', ' ', 'g')"
+    title = _plain_sql("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)")
+    return rf"""WITH b AS (SELECT page_id, url, html, regexp_replace(html, '(?is)<!--.*?(-->|$)|{left_out}|<div class="ad">.*?</div>', ' ', 'g') AS body FROM pages),
+    a AS (SELECT *, regexp_extract(body, '(?is)<article[^>]*>(.*)</article>', 1) AS article FROM b),
+    t AS (SELECT page_id, coalesce(nullif(regexp_replace(regexp_replace({title}, '\s+', ' ', 'g'), '^ +| +$', '', 'g'), ''), url) AS title, {text} AS markdown FROM a)
+    SELECT page_id, title, markdown FROM t WHERE markdown <> ''"""
+
+
+@register(_article_sql())
 def article_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sources.files import extract_articles
 
