@@ -7,16 +7,20 @@ least the rarest is still there when each side leaves out its ``MARGIN - 1`` mos
 class's *tokens*: classes without a common token aren't linked.
 
 1. Partition: classes with the same least neighbour over their tokens form groups of a bounded size. Each group is
-   compared within itself, which gives first components.
+   compared within itself, which gives first components: windows tell which members may be linked, and only their sets
+   are made, from the texts.
 2. Token-group matrix: for each token the groups that hold it, with the components there. First every class asks one
    group of another component, the one that holds most of its tokens among those with the least component. Such rounds
-   are linear in the number of tokens, and repeat with new components until one finds nothing. No class asks a group
-   twice: all that it is linked with there has joined its component.
+   are linear in the number of tokens, and repeat with new components as long as they find more than a few links. No
+   class asks a group twice: all links that it has there are found.
 3. Then a class asks every group of the matrix that may hold a linked set by tokens and sizes. Classes with a frequent
    token in common with other components first get sharper tokens from their whole sets, in place of such ones.
 4. A group that is asked is opened if windows of its members, and its union of shingles, hold enough of the query's (a
    bound for every member), and the query is compared with its members, exactly.
 
+Windows bound a pair in two ways: they share the first ``MARGIN`` common shingles, and up to the hash where the first of
+them ends, a set lacks no more of the other's than linked sets of these sizes may.
+
 All links between groups are found in opened groups. Pairs inside a component are never made: what joins nothing new
 is left out, so large groups of copies cost no more than their number.
 
@@ -25,7 +29,7 @@ is left out, so large groups of copies cost no more than their number.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +40,7 @@ from pyspark.sql import types as T
 
 from .common import delete, discard, release, stage
 from .components import connected_components
-from .textnum import mix, slices, span_hashes, utf8_parts, word_spans
+from .textnum import PIECE_BYTES, mix, slices, span_hashes, utf8_parts, word_spans
 
 #: Common shingles that two windows surely hold, if the sets have as many.
 MARGIN = 32
@@ -44,6 +48,11 @@ MARGIN = 32
 GROUP, QUERIES, SHINGLES = 512, 500, 250_000
 #: A token of more classes than this is frequent.
 FREQUENT = 64
+#: Rounds end when one finds links fewer than this share of the classes.
+FEW = 1 / 100
+
+#: Makes the sets (``v``, ``n``, ``g``, ``keys``) of some classes (``v``) from their texts.
+Sets = Callable[[DataFrame], DataFrame]
 
 _WORD = np.ones(256, bool)
 _WORD[[9, 10, 11, 12, 13, 32]] = False
@@ -113,7 +122,7 @@ def _describe(docs: DataFrame, id_col: str, text_col: str, k: int, num: int, den
     """Per row: ``id``, ``n``, ``print`` and either the window (``tokens``) or the set itself (``keys``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", PIECE_BYTES):
             keys, bounds = shingle_sets(*utf8_parts(batch.column("text")), k)
             out = {"id": batch.column("id"), "n": pa.array(np.diff(bounds)), "print": _prints(keys, bounds)}
             out["keys" if sets else "tokens"] = _list(keys, bounds) if sets else _list(*_window(keys, bounds, num, den))
@@ -170,6 +179,44 @@ class _Forest:
         return a != b
 
 
+class _Windows(_Members):
+    """The windows of one group's members (``n``: sizes of their sets), to be compared with windows of queries."""
+
+    def __init__(self, tokens: pa.ChunkedArray, n: pa.ChunkedArray, num: int, den: int):
+        super().__init__(tokens, num, den)
+        self.n = np.asarray(n)
+        self.end = np.array([_end(x, k) for x, k in zip(tokens, self.n.tolist(), strict=True)], np.uint64)
+
+    def near(self, tokens: pa.ListScalar, n: int) -> np.ndarray:
+        """Which members may be linked with a set of ``n`` shingles; all that are linked, for certain.
+
+        Up to the hash where the first of two windows ends both are complete, so what only one holds there, it
+        holds alone.
+        """
+        keys = np.asarray(tokens.values)
+        certain = -(-(-(-n * self.num // self.den)) * self.num // self.den)
+        shared = self.shared(keys, least := min(certain, MARGIN))
+        common = -(-(self.n + n) * self.num // (self.num + self.den))
+        held = np.searchsorted(keys.view(np.uint64), np.minimum(self.end, _end(tokens, n)), "right")
+        return (shared >= max(least, 1)) & (common <= self.n) & (held - shared <= n - common)
+
+
+def _end(tokens: pa.ListScalar, n: int) -> np.uint64:
+    """The hash up to which a window is complete: its last, or any if it is the whole set of ``n``."""
+    return tokens.values[-1].as_py() & (2**64 - 1) if len(tokens.values) < n else 2**64 - 1
+
+
+def _close(num: int, den: int, group: pa.Table) -> pa.Table:
+    """Members of one group (``v``, ``n``, ``tokens``) that may be linked with others of it: ``v``."""
+    members, close = _Windows(group["tokens"], group["n"], num, den), np.zeros(group.num_rows, bool)
+    for k, (tokens, n) in enumerate(zip(group["tokens"], members.n.tolist(), strict=True)):
+        near = members.near(tokens, n)
+        near[k] = False
+        close[k] |= near.any()
+        close |= near
+    return group.select(["v"]).filter(pa.array(close, pa.bool_()))
+
+
 def _within(num: int, den: int, group: pa.Table) -> pa.Table:
     """Components inside one group, named by their least member."""
     members, v, forest = _Members(group["keys"], num, den), group["v"].to_pylist(), _Forest()
@@ -177,21 +224,19 @@ def _within(num: int, den: int, group: pa.Table) -> pa.Table:
         for k in np.flatnonzero(members.linked(np.asarray(keys.values))).tolist():
             forest.join(mine, v[k])
     roots = [forest.find(x) for x in v]
-    return pa.table({"v": group["v"], "n": group["n"], "g": group["g"], "component": pa.array(roots, pa.int64())})
+    return pa.table({"v": group["v"], "component": pa.array(roots, pa.int64())})
 
 
 def _qualifying(num: int, den: int, rows: pa.Table) -> pa.Table:
-    """Queries (``asks``) of a group and its members whose windows (``keys``) share as many shingles as those of linked
-    sets do for certain: ``v``, ``g``, ``asks``."""
+    """Queries (``asks``) of a group and its members whose windows (``keys``) may be those of linked sets: ``v``, ``g``,
+    ``asks``."""
     left, right = rows.filter(rows["asks"]), rows.filter(pc.invert(rows["asks"]))
-    members, n = _Members(right["keys"], num, den), left["n"].to_pylist()
+    members, n = _Windows(right["keys"], right["n"], num, den), left["n"].to_pylist()
     met, asks = np.zeros(len(members.size), bool), np.zeros(len(n), bool)
-    for k, keys in enumerate(left["keys"]):
-        certain = -(-(-(-n[k] * num // den)) * num // den)
-        least = min(certain, MARGIN)
-        enough = members.shared(np.asarray(keys.values), least) >= least
-        asks[k] = enough.any()
-        met |= enough
+    for k, tokens in enumerate(left["keys"]):
+        near = members.near(tokens, n[k])
+        asks[k] = near.any()
+        met |= near
     out = pa.concat_tables([left.filter(pa.array(asks, pa.bool_())), right.filter(pa.array(met, pa.bool_()))])
     return out.select(["v", "g", "asks"])
 
@@ -219,7 +264,9 @@ def _common(n: str, num: int, den: int) -> str:
 def _rarest(cells: DataFrame, sizes: DataFrame, spare: Column) -> DataFrame:
     """Of the cells (``v``, ``token``), those whose token occurs twice or more, but for the ``spare`` (over ``sizes``:
     ``v``, ``n``) most frequent ones of each ``v``."""
-    shared = cells.groupBy("token").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
+    # Written first, so that the shuffles of both steps don't lie on the disk at once.
+    shared = stage(cells.groupBy("token").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"), "shared")
+    release(cells.sparkSession)
     # One row per class, with as many entries as its own set has at most.
     per = cells.join(shared, "token").groupBy("v").agg(F.sort_array(F.collect_list(F.struct("c", "token")), asc=False).alias("x"))
     left = per.join(sizes.select("v", spare.cast("int").alias("spare")), "v").filter(F.size("x") > F.col("spare"))
@@ -232,7 +279,8 @@ def _class_sets(docs: DataFrame, wanted: DataFrame, k: int, num: int, den: int)
     named = docs.join(wanted.filter("least is not null").select(F.col("least").alias("id")).distinct(), "id", "left_semi")
     found = _describe(named.unionByName(docs.filter("id is null")), "id", "text", k, num, den, sets=True)
     one = found.select("print", "keys").join(wanted.select("v", "n", "g", "print"), "print")
-    return one.groupBy("v").agg(F.first("n").alias("n"), F.first("g").alias("g"), F.first("keys").alias("keys"))
+    # By the key of the join, so that the sets aren't moved again.
+    return one.groupBy("print").agg(*(F.first(x).alias(x) for x in ("v", "n", "g", "keys"))).drop("print")
 
 
 def _bins(rows: DataFrame, key: str, many: int) -> DataFrame:
@@ -264,21 +312,23 @@ def _pieces(asked: DataFrame, member: DataFrame, sets: DataFrame, keys: Column)
     return placed.select("v", "n", "g", F.explode(F.sequence("low", "high")).alias("bin"), "component", "asks", "keys")
 
 
-def _links(asked: DataFrame, member: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+def _links(asked: DataFrame, member: DataFrame, windows: DataFrame, sets: Sets, num: int, den: int) -> DataFrame:
     """Pairs of components (``a``, ``b``) linked by queries (``asked``: ``v``, ``n``, ``component``, ``g``) and members of
     the groups that they ask. Windows, a small part of the sets, tell which groups qualify; only for these, and only for
-    members that are met there, whole sets are moved."""
-    common = _common("n", num, den)
-    window = F.slice("keys", F.lit(1), F.expr(f"cast(n - {common} + least({common}, {MARGIN}) as int)"))
-    near = _pieces(asked, member, sets, window).groupBy("g", "bin")
+    members that are met there, whole sets are made and moved."""
+    spark = windows.sparkSession
+    near = _pieces(asked, member, windows, F.col("tokens")).groupBy("g", "bin")
     found = near.applyInArrow(lambda rows: _qualifying(num, den, rows), "v long, g long, asks boolean")
     hold = stage(found.distinct(), "qualifying")
-    release(sets.sparkSession)
+    release(spark)
+    whole = stage(sets(hold.select("v").distinct()), "sets-near")
     asked = stage(asked.join(hold.filter("asks").drop("asks"), ["v", "g"], "left_semi"), "asked-near")
     member = stage(member.join(hold.filter("not asks").drop("asks"), ["v", "g"], "left_semi"), "members-near")
-    opened = _pieces(asked, member, sets, F.col("keys")).groupBy("g", "bin")
+    opened = _pieces(asked, member, whole, F.col("keys")).groupBy("g", "bin")
     found = opened.applyInArrow(lambda rows: _open_groups(num, den, rows), "a long, b long")
-    return stage(found.distinct(), "links")
+    links = stage(found.distinct(), "links")
+    delete(spark, whole.staged_at)
+    return links
 
 
 def _joined(member: DataFrame, links: DataFrame) -> DataFrame:
@@ -308,9 +358,9 @@ def _ask_all(cross: DataFrame, num: int, den: int) -> DataFrame:
     return asked.select("v", "n", "component", "g")
 
 
-def _components(member: DataFrame, cells: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+def _components(member: DataFrame, cells: DataFrame, windows: DataFrame, sets: Sets, num: int, den: int) -> DataFrame:
     """``member`` (``v``, ``n``, ``g``, ``component``) with all links between groups."""
-    spark, before = sets.sparkSession, cells
+    spark, before, few = windows.sparkSession, cells, FEW * member.count()
     past = spark.createDataFrame([], "v long, g long")
     while True:
         cross = stage(_crossing(cells, member), "crossing")
@@ -324,18 +374,21 @@ def _components(member: DataFrame, cells: DataFrame, sets: DataFrame, num: int,
             .agg(F.max(F.struct("held", "g")).alias("most"))
         )
         asked = stage(asked.select("v", "n", "component", "most.g"), "asked")
-        links, past = _links(asked, member, sets, num, den), past.unionByName(asked.select("v", "g"))
-        release(spark)
-        if links.isEmpty():
+        # A linked class of another component holds a token that crosses.
+        placed = stage(member.join(cross.select("v").distinct(), "v", "left_semi"), "members-crossing")
+        links, past = _links(asked, placed, windows, sets, num, den), past.unionByName(asked.select("v", "g"))
+        if links.count() <= few:
             break
         member, cells, before = _joined(member, links), cross.select("v", "token"), cross
-    hot = member.join(cross.filter(F.col("c") > FREQUENT).select("v").distinct(), "v")
-    whole = sets.select("v", "keys").join(stage(hot.select("v"), "hot"), "v").select("v", F.explode("keys").alias("token"))
-    sharp = stage(_crossing(_rarest(whole, hot, F.expr(_common("n", num, den)) - 1), member), "crossing-whole")
-    release(spark)
+    hot = stage(member.join(cross.filter(F.col("c") > FREQUENT).select("v").distinct(), "v").select("v", "n"), "hot")
+    whole = stage(sets(hot.select("v")), "sets-hot")
+    shingles = whole.select("v", F.explode("keys").alias("token"))
+    sharp = stage(_crossing(_rarest(shingles, hot, F.expr(_common("n", num, den)) - 1), member), "crossing-whole")
+    discard(whole)
     asked = _ask_all(cross.filter(F.col("c") <= FREQUENT), num, den).unionByName(_ask_all(sharp, num, den))
     asked = stage(asked.distinct().join(past, ["v", "g"], "left_anti").select("v", "n", "component", "g"), "asked-all")
-    return _joined(member, _links(asked, member, sets, num, den))
+    # The last round's links are few, and join here.
+    return _joined(member, _links(asked, placed, windows, sets, num, den).unionByName(links))
 
 
 def jaccard_components(
@@ -357,20 +410,30 @@ def jaccard_components(
     classes = stage(
         rows.filter("n > 0").groupBy("print").agg(F.min("v").alias("v"), F.min("id").alias("least"), F.first("n").alias("n")), "classes"
     )
-    windows = found.join(classes.select("v"), "v", "left_semi").select("v", F.explode("tokens").alias("token"))
-    certain = f"least({_common(_common('n', num, den), num, den)}, {MARGIN})"
-    cells = stage(_rarest(windows, classes, F.expr(certain) - 1), "tokens")
+    # One window of each class, so that copies aren't read or moved again.
+    windows = stage(found.select("v", "tokens").join(classes.select("v"), "v", "left_semi"), "class-windows")
     discard(found)
+    certain = f"least({_common(_common('n', num, den), num, den)}, {MARGIN})"
+    every = windows.select("v", F.explode("tokens").alias("token"))
+    cells = stage(_rarest(every, classes, F.expr(certain) - 1), "tokens")
+    release(docs.sparkSession)
 
     grouped = stage(_partition(classes, cells), "groups")
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    sets = stage(_class_sets(texts, grouped, k, num, den), "sets")
-    release(docs.sparkSession)
-    within = sets.groupBy("g").applyInArrow(lambda group: _within(num, den, group), "v long, n long, g long, component long")
-    member = stage(within, "members")
+    all_windows, windows = windows, stage(windows.join(grouped.select("v", "n", "g"), "v"), "windows-grouped")
+    discard(all_windows)
+
+    def sets(some: DataFrame) -> DataFrame:
+        return _class_sets(texts, grouped.join(some, "v", "left_semi"), k, num, den)
+
+    close = windows.groupBy("g").applyInArrow(lambda group: _close(num, den, group), "v long")
+    close = stage(close, "close")
+    within = sets(close).groupBy("g").applyInArrow(lambda group: _within(num, den, group), "v long, component long")
+    within = stage(within, "within")
     release(docs.sparkSession)
-    member = _components(member, cells, sets, num, den)
-    discard(sets)
+    placed = grouped.join(within, "v", "left").select("v", "n", "g", F.coalesce("component", "v").alias("component"))
+    member = _components(stage(placed, "members"), cells, windows.drop("g"), sets, num, den)
+    discard(windows)
 
     named = stage(member.select("v", "component").join(classes.select("v", "print", "least"), "v"), "named")
     smallest = stage(named.groupBy("component").agg(F.min("least").alias("component_id")), "component-ids")

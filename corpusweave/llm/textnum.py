@@ -14,6 +14,8 @@ import pyarrow as pa
 
 #: Bytes of text that are turned into arrays at once; a longer single text stands alone.
 CHUNK_BYTES = 2_000_000
+#: The same for the stages of the pipeline: arrays over bytes are eight times as large, and several of them live at once.
+PIECE_BYTES = 500_000
 _MULTIPLIER = 0x9E3779B97F4A7C15
 
 
@@ -61,7 +63,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers 0..n-1 of the multiplier and of its inverse, modulo 2**64."""
     if not _POWERS or len(_POWERS[0]) < n:
         inverse = pow(_MULTIPLIER, -1, 2**64)
-        size = 1 << max(n - 1, CHUNK_BYTES // 4).bit_length()
+        size = 1 << max(n - 1, PIECE_BYTES).bit_length()
         _POWERS[:] = []
         for base in (_MULTIPLIER, inverse):
             out = np.full(size, base, np.uint64)

@@ -488,3 +488,31 @@ def test_classifiers(spark, empty):
     model = quality.train(docs, marks, usable)
     kept = quality.keep_good(docs, model)
     assert kept.columns == docs.columns and 700 < kept.count() < 820
+
+
+def test_jaccard_windows_bound_pairs():
+    rng = np.random.default_rng(5)
+    draw = lambda n: rng.integers(0, 2**64, n, dtype=np.uint64)
+    sets = []
+    for n in (3, 40, 300, 1200):
+        base = draw(n)
+        sets += [np.unique(np.concatenate([base[: n - lost], draw(new)])) for lost, new in ((0, 0), (0, 1), (1, 1), (n // 25, n // 25), (n // 20, 0), (2 * n // 3, 2 * n // 3))]
+    bounds = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
+    for num in (80, 90):
+        tokens = jaccard_join._list(*jaccard_join._window(np.concatenate(sets), bounds, num, 100))
+        members = jaccard_join._Windows(pa.chunked_array([tokens]), pa.chunked_array([np.diff(bounds)]), num, 100)
+        for k, a in enumerate(sets):
+            near = members.near(tokens[k], len(a))
+            for j, b in enumerate(sets):
+                both = len(np.intersect1d(a, b))
+                linked = 100 * both >= num * (len(a) + len(b) - both)
+                assert near[j] or not linked
+                # A third in common is more than windows of linked sets hold for certain, but isn't near.
+                assert not near[j] or linked or min(len(a), len(b)) < 300 or both > len(a) * 0.45
+
+
+def test_jaccard_moves_sets_once(spark, capsys):
+    docs = spark.createDataFrame([(1, "a b c d")], "id long, text string")
+    wanted = spark.createDataFrame([(0, 2, 1, b"", 0)], "v long, n long, least long, print binary, g long")
+    jaccard_join._class_sets(docs, wanted, 3, 90, 100).explain()
+    assert "hashpartitioning(v" not in capsys.readouterr().out
