@@ -3,6 +3,8 @@
 import shutil
 
 import corpus_pipeline
+import pyarrow as pa
+from corpusweave.llm import jaccard_join, quality
 from pyspark.sql import functions as F
 
 
@@ -26,3 +28,18 @@ def test_pipeline(spark, tmp_path):
         assert function(spark, docs, str(tmp_path)).columns == docs.columns
     assert out.filter(F.col("n_tokens") > 0).count() == len(want)
     shutil.rmtree(tmp_path, ignore_errors=True)
+
+
+def test_stages_take_small_pieces_of_text(spark, monkeypatch):
+    docs = spark.createDataFrame([(0, "x", 1)], "doc_id long, text string, n_chars long")
+    tasks, sizes = [], []
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, task, schema: tasks.append(task) or self)
+    quality.keep_good(docs, {"prior": 1.0})
+    jaccard_join._describe(docs, "doc_id", "text", 5, 80, 100, sets=False)
+    text = pa.array(["some words of a text " * 100] * 1000)
+    batch = pa.record_batch({"id": pa.array(range(1000)), "doc_id": pa.array(range(1000)), "text": text, "n_chars": pa.array([2100] * 1000)})
+    for task in tasks:
+        out = list(task(iter([batch])))
+        sizes += [x.num_rows * 2100 for x in out]
+        assert sum(x.num_rows for x in out) == 1000
+    assert len(tasks) == 2 and max(sizes) <= 500_000
