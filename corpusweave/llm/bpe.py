@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .textnum import gather, span_hashes, utf8_parts
+from .textnum import PIECE_BYTES, gather, span_hashes, utf8_parts
 
 # The white space of Unicode, and the word pattern of byte-level BPE vocabularies.
 WHITE_SPACE = "\t-\r \u0085   -     　"
@@ -39,6 +39,8 @@ WORD_PATTERN = (
 
 #: Words of a block at most, unless a single document has more.
 BLOCK_WORDS = 4_000_000
+#: Words of a block that are numbered, or put back, at once: arrays over words and bytes are wider than what they become.
+PIECE_WORDS = 100_000
 #: Words per call of the tokenizer, whose results are large objects.
 ENCODED_TOGETHER = 20_000
 #: Bytes of text per bucket of words, about, and most buckets: every block has a pack for each.
@@ -203,39 +205,62 @@ def _cut_blocks(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.
         while at < whole.num_rows:
             _, sizes = list_parts(whole.column("words"))
             to = max(at + 1, int(np.searchsorted(sizes, sizes[at] + BLOCK_WORDS, side="right")) - 1)
-            batch = whole.slice(at, to - at)
+            yield _block((part << 32) + count, whole.slice(at, to - at), buckets)
             at = to
-            flat, bounds = list_parts(batch.column("words"))
-            coded = pc.dictionary_encode(flat.cast(pa.large_string()))
-            index = np.asarray(coded.indices, np.int64)
-            raw, off = utf8_parts(coded.dictionary)
-            # A word's number is its rank by frequency in the block, so most positions have small numbers.
-            order = np.argsort(-np.bincount(index, minlength=len(off) - 1), kind="stable")
-            rank = np.empty(len(order), np.int64)
-            rank[order] = np.arange(len(order))
-            bucket = (span_hashes(raw, off[:-1], off[1:], fold_case=False) % np.uint64(buckets)).astype(np.int64)
-            order = np.lexsort((rank, bucket))
-            data, cut = gather(raw, off, order)
-            rank_of, edges = rank[order], np.searchsorted(bucket[order], np.arange(buckets + 1))
-            used = np.flatnonzero(edges[1:] > edges[:-1])
-            rows = []
-            for b in used:
-                x, y = edges[b], edges[b + 1]
-                step = np.diff(rank_of[x:y], prepend=0)
-                rows.append(_pack(data=data[cut[x] : cut[y]], size=_narrow(np.diff(cut[x : y + 1])), step=_narrow(step)))
-            numbers = rank[index] if len(index) else index
-            planes = {f"byte{k}": ((numbers >> (8 * k)) & 255).astype(np.uint8) for k in range(4)}
-            block = (part << 32) + count
             count += 1
-            n = len(rows)
-            yield pa.record_batch(
-                {
-                    "block": pa.array([block] * (n + 1), pa.int64()),
-                    "key": pa.array([-1 - block, *used.tolist()], pa.int64()),
-                    "pack": pa.array([_pack(size=_narrow(np.diff(bounds)), **planes), *rows], pa.binary()),
-                    "ids": pa.array([_ipc(pa.record_batch({"id": batch.column("id")}))] + [None] * n, pa.binary()),
-                }
-            )
+        del whole  # before the next batch is read
+
+
+def _numbers(flat: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The number of each word, and the distinct words: bytes, bounds and numbers."""
+    # The chunks share one dictionary.
+    chunks = [flat.slice(k, PIECE_WORDS) for k in range(0, len(flat), PIECE_WORDS)] or [flat]
+    coded = pc.dictionary_encode(pa.chunked_array(chunks)).chunks
+    raw, off = utf8_parts(coded[-1].dictionary)
+    # A word's number is its rank by frequency in the block, so most positions have small numbers.
+    order = np.argsort(-sum(np.bincount(np.asarray(x.indices), minlength=len(off) - 1) for x in coded), kind="stable")
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    numbers, to_number = np.empty(len(flat), "<u4"), rank.astype("<u4")
+    for k, x in enumerate(coded):
+        numbers[k * PIECE_WORDS :][: len(x)] = to_number[np.asarray(x.indices)]
+    return numbers, raw, off, rank
+
+
+def _hashes(raw: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Hashes of words, worked out over pieces of about ``PIECE_BYTES``."""
+    out, at = [np.zeros(0, np.uint64)], 0
+    while at < len(off) - 1:
+        to = max(at + 1, int(np.searchsorted(off, off[at] + PIECE_BYTES, side="right")) - 1)
+        some = off[at : to + 1] - off[at]
+        out.append(span_hashes(raw[off[at] : off[to]], some[:-1], some[1:], fold_case=False))
+        at = to
+    return np.concatenate(out)
+
+
+def _block(block: int, batch: pa.RecordBatch, buckets: int) -> pa.RecordBatch:
+    """The rows of one block: its documents, and a pack of words for each bucket."""
+    flat, bounds = list_parts(batch.column("words"))
+    numbers, raw, off, rank = _numbers(flat)
+    bucket = (_hashes(raw, off) % np.uint64(buckets)).astype(np.int64)
+    order = np.lexsort((rank, bucket))
+    rank_of, edges = rank[order], np.searchsorted(bucket[order], np.arange(buckets + 1))
+    used = np.flatnonzero(edges[1:] > edges[:-1])
+    rows = []
+    for b in used:
+        x, y = edges[b], edges[b + 1]
+        data, cut = gather(raw, off, order[x:y])
+        rows.append(_pack(data=data, size=_narrow(np.diff(cut)), step=_narrow(np.diff(rank_of[x:y], prepend=0))))
+    planes = {f"byte{k}": numbers.view(np.uint8)[k::4] for k in range(4)}
+    n = len(rows)
+    return pa.record_batch(
+        {
+            "block": pa.array([block] * (n + 1), pa.int64()),
+            "key": pa.array([-1 - block, *used.tolist()], pa.int64()),
+            "pack": pa.array([_pack(size=_narrow(np.diff(bounds)), **planes), *rows], pa.binary()),
+            "ids": pa.array([_ipc(pa.record_batch({"id": batch.column("id")}))] + [None] * n, pa.binary()),
+        }
+    )
 
 
 def _encode_bucket(path: str, group: pa.Table) -> pa.Table:
@@ -265,12 +290,13 @@ def _assemble(path: str, id_type: pa.DataType, decode: bool, id_bytes: int, grou
     values, bounds = gather(values, bounds, np.argsort(rank))
     text, edges = pieces(path)
     table = _unpack(docs["pack"][0].as_py())
-    where = sum(table[f"byte{k}"].astype(np.int64) << (8 * k) for k in range(4))
+    where = np.stack([table[f"byte{k}"] for k in range(4)], axis=1).view("<u4")[:, 0]
     rows = _bounds(table["size"])
+    del table
     ids = pa.ipc.open_stream(docs["ids"][0].as_py()).read_all()["id"].combine_chunks()
     at = 0
     while at < len(ids):
-        to = max(at + 1, int(np.searchsorted(rows, rows[at] + 300_000, side="right")) - 1)
+        to = max(at + 1, int(np.searchsorted(rows, rows[at] + PIECE_WORDS, side="right")) - 1)
         got, cut = gather(values, bounds, where[rows[at] : rows[to]])
         of_doc = cut[rows[at : to + 1] - rows[at]]
         out = {
@@ -334,8 +360,9 @@ def encode_documents(
     )
     arrow_id = arrow_type(id_type)
 
-    def assemble(group: pa.Table) -> pa.Table:
-        return pa.Table.from_batches(list(_assemble(tokenizer_path, arrow_id, decode, id_bytes, group)))
+    # The rows of a block are handed on piece by piece: together they are much larger than its packs.
+    def assemble(group: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _assemble(tokenizer_path, arrow_id, decode, id_bytes, pa.Table.from_batches(list(group)))
 
     schema = [T.StructField("id", id_type), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())]
     if decode:

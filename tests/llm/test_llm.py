@@ -5,6 +5,7 @@ import hashlib
 import random
 import re
 import textwrap
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -190,6 +191,30 @@ def test_bpe(docs, empty):
     assert bpe.encode_documents(empty, vocabulary_path()).count() == 0
 
 
+def test_bpe_blocks_take_little_memory(monkeypatch):
+    monkeypatch.setattr(bpe.TaskContext, "get", lambda: type("", (), {"partitionId": lambda: 0}))
+    vocabulary, rng, docs, each = pa.array([f" w{k}" for k in range(5000)]), np.random.default_rng(1), 4000, 500
+    words = vocabulary.take(pa.array(rng.integers(0, 5000, docs * each)))
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(0, docs * each + 1, each, dtype=np.int32)), words)
+    path, spare = vocabulary_path(), 1.0 / 2**20
+    bpe.pieces(path), bpe.encode_words(path, [" a"])
+    used = []
+    tracemalloc.start()
+    try:
+        block = pa.Table.from_batches(bpe._cut_blocks(iter([pa.record_batch({"id": pa.array(range(docs)), "words": lists})]), 8))
+        used.append(tracemalloc.get_traced_memory()[1] * spare)
+        group = pa.concat_tables([bpe._encode_bucket(path, block.slice(k, 1)) for k in range(block.num_rows)])
+        tracemalloc.reset_peak()
+        start, rows = tracemalloc.get_traced_memory()[0], 0
+        for out in bpe._assemble(path, pa.int64(), True, 4, group):
+            rows += out.num_rows
+        used.append((tracemalloc.get_traced_memory()[1] - start) * spare)
+    finally:
+        tracemalloc.stop()
+    # Two million words: eight bytes for each would be 16 MB an array, and there were several.
+    assert rows == docs and max(used) < 40, used
+
+
 def test_words_in_a_row():
     words = [" a", " b1", " 1", " --", " '", "x", " ", "  ", " \n", "'s", " \u00a0", " été", " 中文", " it", "<|endoftext|>", ""]
     path = vocabulary_path()
