@@ -48,6 +48,8 @@ MARGIN = 32
 GROUP, QUERIES, SHINGLES = 512, 500, 250_000
 #: A token of more classes than this is frequent.
 FREQUENT = 64
+#: Bits of Spark's bitmaps.
+MAP_BITS = 32_768
 #: Rounds end when one finds links fewer than this share of the classes.
 FEW = 1 / 100
 
@@ -273,6 +275,16 @@ def _rarest(cells: DataFrame, sizes: DataFrame, spare: Column) -> DataFrame:
     return left.select("v", F.explode(F.slice("x", F.col("spare") + 1, F.size("x"))).alias("x")).select("v", "x.token")
 
 
+def _having(rows: DataFrame, some: DataFrame) -> DataFrame:
+    """``rows`` whose number ``v`` is one of ``some``'s. Numbers follow each other within a partition, so they are a bit each
+    of a map that is broadcast: the rows, which may be large, stay where they are."""
+    numbers = some.select(F.expr(f"v div {MAP_BITS}").alias("word"), F.expr(f"v % {MAP_BITS}").alias("at"))
+    maps = numbers.repartition("word").groupBy("word").agg(F.expr("bitmap_construct_agg(at)").alias("bits"))
+    byte = f"cast(conv(hex(substring(bits, cast(v % {MAP_BITS} div 8 as int) + 1, 1)), 16, 10) as int)"
+    is_set = F.expr(f"getbit({byte}, cast(v % 8 as int)) = 1")
+    return rows.join(F.broadcast(maps), (F.expr(f"v div {MAP_BITS}") == F.col("word")) & is_set, "left_semi")
+
+
 def _class_sets(docs: DataFrame, wanted: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """``v``, ``n``, ``g`` and ``keys`` of grouped classes (``v``, ``n``, ``least``, ``print``, ``g``), made again from their
     texts (``id``, ``text``). Classes without an id are looked for in all rows without one."""
@@ -411,7 +423,7 @@ def jaccard_components(
         rows.filter("n > 0").groupBy("print").agg(F.min("v").alias("v"), F.min("id").alias("least"), F.first("n").alias("n")), "classes"
     )
     # One window of each class, so that copies aren't read or moved again.
-    windows = stage(found.select("v", "tokens").join(classes.select("v"), "v", "left_semi"), "class-windows")
+    windows = stage(_having(found.select("v", "tokens"), classes), "class-windows")
     discard(found)
     certain = f"least({_common(_common('n', num, den), num, den)}, {MARGIN})"
     every = windows.select("v", F.explode("tokens").alias("token"))
@@ -420,7 +432,7 @@ def jaccard_components(
 
     grouped = stage(_partition(classes, cells), "groups")
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    all_windows, windows = windows, stage(windows.join(grouped.select("v", "n", "g"), "v"), "windows-grouped")
+    all_windows, windows = windows, stage(_having(windows, grouped).join(grouped.select("v", "n", "g"), "v"), "windows-grouped")
     discard(all_windows)
 
     def sets(some: DataFrame) -> DataFrame:

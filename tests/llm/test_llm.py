@@ -536,6 +536,29 @@ def test_jaccard_windows_bound_pairs():
                 assert not near[j] or linked or min(len(a), len(b)) < 300 or both > len(a) * 0.45
 
 
+def test_jaccard_windows_of_classes_stay_in_place(spark, docs, monkeypatch):
+    plans, stage = [], jaccard_join.stage
+
+    def noted(df, name, **options):
+        if name == "class-windows":
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+            raise InterruptedError
+        return stage(df, name, **options)
+
+    monkeypatch.setattr(jaccard_join, "stage", noted)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        with pytest.raises(InterruptedError):
+            jaccard_join.jaccard_components(docs)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(plans) == 1 and "hashpartitioning(v" not in plans[0]
+    rows = spark.range(0, 200_000, 1, 3).select(F.expr("id + (id % 3 << 33)").alias("v"), F.lit("x").alias("x"))
+    some = rows.filter("v % 7 = 2 or v % 11 = 8").select("v")
+    assert {r.v for r in jaccard_join._having(rows, some).collect()} == {r.v for r in some.collect()}
+    assert jaccard_join._having(rows, some.limit(0)).count() == 0
+
+
 def test_jaccard_moves_sets_once(spark, capsys):
     docs = spark.createDataFrame([(1, "a b c d")], "id long, text string")
     wanted = spark.createDataFrame([(0, 2, 1, b"", 0)], "v long, n long, least long, print binary, g long")
