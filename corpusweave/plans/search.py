@@ -31,9 +31,7 @@ def dense_list(queries: DataFrame, chunks: DataFrame, k: int, pool: int, floor:
 
 def lexical_list(queries: DataFrame, chunks: DataFrame, limit: int, allowed: DataFrame | None = None) -> DataFrame:
     """``limit`` chunks per query by BM25; only then those outside of ``allowed`` (``vector_id``) fall away."""
-    posted = lexical.postings(chunks, terms=lexical.query_terms(queries))
-    scored = lexical.bm25(queries, posted, *lexical.sizes(chunks))
-    out = ranking.ranked(scored, "query_id", "score", "vector_id", limit)
+    out = lexical.top_matches(queries, chunks, limit, words=True, zeros=True)
     return out if allowed is None else out.join(allowed.select("vector_id"), "vector_id", "left_semi")
 
 

@@ -98,6 +98,35 @@ def test_only_asked_words_are_grouped(spark, chunks):
     assert {r.vector_id for r in listed.collect()} <= {1, 2, 3}
 
 
+def shuffled_rows(plan):
+    """Rows that a plan's exchanges wrote when it ran."""
+    name = plan.nodeName()
+    if name == "AdaptiveSparkPlan":
+        return shuffled_rows(plan.executedPlan())
+    if "QueryStage" in name:
+        return shuffled_rows(plan.plan())
+    metric = plan.metrics().get("shuffleRecordsWritten")
+    below = plan.children()
+    return (metric.get().value() if metric.isDefined() else 0) + sum(shuffled_rows(below.apply(j)) for j in range(below.size()))
+
+
+def test_words_of_queries_make_no_pairs(spark):
+    """Every query asks a word that all items hold: what moves are the best items of a query and task."""
+    rng = np.random.default_rng(5)
+    rows = [(i, " ".join(["common"] + [f"w{x}" for x in rng.integers(0, 40, 6)] + ["x"] * (i % 3)) if i % 97 else None) for i in range(1200)]
+    asked = [(10 * q, f"Common, w{q % 40} w{q * 7 % 40} common") for q in range(60)] + [(7, "common"), (8, "nowhere"), (9, None)]
+    chunks, k = spark.createDataFrame(rows, "vector_id long, text string").repartition(6), 4
+    listed = search.lexical_list(spark.createDataFrame(asked, "query_id long, query string"), chunks, k)
+    got = sorted((r.query_id, r["rank"], r.vector_id, r.score) for r in listed.collect())
+    assert shuffled_rows(listed._jdf.queryExecution().executedPlan()) <= len(asked) * k * 6
+    scores = brute(rows, [(q, " ".join(dict.fromkeys(analysed(t, False)))) for q, t in asked], False)
+    want = []
+    for q, _ in asked:  # scores of 0 count, as in SQL
+        best = sorted((-round(s, 6), i) for (p, i), s in scores.items() if p == q)[:k]
+        want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(best)]
+    assert [x[:3] for x in got] == sorted(x[:3] for x in want) and np.allclose([x[3] for x in got], [x[3] for x in sorted(want)], atol=1.1e-6)
+
+
 def vectors_of(rows):
     return {i: np.array(v) / (np.linalg.norm(v) or 1) for i, _, v in rows}
 
