@@ -40,7 +40,7 @@ def phrase_list(
 ) -> DataFrame:
     """As :func:`lexical_list`, where a token with marks inside must be found as a phrase, and terms may be stemmed. Where ``allowed``
     has gaps the ranks keep theirs from before: the list is cut first."""
-    out = lexical.top_matches(queries, chunks, limit, stemmer)
+    out = lexical.top_matches(queries, chunks, limit, stemmer, zeros=True)
     if allowed is None:
         return out
     kept = out.join(allowed.select("vector_id"), "vector_id", "left_semi").drop("rank")

@@ -127,6 +127,51 @@ def test_words_of_queries_make_no_pairs(spark):
     assert [x[:3] for x in got] == sorted(x[:3] for x in want) and np.allclose([x[3] for x in got], [x[3] for x in sorted(want)], atol=1.1e-6)
 
 
+def test_floors_leave_out_what_cannot_win():
+    """Scores above a floor are those of brute force; where a rare word decides, the frequent ones' items aren't scored."""
+    rng = np.random.default_rng(2)
+    n_items, n_phrases, n_queries, k = 500, 80, 60, 5
+    held = rng.random((n_items, n_phrases)) < np.where(np.arange(n_phrases) < 20, 0.7, 0.03)
+    part = rng.random((n_items, n_phrases)) * np.where(np.arange(n_phrases) < 20, 0.1, 3.0) * held
+    wants = rng.integers(0, 3, (n_queries, n_phrases)) * (rng.random((n_queries, n_phrases)) < 0.1)
+    wants[:, 0] = 1
+    asked = lexical._Asked([([f"t{p}"], [(q, int(wants[q, p])) for q in range(n_queries) if wants[q, p]]) for p in range(n_phrases)])
+    item, phrase = np.nonzero(held)
+    whole = np.round(wants @ part.T, 6)
+    kth = np.sort(whole)[:, -k]
+    for floor in (np.zeros(n_queries), kth.copy(), np.where(np.arange(n_queries) % 2, kth, 0.0)):
+        before, got = floor.copy(), {}
+        for q, d, s in asked.matches(item, phrase, part[item, phrase], n_items, floor, k):
+            got |= {(int(a), int(b)): c for a, b, c in zip(q, d, s)}
+        best = {(q, d) for q in range(n_queries) for d in range(n_items) if whole[q, d] >= kth[q] and whole[q, d] > 0}
+        assert best <= got.keys() and all(abs(whole[x] - s) < 1.1e-6 for x, s in got.items())
+        assert (floor >= before).all() and (floor <= kth + 1.1e-6).all()
+        if before.all():
+            assert len(got) < len(best) + n_queries
+
+
+def read_once(spark, stemmer):
+    """Rows of texts read by a search of 40 items, and what it found."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(frames):
+        for f in frames:
+            seen.add(len(f))
+            yield f
+
+    texts = [f"running runs {'vector' if i % 3 else 'vectors'} w{i}" for i in range(40)]
+    rows = [(f"c{i:02}", t) for i, t in enumerate(texts)]
+    chunks = spark.createDataFrame(rows, "vector_id string, text string").repartition(2).mapInPandas(counted, "vector_id string, text string")
+    asked = spark.createDataFrame([(1, "running-runs w7"), (2, "vector vectors")], "query_id long, query string")
+    found = lexical.top_matches(asked, chunks, 3, stemmer).collect()
+    return seen.value, {(r.query_id, r["rank"], r.vector_id) for r in found}
+
+
+def test_phrase_search_reads_texts_once(spark):
+    rows, found = read_once(spark, None)
+    assert rows == 40 and found == {(1, 1, "c07"), (1, 2, "c00"), (1, 3, "c01"), (2, 1, "c00"), (2, 2, "c03"), (2, 3, "c06")}
+
+
 def vectors_of(rows):
     return {i: np.array(v) / (np.linalg.norm(v) or 1) for i, _, v in rows}
 
