@@ -172,6 +172,11 @@ def test_phrase_search_reads_texts_once(spark):
     assert rows == 40 and found == {(1, 1, "c07"), (1, 2, "c00"), (1, 3, "c01"), (2, 1, "c00"), (2, 2, "c03"), (2, 3, "c06")}
 
 
+def test_stemmed_search_reads_texts_once(spark):
+    rows, found = read_once(spark, porter)
+    assert rows == 40 and found == {(1, 1, "c07"), (1, 2, "c00"), (1, 3, "c01"), (2, 1, "c00"), (2, 2, "c01"), (2, 3, "c02")}
+
+
 def vectors_of(rows):
     return {i: np.array(v) / (np.linalg.norm(v) or 1) for i, _, v in rows}
 
